@@ -1,0 +1 @@
+"""Training-data operators: extraction, filters, deduplication, mixing, scoring, packing."""
