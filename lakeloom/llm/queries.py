@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, packing, quality
+from . import lm, mixing, packing, quality, simhash
 from .common import table
 from .sql import OP2_SQL, OP6_SQL
 
@@ -19,6 +20,15 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -26,5 +36,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op2_quality": op2_quality, "op6_mixing": op6_mixing, "op9_packing": op9_packing}
+QUERIES = {"op2_quality": op2_quality, "op6_mixing": op6_mixing, "op7_lm": op7_lm, "op8_simhash": op8_simhash, "op9_packing": op9_packing}
 ORACLE_SQL = {"op2_quality": OP2_SQL, "op6_mixing": OP6_SQL}
