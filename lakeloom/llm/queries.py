@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm, mixing, packing, quality, simhash
+from . import embeddings, lm, mixing, packing, quality, secrets, simhash
 from .common import table
 from .sql import OP2_SQL, OP6_SQL
 
@@ -15,6 +15,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -36,5 +40,9 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op2_quality": op2_quality, "op6_mixing": op6_mixing, "op7_lm": op7_lm, "op8_simhash": op8_simhash, "op9_packing": op9_packing}
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op2_quality": op2_quality, "op3_secrets": op3_secrets, "op6_mixing": op6_mixing, "op7_lm": op7_lm, "op8_simhash": op8_simhash, "op9_packing": op9_packing, "op10_embeddings": op10_embeddings}
 ORACLE_SQL = {"op2_quality": OP2_SQL, "op6_mixing": OP6_SQL}
