@@ -1,8 +1,66 @@
-"""The corpus pipeline."""
+"""A corpus pipeline over `documents`: filter, deduplicate, mix, pack.
 
-STAGES = []
+Each stage is (name, function); the function takes (spark, docs, sf_dir) and
+returns the next stage's documents, which are written as Parquet and read
+again. All but the last keep the columns of `documents`.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lakeloom.llm import lines, mixing, packing, quality, simhash
+from lakeloom.llm.common import materialize
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the threshold table go."""
+    return quality.judge(docs).where("kept").select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated line runs go, and with them documents of which nothing is left."""
+    out = lines.dedup_lines(docs)
+    left = (F.size("removed_lines") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    return out.where(left).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each SimHash component stays."""
+    found = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_semi").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix uses it."""
+    plan = mixing.mix(docs).where("repeats > 0").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "repeats").dropDuplicates(["_d", "_h"])
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.xxhash64("text").eqNullSafe(F.col("_h"))
+    used = docs.join(plan, same)
+    return used.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of 1024 tokens."""
+    path = public_tokenizers.path
+    return packing.pack(docs, path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("mix_sources", mix_sources),
+    ("pack_sequences", pack_sequences),
+]
+
+#: Near-duplicates and packing are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

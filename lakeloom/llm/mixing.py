@@ -108,7 +108,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source:
     for several sources. Sources are ordered by code point, null last, and
     take `weights` in turn. Returns the input's id as `id_col`, with `size`
     (words), `source_size`, `target` (of the first source of the document),
-    `taken` (words used, repeats counted) and `repeats`.
+    `taken` (words used, repeats counted), `repeats` and `text_hash` (xxhash64 of
+    the text, which with the id names the row).
 
     Null and empty texts have size 0 and are never taken; a null source is a
     source of its own; repeated ids keep their own rows; an empty table gives
@@ -171,7 +172,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source:
     final = both.join(F.broadcast(last), "_p", "left")
     more = F.col("extra") | F.coalesce((F.col("_o") == F.col("fo")) & F.col("_h").eqNullSafe(F.col("fh")), F.lit(False))
     final = final.withColumn("repeats", F.when(F.col("size") > 0, F.col("whole") + more.cast("int")).otherwise(F.lit(0)))
-    return final.select(F.col("_id").alias(id_col), "size", "source_size", "target", (F.col("repeats") * F.col("size")).cast("long").alias("taken"), "repeats")
+    return final.select(F.col("_id").alias(id_col), "size", "source_size", "target", (F.col("repeats") * F.col("size")).cast("long").alias("taken"), "repeats", F.col("_h").alias("text_hash"))
 
 
 def _pattern_key(members: Column) -> Column:

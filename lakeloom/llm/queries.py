@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, lm, mixing, packing, quality, secrets, simhash
+from . import embeddings, lines, lm, mixing, packing, quality, secrets, simhash
 from .common import table
 from .sql import OP2_SQL, OP6_SQL
 
@@ -19,6 +19,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "removed_lines")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -44,5 +48,5 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op2_quality": op2_quality, "op3_secrets": op3_secrets, "op6_mixing": op6_mixing, "op7_lm": op7_lm, "op8_simhash": op8_simhash, "op9_packing": op9_packing, "op10_embeddings": op10_embeddings}
+QUERIES = {"op2_quality": op2_quality, "op3_secrets": op3_secrets, "op4_lines": op4_lines, "op6_mixing": op6_mixing, "op7_lm": op7_lm, "op8_simhash": op8_simhash, "op9_packing": op9_packing, "op10_embeddings": op10_embeddings}
 ORACLE_SQL = {"op2_quality": OP2_SQL, "op6_mixing": OP6_SQL}
