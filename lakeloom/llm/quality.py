@@ -43,7 +43,7 @@ RULES = (
     Rule("shouting", "upper_ratio", high=0.5),
     Rule("exclaiming", "bang_ratio", high=0.3),
     Rule("few_stop_words", "stop_ratio", low=0.005),
-    Rule("few_letters", "alpha_ratio", low=0.6),
+    Rule("few_letters", "alpha_ratio", low=0.5),
     Rule("same_lines", "dup_line_ratio", high=0.5),
     Rule("bullets", "bullet_ratio", high=0.9),
     Rule("ellipses", "ellipsis_ratio", high=0.5),
@@ -92,7 +92,8 @@ def metrics(text: Column) -> dict[str, Column]:
         "repeat_pct": 100 * F.col("n_repeat_words") / n,
         "mean_word_chars": F.col("word_chars") / n,
         "symbols_per_word": F.col("n_symbols") / n,
-        "stop_ratio": F.size(F.filter(w, lambda x: x.isin(STOP_FORMS))) / n,
+        # A fifth of a stop word is added, so that short texts may do without.
+        "stop_ratio": (F.size(F.filter(w, lambda x: x.isin(STOP_FORMS))) + 0.2) / n,
         "upper_ratio": F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")) / F.greatest(F.col("n_letters"), F.lit(1)),
         "alpha_ratio": F.col("n_letters") / F.greatest(F.col("word_chars"), F.lit(1)),
         "bang_ratio": F.regexp_count(text, F.lit(r"!!+|\?\?+")) / n,

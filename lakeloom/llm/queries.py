@@ -5,11 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, lines, lm, mixing, packing, quality, secrets, simhash
+from . import embeddings, html, lines, lm, mixing, packing, quality, secrets, simhash, urls
 from .common import table
 from .sql import OP2_SQL, OP6_SQL
 
 
+#: The stated rules: verdict, host, path.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return out.select("page_id", "host", "path", "rule", "verdict", "template", "share")
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -48,5 +61,5 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op2_quality": op2_quality, "op3_secrets": op3_secrets, "op4_lines": op4_lines, "op6_mixing": op6_mixing, "op7_lm": op7_lm, "op8_simhash": op8_simhash, "op9_packing": op9_packing, "op10_embeddings": op10_embeddings}
+QUERIES = {"op1_html": op1_html, "op2_quality": op2_quality, "op3_secrets": op3_secrets, "op4_lines": op4_lines, "op5_urls": op5_urls, "op6_mixing": op6_mixing, "op7_lm": op7_lm, "op8_simhash": op8_simhash, "op9_packing": op9_packing, "op10_embeddings": op10_embeddings}
 ORACLE_SQL = {"op2_quality": OP2_SQL, "op6_mixing": OP6_SQL}
