@@ -55,7 +55,7 @@ def _shortest(lines: Column, at: Column, step: int, least: int) -> Column:
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """Lines to delete: (d, t, removed): id, hash of the text, indices of its lines that repeat an earlier run."""
+    """Lines to delete: (d, t, removed): id, hash of the text, indices of its lines that repeat an earlier run (and of lines without words between them)."""
     has_word = lambda x: x.rlike(r"[^\x20\x09-\x0D]")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     numbered = F.filter(F.transform(F.split(text, "\n"), lambda x, n: F.struct(x.alias("x"), n.alias("n"))), lambda s: has_word(s["x"]))
@@ -104,8 +104,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Delete from every text the later copies of line runs of `min_words` words or more.
 
     Earlier means a smaller id (null first), then an earlier line. Lines are
-    compared exactly; lines without words belong to no run, and go only with
-    a run around them. Returns all columns of `docs`, the text shortened, and
+    compared exactly; lines without words belong to no run and stay. Returns all columns of `docs`, the text shortened, and
     `removed_lines` (indices of the deleted lines; put last, replacing a
     column of that name). A null text stays null. Rows that repeat both id
     and text are one document: each gets the same result. An empty table
@@ -115,7 +114,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.col(f"`{text_col}`")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("d"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("t"))
     rows = rows.join(gone, F.col("d").eqNullSafe(F.col("gd")) & (F.col("t") == F.col("gt")), "left")
-    kept = let(F.split(F.col(f"row.`{text_col}`"), "\n"), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("removed")), lambda n: F.get(x, n)), "\n"))
+    split = F.split(F.col(f"row.`{text_col}`"), "\n")
+    own = let(split, lambda x: F.filter("removed", lambda n: F.get(x, n).rlike(r"[^\x20\x09-\x0D]")))
+    rows = rows.withColumn("removed", F.when(F.col("removed").isNotNull(), own))
+    kept = let(split, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("removed")), lambda n: F.get(x, n)), "\n"))
     short = F.when(F.col("removed").isNull(), F.col(f"row.`{text_col}`")).otherwise(kept)
     cols = [short.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != "removed_lines"]
     return rows.select(*cols, F.array_sort(F.coalesce("removed", F.array().cast("array<int>"))).alias("removed_lines"))
