@@ -1 +1,4 @@
-"""Part of lakeloom."""
+"""Registered queries."""
+
+from . import registry as registry
+from . import relational as relational
