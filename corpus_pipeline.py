@@ -28,9 +28,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each SimHash component stays."""
-    found = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_semi").select(*docs.columns)
+    """The document of the smallest id of each SimHash component stays; rows that repeat id and text are one document."""
+    found = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = materialize(found.groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).agg(F.count(F.lit(1)).alias("_n")))
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h"))
+    out = docs.join(found.select("_d", "_h"), same, "left_semi")
+    return out.dropDuplicates(["doc_id", "text"]) if found.where("_n > 1").limit(1).count() else out
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -60,13 +60,14 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         texts = batch.column(batch.num_columns - 1)
         fp = np.array([fingerprint(texts[i].as_py()) for i in range(batch.num_rows)], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp)], names=["doc_id", "text_hash", "fp"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) for every row; `fp` holds the 64 bits as a signed long."""
-    src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return src.mapInArrow(_fingerprints, "doc_id long, fp long")
+    """(doc_id, text_hash, fp) for every row; `fp` holds the 64 bits as a signed long, `text_hash` the xxhash64 of the text."""
+    text = F.col(f"`{text_col}`").cast("string")
+    src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return src.mapInArrow(_fingerprints, "doc_id long, text_hash long, fp long")
 
 
 class _Links:
@@ -186,7 +187,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> Data
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One row for every input row: doc_id, fp, component_id (smallest doc_id reachable over links).
+    """One row for every input row: doc_id, text_hash, fp, component_id (smallest doc_id reachable over links).
 
     A null or text without words has the fingerprint zero, which links like
     any other. Equal fingerprints are one node, however many rows share it;
@@ -199,4 +200,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = member.groupBy("component").agg(F.min("first").alias("component_id"))
     named = member.join(least, "component").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")

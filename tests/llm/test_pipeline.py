@@ -64,6 +64,9 @@ def test_stages(spark, tmp_path):
         own = size([r for r in three.collect() if r.source == s])
         assert abs(size([r for r in four.collect() if r.source == s]) - min(3 * own, target)) < 300
 
+    twice = step("near_dedup", three.unionByName(three.limit(3)))
+    assert sorted(map(str, twice.collect())) == sorted(map(str, three.collect()))
+
     five = step("pack_sequences", four).collect()
     assert sum(r.length for r in five if r.start == 0) > 0
     last = corpus_pipeline.run(spark, str(tmp_path)).collect()
