@@ -52,6 +52,8 @@ def test_plans(spark, name, word):
 
 def test_no_query_needs_one_task_or_a_product(spark):
     for name, q in registry.queries().items():
+        if name.startswith("stream_"):
+            continue
         plan = q(spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
         assert "Python" not in plan, name
