@@ -2,37 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakeloom.sources.scratch import materialize as materialize
+
 #: White space between words: space, tab, line feed, vertical tab, form feed, carriage return.
 WS = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="lakeloom-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(base)
-    return base
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write `df` once to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/lakeloom/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def words(text: Column) -> Column:
     """Array of the words `[^\\x20\\x09-\\x0D]+`; null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WS), "")
