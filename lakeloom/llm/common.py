@@ -24,11 +24,3 @@ def let(value: Column, body) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def fresh(df: DataFrame, name: str) -> str:
-    """`name`, with underscores put before it until no column of `df` has it (Spark ignores case)."""
-    have = {c.lower() for c in df.columns}
-    while name.lower() in have:
-        name = "_" + name
-    return name

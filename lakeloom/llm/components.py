@@ -35,6 +35,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if new == mark:
             break
         mark = new
+    else:
+        raise RuntimeError(f"no end after {MAX_ROUNDS} rounds")
     ends = pairs.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
     return ends.unionByName(ends.select("component").distinct().select(F.col("component").alias("node"), "component"))
 

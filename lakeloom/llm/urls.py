@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize
+from .common import materialize
 from .html import host_of, path_of
 
 MAX_DEPTH = 4
@@ -121,17 +121,17 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url_col: str = "u
     added = ("host", "path", "rule", "verdict", "template", "share")
     url = F.col(f"`{url_col}`").cast("string")
     kept = [c for c in pages.columns if c.lower() not in added]
-    src = pages.select(*[F.col(f"`{c}`") for c in kept], host_of(url).alias("host"), path_of(url).alias("path")) if label is None else pages.select(*[F.col(f"`{c}`") for c in kept], host_of(url).alias("host"), path_of(url).alias("path"), label.alias("_label"))
+    row = F.struct(*[F.col(f"`{c}`") for c in kept], F.lit(1).alias(""))
+    src = pages.select(row.alias("row"), host_of(url).alias("host"), path_of(url).alias("path"), (F.lit(None).cast("string") if label is None else label).alias("given"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    src = src.withColumns({"rule": rule, "ruled": verdict, "known": F.col("_label") if label is not None else verdict})
+    src = src.withColumns({"rule": rule, "ruled": verdict, "known": verdict if label is None else F.col("given")})
     segments = F.split(F.regexp_replace("path", "^/", ""), "/")
     at = lambda i: F.coalesce(F.get(segments, F.lit(i)), F.lit(""))
     deep = F.when(F.size(segments) > MAX_DEPTH, F.lit(REST)).otherwise(_shape(at(MAX_DEPTH - 1)))
-    shape = fresh(pages, "shape")
-    src = src.withColumn(shape, F.array(*[_shape(at(i)) for i in range(MAX_DEPTH - 1)], deep))
+    src = src.withColumn("shape", F.array(*[_shape(at(i)) for i in range(MAX_DEPTH - 1)], deep))
     count = lambda c: F.sum(c.cast("long"))
-    urls = src.groupBy("host", F.col(shape).alias("shape")).agg(F.count(F.lit(1)).alias("n"), count(F.col("known").isNotNull()).alias("labelled"), count(F.coalesce(F.col("known") == "block", F.lit(False))).alias("blocked"))
+    urls = src.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), count(F.col("known").isNotNull()).alias("labelled"), count(F.coalesce(F.col("known") == "block", F.lit(False))).alias("blocked"))
     found = templates(materialize(urls)).withColumnsRenamed({"host": "_h", "shape": "_s"})
-    out = src.join(found, (F.col("host") == F.col("_h")) & (F.col(shape) == F.col("_s")), "left")
+    out = src.join(found, (F.col("host") == F.col("_h")) & (F.col("shape") == F.col("_s")), "left")
     last = F.coalesce("ruled", F.when((F.col("share") >= reject) & (F.col("share") > 0.5), "block").otherwise("allow"))
-    return out.select(*[F.col(f"`{c}`") for c in kept], "host", "path", "rule", last.alias("verdict"), "template", "share")
+    return out.select(*[F.col(f"row.`{c}`") for c in kept], "host", "path", "rule", last.alias("verdict"), "template", "share")

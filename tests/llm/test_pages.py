@@ -75,9 +75,9 @@ def brute(url):
 
 def test_rules(spark):
     cases = [None, "", "nothing", "http://Example.ORG/es/1", "https://m.example.org/en/1x?q", "http://example.org/en/2", "http://xexample.org/es/", "http://org", "http://org/", "ftp://a.com/de/", "http://a.com/de", "http://a.com?x=/de/", "http://a.com/fr/#b", "x://y://z/w", "http://comx/de/", "http://É.com/de/\nx"]
-    df = spark.createDataFrame([(i, u, "mine") for i, u in enumerate(cases)] + [(3, cases[3], None)], "page_id long, url string, path string")
+    df = spark.createDataFrame([(i, u, "mine") for i, u in enumerate(cases)] + [(3, cases[3], None)], "page_id long, url string, known string")
     out = urls.judge(df, RULES).collect()
-    assert len(out) == len(cases) + 1
+    assert len(out) == len(cases) + 1 and {r.known for r in out} == {"mine", None}
     for r in out:
         host, path, rule, verdict = brute(cases[r.page_id])
         assert (r.host, r.path, r.rule) == (host, path, rule)
