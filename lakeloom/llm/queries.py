@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import embeddings, html, lines, lm, mixing, packing, quality, secrets, simhash, urls
 from .common import table
-from .sql import OP2_SQL, OP3_SQL, OP6_SQL, OP10_SQL
+from .sql import OP2_SQL, OP3_SQL, OP4_SQL, OP6_SQL, OP10_SQL
 
 
 #: The stated rules: verdict, host, path.
@@ -33,7 +33,8 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "removed_lines")
+    out = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "text", F.size("removed_lines").cast("long").alias("n_removed"), F.concat_ws(",", F.col("removed_lines").cast("array<string>")).alias("removed_lines"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,4 +63,4 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_html": op1_html, "op2_quality": op2_quality, "op3_secrets": op3_secrets, "op4_lines": op4_lines, "op5_urls": op5_urls, "op6_mixing": op6_mixing, "op7_lm": op7_lm, "op8_simhash": op8_simhash, "op9_packing": op9_packing, "op10_embeddings": op10_embeddings}
-ORACLE_SQL = {"op2_quality": OP2_SQL, "op3_secrets": OP3_SQL, "op6_mixing": OP6_SQL, "op10_embeddings": OP10_SQL}
+ORACLE_SQL = {"op2_quality": OP2_SQL, "op3_secrets": OP3_SQL, "op4_lines": OP4_SQL, "op6_mixing": OP6_SQL, "op10_embeddings": OP10_SQL}

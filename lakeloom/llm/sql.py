@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, secrets
+from . import lines, mixing, quality, secrets
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -78,6 +78,35 @@ SELECT d.doc_id, {", ".join(f"coalesce(n_{k.name}, 0)::BIGINT AS n_{k.name}" for
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_copied, 0)::BIGINT AS n_copied
 FROM d LEFT JOIN per USING (doc_id)"""
 
+_LEAST = lines.MIN_WORDS
+OP4_SQL = rf"""
+WITH s AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+a AS (SELECT doc_id, unnest(ls) AS line, unnest(range(0, len(ls))) AS n FROM s),
+l AS (
+  SELECT doc_id, line, n, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS i,
+         len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS nw
+  FROM a WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+f AS (
+  SELECT doc_id, n, i,
+         list(line) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {_LEAST - 1} FOLLOWING) AS lines,
+         list(n) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {_LEAST - 1} FOLLOWING) AS ns,
+         list(nw) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {_LEAST - 1} FOLLOWING) AS nws,
+         list(line) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {_LEAST - 1} PRECEDING AND CURRENT ROW) AS lines_b,
+         list(n) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {_LEAST - 1} PRECEDING AND CURRENT ROW) AS ns_b,
+         list(nw) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {_LEAST - 1} PRECEDING AND CURRENT ROW) AS nws_b
+  FROM l),
+runs AS (
+  SELECT doc_id, i, lines[1:m] AS lines, ns[1:m] AS ns
+  FROM (SELECT *, list_min(list_filter(range(1, len(nws) + 1), lambda k: list_sum(nws[1:k]) >= {_LEAST})) AS m FROM f) WHERE m IS NOT NULL
+  UNION ALL
+  SELECT doc_id, i - m + 1, lines_b[len(lines_b) - m + 1:], ns_b[len(ns_b) - m + 1:]
+  FROM (SELECT *, list_min(list_filter(range(1, len(nws_b) + 1), lambda k: list_sum(nws_b[len(nws_b) - k + 1:]) >= {_LEAST})) AS m FROM f) WHERE m IS NOT NULL),
+later AS (SELECT *, rank() OVER (PARTITION BY array_to_string(lines, chr(10)) ORDER BY doc_id, i) AS k FROM runs),
+gone AS (SELECT doc_id, list_sort(list_distinct(flatten(list(ns)))) AS removed FROM later WHERE k > 1 GROUP BY doc_id)
+SELECT s.doc_id, len(coalesce(removed, []))::BIGINT AS n_removed, array_to_string(coalesce(removed, []), ',') AS removed_lines,
+       CASE WHEN removed IS NULL THEN text ELSE array_to_string(list_filter(ls, lambda x, j: NOT list_contains(removed, j - 1)), chr(10)) END AS text
+FROM s LEFT JOIN gone ON s.doc_id = gone.doc_id"""
+
 OP6_SQL = rf"""
 WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size, md5('42:' || doc_id) AS o FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
