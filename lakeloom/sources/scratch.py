@@ -20,8 +20,19 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/lakeloom/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/lakeloom/{uuid.uuid4().hex}"
+    return f"{_own_dir(spark)}/{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application; DataFrames that still read them end with it."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 import pytest
 
-from lakeloom.sources import tables
+from lakeloom.sources import scratch, tables
 
 SCHEMA = "id long, name string, v double"
 
@@ -43,3 +43,17 @@ def test_bucketed_join_needs_no_shuffle(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
         for name in ("left_b", "right_b"):
             spark.sql(f"DROP TABLE {name}")
+
+
+def test_scratch(spark, tmp_path):
+    df = scratch.materialize(spark.range(5).toDF("n"))
+    assert df.count() == 5 and df.dtypes == [("n", "bigint")]
+    old = spark.conf.get("spark.checkpoint.dir", None)
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    try:
+        scratch.materialize(spark.range(3))
+        assert [*tmp_path.glob("lakeloom/*/*")]
+        scratch.clear(spark)
+        assert not [*tmp_path.glob("lakeloom/*")]
+    finally:
+        spark.conf.unset("spark.checkpoint.dir") if old is None else spark.conf.set("spark.checkpoint.dir", old)
