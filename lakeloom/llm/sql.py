@@ -107,6 +107,16 @@ SELECT s.doc_id, len(coalesce(removed, []))::BIGINT AS n_removed, array_to_strin
        CASE WHEN removed IS NULL THEN text ELSE array_to_string(list_filter(ls, lambda x, j: NOT list_contains(removed, j - 1)), chr(10)) END AS text
 FROM s LEFT JOIN gone ON s.doc_id = gone.doc_id"""
 
+
+
+def _fillers() -> str:
+    near = "NOT used AND size > 0 AND abs(size - gap) < gap"
+    step = """r{k} AS (
+  SELECT doc_id, size, source, source_size, target, whole, o, used OR (near AND place = 1) AS used, gap - sum(CASE WHEN near AND place = 1 THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap
+  FROM (SELECT *, {near} AS near, row_number() OVER (PARTITION BY source, ({near}) ORDER BY abs(size - gap), o, doc_id) AS place FROM r{j}))"""
+    return ",\n".join(step.format(k=k, j=k - 1, near=near) for k in range(1, mixing.FILLERS + 1))
+
+
 OP6_SQL = rf"""
 WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size, md5('42:' || doc_id) AS o FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
@@ -123,11 +133,10 @@ q AS (SELECT *, greatest(0, target - whole * source_size) AS rest FROM p),
 c AS (
   SELECT d.doc_id, d.size, q.source, source_size, target, whole, rest, o, size > 0 AND rest > 0 AND sum(size) OVER (PARTITION BY d.source ORDER BY o, doc_id) <= rest AS extra
   FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
-g AS (SELECT *, rest - sum(CASE WHEN extra THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap FROM c),
-h AS (SELECT *, row_number() OVER (PARTITION BY source, extra OR size = 0 OR abs(size - gap) >= gap ORDER BY abs(size - gap), o, doc_id) AS place FROM g)
-SELECT doc_id, size, source_size, target,
-       (CASE WHEN size = 0 THEN 0 ELSE size * (whole + CASE WHEN extra OR (place = 1 AND abs(size - gap) < gap) THEN 1 ELSE 0 END) END)::BIGINT AS taken
-FROM h"""
+r0 AS (SELECT *, extra AS used, rest - sum(CASE WHEN extra THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap FROM c),
+{_fillers()}
+SELECT doc_id, size, source_size, target, (CASE WHEN size = 0 THEN 0 ELSE size * (whole + CASE WHEN used THEN 1 ELSE 0 END) END)::BIGINT AS taken
+FROM r{mixing.FILLERS}"""
 
 OP10_SQL = """
 WITH RECURSIVE v AS (
