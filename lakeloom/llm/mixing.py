@@ -25,8 +25,8 @@ from .common import materialize, words
 MAX_REPEATS = 3
 #: Cost of the first, second and third use of a word.
 REPEAT_COST = (0, 1, 4)
-#: Documents that may be added to a pattern's prefix one by one.
-FILLERS = 4
+#: Documents of a pattern that may be used once more to come nearer to its target.
+FILLERS = 5
 
 
 def water_fill(sizes: list[int], weights: list[float], cap: float = MAX_REPEATS) -> list[float]:
@@ -163,23 +163,22 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source:
     one = one.withColumn("extra", F.col("before") + F.sum("size").over(order) <= F.col("rest"))
     rest = chosen.where(F.coalesce(~inside, F.lit(True))).withColumn("extra", F.coalesce(F.col("_r") < F.col("edge"), F.lit(True)) & (F.col("rest") > 0))
     both = rest.unionByName(one)
-    # A few more documents fill what the prefix leaves open, each the nearest in size to the gap.
+    # One more use of a few documents fills what the prefix leaves open: each time the largest
+    # that fits the gap, at last the nearest in size.
     left = {r["_p"]: r["rest"] - r["got"] for r in both.groupBy("_p").agg(F.first("rest").alias("rest"), F.sum(F.when(F.col("extra"), F.col("size")).otherwise(0)).alias("got")).collect()}
     picked: list[tuple] = []
-    for _ in range(FILLERS):
+    for k in range(FILLERS):
         gaps = F.broadcast(spark.createDataFrame([*left.items()], "_p string, gap double"))
         off = F.abs(F.col("size") - F.col("gap"))
-        open_ = both.where(~F.col("extra") & (F.col("size") > 0)).join(gaps, "_p").where(off < F.col("gap"))
+        open_ = both.where((F.col("size") > 0) & (F.col("whole") + F.col("extra").cast("int") < MAX_REPEATS)).join(gaps, "_p").where(off < F.col("gap") if k == FILLERS - 1 else F.col("size") <= F.col("gap"))
         open_ = open_.join(F.broadcast(spark.createDataFrame(picked, "_p string, _o string, _h long")), ["_p", "_o", "_h"], "left_anti")
         found = open_.groupBy("_p").agg(F.min(F.struct(off.alias("off"), "_o", "_id", "_h", "size")).alias("f")).collect()
         picked += [(r["_p"], r["f"]["_o"], r["f"]["_h"]) for r in found]
         left |= {r["_p"]: left[r["_p"]] - r["f"]["size"] for r in found}
-        if not found:
-            break
     more = F.broadcast(spark.createDataFrame(picked, "_p string, _o string, _h long").distinct().withColumn("filler", F.lit(True)))
     final = both.join(more, ["_p", "_o", "_h"], "left")
-    more = F.col("extra") | F.coalesce("filler", F.lit(False))
-    final = final.withColumn("repeats", F.when(F.col("size") > 0, F.col("whole") + more.cast("int")).otherwise(F.lit(0)))
+    more = F.col("extra").cast("int") + F.coalesce("filler", F.lit(False)).cast("int")
+    final = final.withColumn("repeats", F.when(F.col("size") > 0, F.col("whole") + more).otherwise(F.lit(0)))
     return final.select(F.col("_id").alias(id_col), "size", "source_size", "target", (F.col("repeats") * F.col("size")).cast("long").alias("taken"), "repeats", F.col("_h").alias("text_hash"))
 
 

@@ -110,11 +110,12 @@ FROM s LEFT JOIN gone ON s.doc_id = gone.doc_id"""
 
 
 def _fillers() -> str:
-    near = "NOT used AND size > 0 AND abs(size - gap) < gap"
+    near = f"NOT picked AND size > 0 AND whole + extra::INTEGER < {mixing.MAX_REPEATS} AND "
     step = """r{k} AS (
-  SELECT doc_id, size, source, source_size, target, whole, o, used OR (near AND place = 1) AS used, gap - sum(CASE WHEN near AND place = 1 THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap
+  SELECT doc_id, size, source, source_size, target, whole, o, extra, picked OR (near AND place = 1) AS picked, gap - sum(CASE WHEN near AND place = 1 THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap
   FROM (SELECT *, {near} AS near, row_number() OVER (PARTITION BY source, ({near}) ORDER BY abs(size - gap), o, doc_id) AS place FROM r{j}))"""
-    return ",\n".join(step.format(k=k, j=k - 1, near=near) for k in range(1, mixing.FILLERS + 1))
+    fits = lambda k: near + ("abs(size - gap) < gap" if k == mixing.FILLERS else "size <= gap")
+    return ",\n".join(step.format(k=k, j=k - 1, near=fits(k)) for k in range(1, mixing.FILLERS + 1))
 
 
 OP6_SQL = rf"""
@@ -133,9 +134,9 @@ q AS (SELECT *, greatest(0, target - whole * source_size) AS rest FROM p),
 c AS (
   SELECT d.doc_id, d.size, q.source, source_size, target, whole, rest, o, size > 0 AND rest > 0 AND sum(size) OVER (PARTITION BY d.source ORDER BY o, doc_id) <= rest AS extra
   FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
-r0 AS (SELECT *, extra AS used, rest - sum(CASE WHEN extra THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap FROM c),
+r0 AS (SELECT *, FALSE AS picked, rest - sum(CASE WHEN extra THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap FROM c),
 {_fillers()}
-SELECT doc_id, size, source_size, target, (CASE WHEN size = 0 THEN 0 ELSE size * (whole + CASE WHEN used THEN 1 ELSE 0 END) END)::BIGINT AS taken
+SELECT doc_id, size, source_size, target, (CASE WHEN size = 0 THEN 0 ELSE size * (whole + extra::INTEGER + picked::INTEGER) END)::BIGINT AS taken
 FROM r{mixing.FILLERS}"""
 
 OP10_SQL = """
