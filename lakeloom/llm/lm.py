@@ -52,6 +52,21 @@ def _tag(keys: np.ndarray, order: int) -> np.ndarray:
     return (keys & ~np.uint64(3)) | np.uint64(order)
 
 
+def _shut(values: np.ndarray) -> bytes:
+    """Compressed, byte by byte of all values: the upper bytes of sorted keys, codes and counts are much alike."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes())
+
+
+def _open(blob: bytes, kind: type) -> np.ndarray:
+    import zstandard
+
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def ngram_keys(unigrams: np.ndarray, lengths: np.ndarray, order: int) -> list[np.ndarray]:
     """Keys of the 1..order-grams that end at each token; documents are `lengths` tokens long."""
     starts = np.cumsum(lengths) - lengths
@@ -82,7 +97,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, vocab = pd.factorize(flat)
         keys = _tag(np.fromiter((xxhash.xxh64_intdigest(w) for w in vocab), np.uint64, len(vocab)), 1)
         made += 1
-        row = [base | made, split, len(docs), len(tokens), np.array([d or 0 for d in docs], np.int64).tobytes(), np.array([d is not None for d in docs]).tobytes(), np.array(lengths, np.int64).tobytes(), keys.tobytes(), codes.astype(np.uint32).tobytes()]
+        row = [base | made, split, len(docs), len(tokens), np.array([d or 0 for d in docs], np.int64).tobytes(), np.array([d is not None for d in docs]).tobytes(), _shut(np.array(lengths, np.int64)), _shut(keys), _shut(codes.astype(np.uint32))]
         return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, BLOCK, strict=True)], schema=BLOCK)
 
     for batch in batches:
@@ -105,8 +120,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _read(row, order: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
     """Lengths, the keys of each order, the block's sorted distinct keys, and where each key is among them."""
-    lengths = np.frombuffer(row.lengths, np.int64)
-    keys = ngram_keys(np.frombuffer(row.vocab, np.uint64)[np.frombuffer(row.codes, np.uint32)], lengths, order)
+    lengths = _open(row.lengths, np.int64)
+    keys = ngram_keys(_open(row.vocab, np.uint64)[_open(row.codes, np.uint32)], lengths, order)
     distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
     return lengths, keys, distinct, at
 
@@ -122,7 +137,7 @@ def _ask(order: int, ranges: int):
                 _, _, keys, at = _read(row, order)
                 counts = np.bincount(at, minlength=len(keys)).astype(np.uint32)
                 cut = np.searchsorted(_range_of(keys, ranges), np.arange(ranges + 1))
-                rows = [(r, row.block, row.split, keys[a:b].tobytes(), counts[a:b].tobytes()) for r, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
+                rows = [(r, row.block, row.split, _shut(keys[a:b]), _shut(counts[a:b])) for r, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
                 yield pd.DataFrame(rows, columns=["rng", "block", "split", "keys", "counts"])
 
     return run
@@ -131,9 +146,10 @@ def _ask(order: int, ranges: int):
 def _count(pdf: pd.DataFrame) -> pd.DataFrame:
     """Counts of a range's keys over all training blocks, and without those of the development tenth."""
     pdf = pdf.sort_values("block", ignore_index=True)
-    sizes = [len(k) // 8 for k in pdf["keys"]]
-    keys, at = np.unique(np.frombuffer(b"".join(pdf["keys"]), np.uint64), return_inverse=True)
-    counts = np.frombuffer(b"".join(pdf["counts"]), np.uint32).astype(np.float64)
+    asked = [_open(k, np.uint64) for k in pdf["keys"]]
+    sizes = [len(k) for k in asked]
+    keys, at = np.unique(np.concatenate(asked), return_inverse=True)
+    counts = np.concatenate([_open(c, np.uint32) for c in pdf["counts"]]).astype(np.float64)
     split = np.repeat(pdf["split"].to_numpy(), sizes)
     fit = np.bincount(at, np.where(split == TRAIN, counts, 0), len(keys)).astype(np.uint32)
     total = fit + np.bincount(at, np.where(split == DEV, counts, 0), len(keys)).astype(np.uint32)
@@ -143,7 +159,7 @@ def _count(pdf: pd.DataFrame) -> pd.DataFrame:
     for i, (e, n) in enumerate(zip(ends, sizes, strict=True)):
         mine = at[e - n : e]
         dev = pdf["split"][i] == DEV
-        rows.append((pdf["rng"][i], pdf["block"][i], pdf["split"][i], total[mine].tobytes(), fit[mine].tobytes() if dev else None, int((one & (total > 0)).sum()) if i == 0 else 0, int((one & (fit > 0)).sum()) if i == 0 else 0))
+        rows.append((pdf["rng"][i], pdf["block"][i], pdf["split"][i], _shut(total[mine]), _shut(fit[mine]) if dev else None, int((one & (total > 0)).sum()) if i == 0 else 0, int((one & (fit > 0)).sum()) if i == 0 else 0))
     return pd.DataFrame(rows, columns=["rng", "block", "split", "total", "fit", "types", "fit_types"])
 
 
@@ -169,7 +185,7 @@ def _estimates(lengths: np.ndarray, counts: np.ndarray, order: int, stats: Stats
 def _with_counts(order: int, stats: Stats, column: str, use, schema: list[str]):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
-        counts = np.frombuffer(b"".join(right.sort_values("rng")[column]), np.uint32)
+        counts = np.concatenate([_open(c, np.uint32) for c in right.sort_values("rng")[column]])
         for row in left.itertuples(index=False):
             lengths, _, _, at = _read(row, order)
             out.append(use(row, lengths, *_estimates(lengths, counts[at], order, stats)))
