@@ -95,7 +95,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     runs = materialize(runs)
     where = F.struct(*POSITION)
     first = runs.groupBy("len", "a", "b").agg(F.min(where).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    later = runs.join(first, ["len", "a", "b"]).where(F.col("first") < where)
+    # Written first: a join of two plain exchanges is one whose hot keys adaptive execution can split.
+    later = runs.join(materialize(first), ["len", "a", "b"]).where(F.col("first") < where)
     gone = later.select("d", "t", F.explode(F.sequence("n1", "n2")).alias("n"))
     return gone.groupBy("d", "t").agg(F.collect_set("n").alias("removed"))
 

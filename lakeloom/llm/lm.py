@@ -27,8 +27,8 @@ from .common import materialize
 from .simhash import LOWER
 
 TRAIN, DEV, HELD = 0, 1, 2
-BLOCK_BYTES = 4_000_000
-KEYS_PER_RANGE = 1_500_000
+BLOCK_BYTES = 2_500_000
+KEYS_PER_RANGE = 1_000_000
 BUCKETS = 48
 #: Steps per doubling in which probabilities are binned for expectation-maximisation.
 STEPS = 4

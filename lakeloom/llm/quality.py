@@ -132,3 +132,15 @@ def judge(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None
     src = src.withColumns({"_b": named(base_rules), "_m": named(rules)})
     verdict = [(F.size("_b") > 0).alias("base_failed"), F.concat("_b", "_m").alias("failed"), (F.size("_b") + F.size("_m") == 0).alias("kept")]
     return src.select(*[F.col(f"_k.`{c}`") for c in keep if c.lower() not in out], *m, *verdict)
+
+
+def keep(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, base_rules: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
+    """The documents that pass, with the columns of `docs`.
+
+    They come out of a generator: Spark would push a plain filter below the
+    projection and evaluate every metric again for it.
+    """
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("judged"))
+    judged = judge(row, "judged", ["row"], rules, base_rules)
+    passed = F.when(F.col("kept"), F.array(F.struct("row", F.lit(True).alias("passed"))))
+    return judged.select(F.inline_outer(passed)).where("passed").select(*[F.col(f"row.`{c}`") for c in docs.columns])

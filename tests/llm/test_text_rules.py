@@ -56,6 +56,14 @@ def test_quality_keeps_columns_and_empty_tables(spark):
     assert quality.judge(docs.limit(0)).count() == 0
 
 
+def test_quality_keep(spark):
+    docs = spark.createDataFrame(DOCS, SCHEMA)
+    want = [r for r in quality.judge(docs.withColumnRenamed("n_words", "other")).collect() if r.kept]
+    got = quality.keep(docs)
+    assert got.columns == docs.columns and sorted(map(str, got.collect())) == sorted(str(x) for x in docs.collect() if any((x.doc_id, x.text) == (r.doc_id, r.text) for r in want))
+    assert quality.keep(docs.limit(0)).count() == 0
+
+
 def brute_secrets(text):
     text = text or ""
     assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
