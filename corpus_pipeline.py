@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import lines, mixing, packing, quality, simhash
+from lakeloom.llm import jaccard, lines, mixing, packing, quality
 from lakeloom.llm.common import materialize
 
 
@@ -27,8 +27,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each SimHash component stays; rows that repeat id and text are one document."""
-    found = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    """Of documents linked by a 5-word Jaccard similarity of 0.8 or more the one of the smallest id stays; rows that repeat id and text are one document."""
+    found = jaccard.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     found = materialize(found.groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).agg(F.count(F.lit(1)).alias("_n")))
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h"))
     out = docs.join(found.select("_d", "_h"), same, "left_semi")

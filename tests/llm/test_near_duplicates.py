@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 import xxhash
 
-from lakeloom.llm import components, embeddings, simhash
+from lakeloom.llm import components, embeddings, jaccard, simhash
 
 
 class Forest:
@@ -113,3 +113,44 @@ def test_embedding_edges(spark):
     got = sorted((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(df).collect())
     assert got == [(0, 2, 4, False), (1, 0, 1, True), (4, 2, 4, True), (4, 2, 4, True)]
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
+
+
+def word_sets(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+@pytest.mark.parametrize("block", [256, 20])
+def test_jaccard_components(spark, block):
+    rng = random.Random(6)
+    vocab = [f"w{i}" for i in range(500)]
+    text = lambda n: [rng.choice(vocab) for _ in range(n)]
+    rows = [text(rng.randint(1, 120)) for _ in range(150)]
+    for base in [r for r in rows if len(r) > 20] + [text(100)] * 60:  # edits to both sides of 0.8, and one large group
+        new = list(base)
+        for _ in range(rng.randint(1, max(1, len(base) // 30))):
+            new[rng.randrange(len(new))] = rng.choice(vocab)
+        rows.append(new[: len(new) - rng.randint(0, 4)])
+    texts = [" ".join(r) for r in rows] + [None, "", " ", " ".join(rows[30]).upper()]
+    sets, f = [word_sets(t) for t in texts], Forest(len(texts))
+    far = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                f.join(i, j)
+                far += (simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[j])).bit_count() > 4
+    assert far > 50  # most links are beyond the reach of op8's radius
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(df, block=block).collect()}
+    assert got == {i: f.find(i) for i in range(len(texts))}
+    assert jaccard.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_stage_drops_edited_copies(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(200)]
+    edited = [("new" if i in (40, 90, 150) else w) for i, w in enumerate(words)]  # Jaccard 181 / 211
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(edited)), (3, "other words " * 40)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == [1, 3]
