@@ -13,7 +13,11 @@ from .registry import register
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
     # A pattern, since the file source takes a folder or a pattern but no single file.
-    return events.read_events(spark, f"{sf}/events*.parquet")
+    path = f"{sf}/events*.parquet"
+    # Files of one table may overlap in time to any extent: a delay beyond the table's span leaves no row late.
+    ts = F.unix_seconds(F.col("ts").cast("timestamp"))
+    span = spark.read.schema(events.SCHEMA).parquet(path).agg((F.max(ts) - F.min(ts)).alias("s")).first()["s"] or 0
+    return events.read_events(spark, path, delay=f"{span + 3600} seconds")
 
 
 def _complete(stream: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lakeloom.plans import streams
 from lakeloom.streaming import events as ev
 
 T0 = dt.datetime(2024, 1, 1)
@@ -74,3 +75,14 @@ def test_keyed_state(spark, files, tmp_path):
     got = {r.user_id: (r.n, r.total) for r in spark.table("totals").groupBy("user_id").agg(F.max("n").alias("n"), F.max("total").alias("total")).collect()}
     want = {r.user_id: (r.n, r.t) for r in spark.read.parquet(files).groupBy("user_id").agg(F.count("*").alias("n"), F.sum("value").alias("t")).collect()}
     assert got == want
+
+
+def test_files_that_overlap_in_time_lose_no_rows(spark, tmp_path):
+    """The latest event stands in the first file, the earliest in the last one."""
+    rows = [(i, T0 + dt.timedelta(hours=9 * (i % 21), minutes=i), i % 3, ["click", "purchase"][i % 2], 1.0, "{}") for i in range(120)]
+    for k in range(4):
+        spark.createDataFrame(rows[::-1][k::4], ev.SCHEMA).coalesce(1).write.parquet(str(tmp_path / f"events{k}.parquet"))
+    got = streams.stream_no_repeats(spark, str(tmp_path)).collect()
+    assert sorted(r.event_id for r in got) == list(range(120))
+    pairs = sorted((a[0], b[0]) for a in rows for b in rows if a[2] == b[2] and a[3] == "click" and b[3] == "purchase" and dt.timedelta() <= b[1] - a[1] <= dt.timedelta(hours=1))
+    assert pairs and sorted((r.first_id, r.then_id) for r in streams.stream_follow_up(spark, str(tmp_path)).collect()) == pairs
