@@ -36,8 +36,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix uses it."""
-    plan = mixing.mix(docs).where("repeats > 0").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "repeats").dropDuplicates(["_d", "_h"])
+    """Each document as often as the mix uses it, each source as near to its target as whole documents get."""
+    plan = mixing.mix(docs, tolerance=0).where("repeats > 0").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "repeats").dropDuplicates(["_d", "_h"])
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.xxhash64("text").eqNullSafe(F.col("_h"))
     used = docs.join(plan, same)
     return used.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(*docs.columns)

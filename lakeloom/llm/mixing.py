@@ -27,6 +27,8 @@ MAX_REPEATS = 3
 REPEAT_COST = (0, 1, 4)
 #: Documents of a pattern that may be used once more to come nearer to its target.
 FILLERS = 5
+#: Part of a pattern's words by which these documents may leave it apart from its target.
+TOLERANCE = 0.005
 
 
 def water_fill(sizes: list[int], weights: list[float], cap: float = MAX_REPEATS) -> list[float]:
@@ -102,7 +104,7 @@ def seeded_order(key: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))).cast("binary"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source: str | Column = "source", weights: tuple[float, ...] = (5, 2, 1), seed: int = 42) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source: str | Column = "source", weights: tuple[float, ...] = (5, 2, 1), seed: int = 42, tolerance: float = TOLERANCE) -> DataFrame:
     """Choose how often each document is used so that sources come near their targets.
 
     `source` is a string column, or an array column for documents that count
@@ -115,7 +117,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source:
     Null and empty texts have size 0 and are never taken; a null source is a
     source of its own; repeated ids keep their own rows; an empty table gives
     an empty result. Documents are used whole, at most three times, and the
-    same input gives the same choice.
+    same input gives the same choice. Where the first FILLERS documents leave
+    a pattern more than `tolerance` apart from its words, documents that don't
+    fit are skipped and the order goes on until none fits the gap.
     """
     src = F.col(f"`{source}`") if isinstance(source, str) else source
     is_array = docs.select(src.alias("s")).schema["s"].dataType.typeName() == "array"
@@ -144,8 +148,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source:
     for p, n in patterns.items():
         used = sum(flow[p, r] for r in range(MAX_REPEATS))
         whole = min(MAX_REPEATS, int((used + 1e-6) // n)) if n else 0
-        rows.append((list(p), whole, float(max(0.0, used - whole * n)), int(size_of[p[0]]), float(target[p[0]])))
-    plan = spark.createDataFrame(rows, "_m array<string>, whole int, rest double, source_size long, target double")
+        rows.append((list(p), whole, float(max(0.0, used - whole * n)), float(used), int(size_of[p[0]]), float(target[p[0]])))
+    plan = spark.createDataFrame(rows, "_m array<string>, whole int, rest double, used double, source_size long, target double")
 
     # The range in which the cumulated words of a pattern pass its rest.
     upto = Window.partitionBy("_m").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
@@ -165,7 +169,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source:
     both = rest.unionByName(one)
     # One more use of a few documents fills what the prefix leaves open: each time the largest
     # that fits the gap, at last the nearest in size.
-    left = {r["_p"]: r["rest"] - r["got"] for r in both.groupBy("_p").agg(F.first("rest").alias("rest"), F.sum(F.when(F.col("extra"), F.col("size")).otherwise(0)).alias("got")).collect()}
+    sums = both.groupBy("_p").agg(F.first("rest").alias("rest"), F.first("used").alias("used"), F.sum(F.when(F.col("extra"), F.col("size")).otherwise(0)).alias("got")).collect()
+    left, slack = {r["_p"]: r["rest"] - r["got"] for r in sums}, {r["_p"]: tolerance * r["used"] for r in sums}
     picked: list[tuple] = []
     for k in range(FILLERS):
         gaps = F.broadcast(spark.createDataFrame([*left.items()], "_p string, gap double"))
@@ -175,13 +180,50 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source:
         found = open_.groupBy("_p").agg(F.min(F.struct(off.alias("off"), "_o", "_id", "_h", "size")).alias("f")).collect()
         picked += [(r["_p"], r["f"]["_o"], r["f"]["_h"]) for r in found]
         left |= {r["_p"]: left[r["_p"]] - r["f"]["size"] for r in found}
+    wide = {p: g for p, g in left.items() if abs(g) > slack[p]}
+    for r in found:  # the last one, which may be too large, is chosen anew
+        if wide.get(r["_p"], 0) < 0:
+            picked.remove((r["_p"], r["f"]["_o"], r["f"]["_h"]))
+            wide[r["_p"]] += r["f"]["size"]
     more = F.broadcast(spark.createDataFrame(picked, "_p string, _o string, _h long").distinct().withColumn("filler", F.lit(True)))
+    if wide:
+        more = more.unionByName(_go_on(both.join(more, ["_p", "_o", "_h"], "left_anti"), wide, slack).withColumn("filler", F.lit(True)))
     final = both.join(more, ["_p", "_o", "_h"], "left")
     more = F.col("extra").cast("int") + F.coalesce("filler", F.lit(False)).cast("int")
     final = final.withColumn("repeats", F.when(F.col("size") > 0, F.col("whole") + more).otherwise(F.lit(0)))
     return final.select(F.col("_id").alias(id_col), "size", "source_size", "target", (F.col("repeats") * F.col("size")).cast("long").alias("taken"), "repeats", F.col("_h").alias("text_hash"))
 
 
+def _go_on(rows: DataFrame, gaps: dict[str, float], slack: dict[str, float]) -> DataFrame:
+    """(_p, _o, _h) of documents to use once more: a prefix of those that fit the gap, again and again until none does; at last the nearest in size."""
+    spark, key = rows.sparkSession, ["_p", "_o", "_h"]
+    table = lambda g: F.broadcast(spark.createDataFrame([*g.items()], "_p string, gap double"))
+    # Rows that repeat id and text are used together.
+    free = rows.join(table(gaps), "_p").where("size > 0").groupBy(*key, "_r").agg(F.sum("size").alias("size"), F.max(F.col("whole") + F.col("extra").cast("int")).alias("uses"))
+    free = fit = materialize(free.where(F.col("uses") < MAX_REPEATS).drop("uses"))
+    taken, over = spark.createDataFrame([], "_p string, _o string, _h long"), {}
+    while gaps:
+        fit = materialize(fit.join(table(gaps), "_p").where("size <= gap"))
+        upto = Window.partitionBy("_p").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+        ranges = fit.groupBy("_p", "_r", "gap").agg(F.sum("size").alias("words")).withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0)))
+        ranges = F.broadcast(ranges.where("before <= gap").select("_p", "_r", "before", (F.col("before") + F.col("words") <= F.col("gap")).alias("all")))
+        near = fit.join(ranges, ["_p", "_r"])
+        order = Window.partitionBy("_p", "_r").orderBy("_o", "_h").rowsBetween(Window.unboundedPreceding, 0)
+        edge = near.where("NOT all").withColumn("upto", F.col("before") + F.sum("size").over(order)).where("upto <= gap")
+        new = materialize(near.where("all").select(*key, "size").unionByName(edge.select(*key, "size")))
+        got = {r["_p"]: r["n"] for r in new.groupBy("_p").agg(F.sum("size").alias("n")).collect()}
+        over |= {p: g for p, g in gaps.items() if p not in got}
+        gaps = {p: gaps[p] - n for p, n in got.items() if gaps[p] - n > slack[p]}
+        taken = taken.unionByName(new.select(*key))
+        fit = fit.drop("gap").join(new.select(*key), key, "left_anti")
+    if not over:
+        return taken
+    off = F.abs(F.col("size") - F.col("gap"))
+    last = free.join(table(over), "_p").where(off < F.col("gap")).join(taken, key, "left_anti")
+    last = last.groupBy("_p").agg(F.min(F.struct(off.alias("off"), "_o", "_h")).alias("f"))
+    return taken.unionByName(last.select("_p", "f._o", "f._h"))
+
+
 def _pattern_key(members: Column) -> Column:
     """A string for a set of sources, in which null and the empty name differ."""
     return F.to_json(F.struct(members.alias("m")), {"ignoreNullFields": "false"})

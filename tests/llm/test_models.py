@@ -203,3 +203,14 @@ def test_mix_overlapping_sources(spark):
     rows = [(i, "w " * 10, [["a"], ["b"], ["a", "b"], None][i % 4]) for i in range(400)]
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source array<string>")).collect()
     assert len(got) == 400 and abs(sum(r.taken for r in got) - 4000) <= 40
+
+
+def test_mix_skips_what_does_not_fit(spark):
+    """Many short documents and a very long one: the rest of each target is filled past the long one, wherever the order puts it."""
+    for seed in range(3, 9):
+        rows = [(i, "w " * 100, "b") for i in range(300)] + [(999, "w " * 20000, "b"), (1000, "w " * 60000, "a")]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        got = mixing.mix(docs, weights=(1, 1), seed=seed).where("doc_id < 1000")
+        r = got.groupBy().sum("taken").first()[0], got.first()["target"]
+        assert abs(r[0] - r[1]) <= 0.005 * r[1], (seed, r)
+        assert got.where("repeats > 3").count() == 0
