@@ -248,7 +248,7 @@ def _score(stats: Stats, weights: np.ndarray):
     return use
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3) -> DataFrame:
     """Score every whole text by a model of all training texts.
 
     Held out are the rows whose crc32 of the id as text (null: empty) is

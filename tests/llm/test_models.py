@@ -214,3 +214,11 @@ def test_mix_skips_what_does_not_fit(spark):
         r = got.groupBy().sum("taken").first()[0], got.first()["target"]
         assert abs(r[0] - r[1]) <= 0.005 * r[1], (seed, r)
         assert got.where("repeats > 3").count() == 0
+
+
+def test_default_order_counts_trigrams(spark):
+    """After "a b" comes c, after "x b" comes d: only trigrams tell them apart."""
+    texts = ["a b c", "x b d"] * 150
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = lm.score(docs).where("held_out").groupBy().avg("score").first()[0]
+    assert got > lm.score(docs, order=2).where("held_out").groupBy().avg("score").first()[0] + 0.2
