@@ -6,9 +6,11 @@ of each is assigned, in descending cost, to the sequence of lowest cost that
 still has room. A piece that fits nowhere is cut to fill the gap, so that a
 group of sequences leaves less than one sequence of padding.
 
-Groups of about GROUP_TOKENS tokens are packed independently: their number
-grows with the corpus, their size does not, and the pieces of one very long
-document are dealt over many groups.
+Pieces are dealt to groups by the number of their task and their place in it,
+so that rows of equal ids and texts part too; a task that runs again numbers
+the same rows alike. Groups of about GROUP_TOKENS tokens are packed
+independently: their number grows with the corpus, their size does not, and
+the pieces of one very long document are dealt over many groups.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ UNSAFE = re.compile(r" [\s\x1c-\x1f\x85]|[\s\x1c-\x1f\x85] ")
 #: Words of Latin script, on whose character classes both tokenizer libraries agree.
 LATIN = re.compile(r"[!-~\u00a1-\u024f]+")
 NEWLINE_ID = 198
+#: Words on which the quick encoder must agree with `tokenizers` before it is used.
+PROBE = [chr(c) for c in (*range(0x21, 0x7F), *range(0xA1, 0x250))] + ["it's", "don't,", "we'll", "1,234.5", "naïve", "Straße", "½x²", "https://a.example/b?c=d", "foo_bar", "***###", "ALLCAPS", "x" * 40]
 
 
 class WordTokenizer:
@@ -41,18 +45,22 @@ class WordTokenizer:
     The pre-tokenizer of byte-level BPE starts a new piece at every space
     between two non-space characters, so the ids of a text are those of its
     space-separated words, each with its space. Texts in which a space meets
-    other white space are encoded as a whole by `tokenizers`.
-
-    With `ranks_path`, the same vocabulary in tiktoken's form, new words of
-    Latin script are encoded by tiktoken, which takes a third of the time for
-    the same ids; all others by `tokenizers`.
+    other white space, or which hold an added token such as <|endoftext|>
+    (`tokenizers` cuts texts at those first), are encoded as a whole by
+    `tokenizers`.
+
+    `ranks_path` is an optional quick way to fill that cache: the same
+    vocabulary in tiktoken's form encodes new words of Latin script in a third
+    of the time. At the start both encode PROBE; if any id differs,
+    `tokenizers` encodes all words.
     """
 
     def __init__(self, path: str, ranks_path: str | None = None, pattern: str | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.unsafe = re.compile("|".join([UNSAFE.pattern, *map(re.escape, filter(None, added))]))
         self.fast = None
         if ranks_path:
             import base64
@@ -61,7 +69,9 @@ class WordTokenizer:
 
             with open(ranks_path, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+            fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+            same = all(fast.encode_ordinary(" " + w) == self.tokenizer.encode(" " + w, add_special_tokens=False).ids for w in PROBE)
+            self.fast = fast if same and fast.encode_ordinary("\n") == [NEWLINE_ID] else None
         self.known: dict[str, bytes] = {}
 
     def _learn(self, fresh: list[str]) -> None:
@@ -81,7 +91,7 @@ class WordTokenizer:
                 self.known[w] = np.array(e.ids, np.uint32).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [None if UNSAFE.search(t) or t[:1] == " " or t[-1:] == " " else t.split(" ") for t in texts]
+        cut = [None if self.unsafe.search(t) or t[:1] == " " or t[-1:] == " " else t.split(" ") for t in texts]
         wanted = set().union(*(ws[1:] for ws in cut if ws))
         new = wanted.difference(self.known)
         if len(self.known) + len(new) > CACHE_WORDS:
@@ -101,7 +111,11 @@ def _pieces(path: str, ranks_path: str | None, pattern: str | None, end_id: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
+        import xxhash
+        from pyspark import TaskContext
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        made, task = 0, TaskContext.get().partitionId()
         tok = WordTokenizer(path, ranks_path, pattern)
         for batch in batches:
             at = 0
@@ -113,13 +127,14 @@ def _pieces(path: str, ranks_path: str | None, pattern: str | None, end_id: int)
                     chars += len(texts[-1])
                     to += 1
                 rows: list[tuple] = []
-                for doc, spread, ids in zip(batch.column(0)[at:to].to_pylist(), batch.column(2)[at:to].to_pylist(), tok.encode(texts), strict=True):
+                for doc, ids in zip(batch.column(0)[at:to].to_pylist(), tok.encode(texts), strict=True):
                     ids = np.append(ids, np.uint32(end_id))
                     for s in range(0, len(ids), SEQUENCE):
                         part = ids[s : s + SEQUENCE].astype("<u4").tobytes()
                         n = len(part) // 4
                         # The ids travel only with pieces that may be cut again.
-                        rows.append((doc, len(ids), s, n, zlib.crc32(part), None if n == SEQUENCE else part, spread + s))
+                        rows.append((doc, len(ids), s, n, zlib.crc32(part), None if n == SEQUENCE else part, xxhash.xxh64_intdigest(b"%d:%d" % (task, made)) >> 1))
+                        made += 1
                     if len(rows) > 5000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
                         rows = []
@@ -196,8 +211,7 @@ def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, pa
     # About three bytes make a token; only the number of groups depends on it.
     size = src.agg(F.sum(F.octet_length("text")).alias("b"), F.count(F.lit(1)).alias("n")).first()
     groups = max(1, ((size["b"] or 0) // 3 + size["n"]) // group_tokens)
-    spread = src.withColumn("spread", F.xxhash64("doc_id", F.octet_length("text")).bitwiseAND(F.lit((1 << 40) - 1)))
-    pieces = spread.mapInArrow(_pieces(tokenizer_path, ranks_path, pattern, end_id), "doc_id long, doc_tokens long, start long, length long, crc long, ids binary, spread long")
-    grouped = pieces.withColumn("group", F.pmod(F.xxhash64("spread"), F.lit(groups))).drop("spread")
+    pieces = src.mapInArrow(_pieces(tokenizer_path, ranks_path, pattern, end_id), "doc_id long, doc_tokens long, start long, length long, crc long, ids binary, spread long")
+    grouped = pieces.withColumn("group", F.pmod("spread", F.lit(groups))).drop("spread")
     out = grouped.groupBy("group").applyInPandas(_pack_group, "doc_id long, doc_tokens long, start long, length long, ids_crc32 long, sequence_id long, offset long")
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

@@ -1,5 +1,6 @@
 """Language-model scores, packing and mixing."""
 
+import base64
 import math
 import random
 import re
@@ -8,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lakeloom.llm import lm, mixing, packing
 
@@ -94,12 +96,10 @@ def test_scores_of_nothing(spark):
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(P.path("byte_bpe_50k.json"))
 
 
-ODD = ["", " ", "a  b", " a", "a ", "x\n\ny z\n w", "a \n b", "x y あz  q", "tab\t x", "it's don't we'll", "a\xa0 b", "<|endoftext|> x <|endoftext|>", "naïve Straße ½ ² ª \u0301x", "\x1c y\x85 z", "日本 語 ǆ ȯ Ж"]
+ODD = ["", " ", "a  b", " a", "a ", "x\n\ny z\n w", "a \n b", "x y あz  q", "tab\t x", "it's don't we'll", "a\xa0 b", "<|endoftext|> x <|endoftext|>", "x <|endoftext|> y", "a<|endoftext|>b c", "naïve Straße ½ ² ª \u0301x", "\x1c y\x85 z", "日本 語 ǆ ȯ Ж"]
 
 
 @pytest.mark.parametrize("fast", [True, False])
@@ -111,6 +111,18 @@ def test_word_tokenizer(fast, monkeypatch):
     want = [e.ids for e in tokenizer().encode_batch(texts, add_special_tokens=False)]
     for _ in range(2):
         assert [x.tolist() for x in own.encode(texts)] == want
+    assert own.encode(["x <|endoftext|> y"])[0].tolist() == [87, 220, 50256, 331]
+
+
+def test_quick_encoder_is_dropped_where_it_differs(tmp_path):
+    """A vocabulary file with two ids exchanged isn't used."""
+    raw = open(P.path("byte_bpe_50k.tiktoken"), "rb").read()
+    rows = dict(x.split() for x in raw.splitlines())
+    a, b = base64.b64encode(b" A"), base64.b64encode(b" B")
+    rows[a], rows[b] = rows[b], rows[a]
+    (tmp_path / "other").write_bytes(b"\n".join(b" ".join(x) for x in rows.items()))
+    own = packing.WordTokenizer(P.path("byte_bpe_50k.json"), str(tmp_path / "other"), P.PATTERN)
+    assert own.fast is None and own.encode(["a b! c"])[0].tolist() == tokenizer().encode("a b! c").ids
 
 
 @pytest.mark.parametrize("group", [packing.GROUP_TOKENS, 4000])
@@ -153,6 +165,19 @@ def test_packing_repeats_and_null_ids(spark):
     assert sorted((r.doc_id or 0, r.length, r.offset) for r in rows) == [(0, 3, 6), (1, 3, 0), (1, 3, 3)]
 
 
+def test_packing_spreads_equal_rows(spark):
+    docs = spark.range(100_000).selectExpr("cast(null as long) doc_id", "'same text' text")
+    rows = packing.pack(docs, P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN, group_tokens=10_000)
+    per = [r["n"] for r in rows.groupBy((F.col("sequence_id") / 2**32).cast("long")).agg(F.sum("length").alias("n")).collect()]
+    assert sum(per) == 300_000 and len(per) > 20 and max(per) < 4 * 300_000 / len(per)
+
+
+def test_packing_very_long_text(spark):
+    text = "word " * 400_000 + "<|endoftext|>"
+    rows = packing.pack(spark.createDataFrame([(1, text)], "doc_id long, text string"), P.path("byte_bpe_50k.json"), group_tokens=50_000).collect()
+    assert sum(r.length for r in rows) == rows[0].doc_tokens == len(tokenizer().encode(text, add_special_tokens=False).ids) + 1
+
+
 def test_assign_balances_cost():
     rng = random.Random(2)
     lengths = [rng.randint(1, 1024) for _ in range(300)]
