@@ -9,11 +9,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting to delete the shuffle files of a query as soon as it has ended.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one, removed at exit, only where none is set."""
+    """The folder of spark.checkpoint.dir. Where none is set: a temporary one, removed at exit, if Spark is local; else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="lakeloom-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(base)
@@ -28,15 +34,35 @@ def new_path(spark: SparkSession) -> str:
     return f"{_own_dir(spark)}/{uuid.uuid4().hex}"
 
 
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete the intermediate tables of this application; DataFrames that still read them end with it."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _own_dir(spark))
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that `materialize` wrote and that nothing reads any more; other DataFrames are left alone."""
+    for t in tables:
+        if where := t.__dict__.get("scratch_path"):
+            _delete(t.sparkSession, where)
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write `df` once to the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write `df` once to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The shuffle files behind it are deleted with the write's end: what follows reads the table.
+    """
     spark, path = df.sparkSession, new_path(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table

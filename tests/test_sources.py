@@ -54,3 +54,23 @@ def test_scratch(spark):
     assert os.path.exists(file)
     scratch.clear(spark)
     assert not os.path.exists(file)
+
+
+def test_scratch_release_and_shuffle_files(spark):
+    kept, gone = (scratch.materialize(spark.range(100).groupBy("id").count()) for _ in range(2))
+    scratch.release(gone, kept.where("id > 3"))  # only tables that were written here are deleted
+    assert kept.count() == 100 and not os.path.exists(gone.scratch_path) and os.path.exists(kept.scratch_path)
+    assert spark.conf.get(scratch.CLEAN_UP, None) in (None, "false")
+
+
+def test_no_local_folder_on_a_cluster():
+    class Cluster:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(RuntimeError, match=r"spark\.checkpoint\.dir"):
+        scratch.shared_dir(Cluster)
