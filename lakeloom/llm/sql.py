@@ -49,10 +49,10 @@ FROM ratios"""
 def _kind(kind: secrets.Kind, rank: int) -> str:
     pattern = kind.pattern.replace("'", "''")
     return rf"""
-  SELECT doc_id, owner, {rank} AS rank, '{kind.name}' AS kind, val,
+  SELECT doc_id, owner, repo, {rank} AS rank, '{kind.name}' AS kind, val,
          list_sum(list_transform(pieces[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS start, length(hit) AS size
-  FROM (SELECT doc_id, owner, pieces, hits, unnest(hits) AS hit, unnest(vals) AS val, unnest(range(1, len(hits) + 1)) AS i
-        FROM (SELECT doc_id, owner, regexp_split_to_array(t, '{pattern}') AS pieces, regexp_extract_all(t, '{pattern}') AS hits, regexp_extract_all(t, '{pattern}', {kind.value}) AS vals
+  FROM (SELECT doc_id, owner, repo, pieces, hits, unnest(hits) AS hit, unnest(vals) AS val, unnest(range(1, len(hits) + 1)) AS i
+        FROM (SELECT doc_id, owner, repo, regexp_split_to_array(t, '{pattern}') AS pieces, regexp_extract_all(t, '{pattern}') AS hits, regexp_extract_all(t, '{pattern}', {kind.value}) AS vals
               FROM d WHERE regexp_matches(t, '{pattern}')))
   WHERE length(val) >= {kind.least}"""
 
@@ -60,22 +60,23 @@ def _kind(kind: secrets.Kind, rank: int) -> str:
 _KINDS = (*secrets.BASE_KINDS, *secrets.MORE_KINDS)
 _N = len(secrets.BASE_KINDS)
 OP3_SQL = rf"""
-WITH d AS (SELECT doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT doc_id, coalesce(source, '') AS owner, to_json({{'s': source, 'l': lang}}) AS repo, coalesce(text, '') AS t FROM documents),
 found AS ({" UNION ALL ".join(_kind(k, i) for i, k in enumerate(_KINDS))}),
-spans AS (SELECT doc_id, owner, rank, kind, val, start::BIGINT AS start, (start + size)::BIGINT AS stop FROM found),
+spans AS (SELECT doc_id, owner, repo, rank, kind, val, start::BIGINT AS start, (start + size)::BIGINT AS stop FROM found),
 apart AS (
   SELECT * FROM spans m WHERE rank < {_N} OR NOT EXISTS (
     SELECT 1 FROM spans b WHERE b.doc_id = m.doc_id AND b.rank < {_N} AND m.stop > b.start AND m.start < b.stop)),
-held AS (SELECT val, count(DISTINCT owner) AS owners FROM apart GROUP BY val),
-judged AS (SELECT a.*, owners <= 1 AS live, kind || ':' || start || ':' || stop AS label FROM apart a JOIN held USING (val)),
+held AS (SELECT val, count(DISTINCT owner) AS owners, count(DISTINCT (owner, repo)) AS repos FROM apart GROUP BY val),
+judged AS (SELECT a.*, owners, repos, owners <= 1 AND repos <= 2 AS live, kind || ':' || start || ':' || stop AS label FROM apart a JOIN held USING (val)),
 per AS (
   SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k.name}') AS n_{k.name}" for k in secrets.BASE_KINDS)},
          string_agg(label, ',' ORDER BY start, rank, stop) FILTER (rank < {_N}) AS base,
          string_agg(label, ',' ORDER BY start, rank, stop) FILTER (rank < {_N} OR live) AS spans,
+         string_agg(owners || ':' || repos, ',' ORDER BY start, rank, stop) FILTER (rank < {_N} OR live) AS held_by,
          count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied
   FROM judged GROUP BY doc_id)
 SELECT d.doc_id, {", ".join(f"coalesce(n_{k.name}, 0)::BIGINT AS n_{k.name}" for k in secrets.BASE_KINDS)},
-       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_copied, 0)::BIGINT AS n_copied
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(held_by, '') AS held_by, coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_copied, 0)::BIGINT AS n_copied
 FROM d LEFT JOIN per USING (doc_id)"""
 
 _LEAST = lines.MIN_WORDS

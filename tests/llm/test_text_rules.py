@@ -1,7 +1,9 @@
 """Quality rules and secret scans against plain Python."""
 
 import hashlib
+import random
 import re
+import time
 
 import pytest
 
@@ -111,3 +113,39 @@ def test_secret_owner_threshold(spark, most):
     docs = spark.createDataFrame([(i, f"copied {JWT} here", "en", f"s{i}") for i in range(2)], "doc_id long, text string, lang string, source string")
     out = secrets.scan(docs, most_owners=most).collect()
     assert all((r.n_live, r.n_copied, len(r.added)) == ((1, 0, 1) if most == 2 else (0, 1, 0)) for r in out)
+
+
+def test_secrets_repositories_count(spark):
+    """One owner's value in many of its repositories is a copied example, too."""
+    rows = [(i, f"copied {JWT} here", f"l{i}", "s") for i in range(3)] + [(9, "bearer " + "xyz1" * 6, "l0", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in secrets.digest(secrets.scan(docs)).collect()}
+    assert [got[i].spans for i in range(3)] == [""] * 3 and got[0].n_copied == 1
+    assert got[9].spans == "bearer:0:31" and got[9].held_by == "1:1"
+    assert {(h.owners, h.repos) for r in secrets.scan(docs, most_repos=3).collect() for h in r.held} == {(1, 3), (1, 1)}
+
+
+def test_secrets_added_spans_lie_outside_base_ones(spark):
+    rng, parts = random.Random(5), ["token: abcdefgh ", "bearer token=abcdefgh12345678901234 ", f"{JWT} ", "ghp_" + "x1" * 12 + " ", "password=ghp_" + "y2" * 12 + " ", "word "]
+    docs = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 20))), f"s{i}", "en") for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string")
+    for r in secrets.scan(df, most_owners=99, most_repos=99).collect():
+        assert all(a.stop <= b.start or a.start >= b.stop for a in r.added for b in r.base)
+        assert len(r.held) == len(r.base) + len(r.added)
+
+
+def test_secrets_are_linear_in_matches(spark):
+    """32,000 matches in one text; a quadratic fold takes over a minute."""
+    text = "token: abcdef1 " * 32_000
+    docs = spark.createDataFrame([(1, text, "s", "en", 3)], "doc_id long, text string, source string, lang string, base int")
+    secrets.digest(secrets.scan(docs.where("doc_id < 0"))).collect()  # compile
+    began = time.perf_counter()
+    r = secrets.digest(secrets.scan(docs, keep=("doc_id", "base"))).collect()[0]
+    assert r.n_assign == 32_000 and r.base_sha256 == hashlib.sha256(brute_secrets(text).encode()).hexdigest()
+    assert time.perf_counter() - began < 20
+
+
+def test_secrets_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "token: abcdef", "s", "en", 3, "x", 1)], "doc_id long, text string, source string, lang string, base int, held string, _r int")
+    out = secrets.scan(docs, keep=("doc_id", "base", "held", "_r"))
+    assert out.columns == ["doc_id", "_r", "base", "added", "held", "n_live", "n_copied"] and out.first()["_r"] == 1
