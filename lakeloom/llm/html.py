@@ -1,38 +1,46 @@
 """Main text of web pages by differencing each page with the page of nearest URL.
 
-Pages are cut into text lines (blocks). Within each host, pages are ordered by
-path; the neighbour with the longer common path prefix is a page's partner.
-Lines that the longest common subsequence of both pages shares come from the
-site's template and are deleted, unless they stand in the element that the
-page itself marks as its article. Markup decides first what can't be article:
-menus, headers, footers, sidebars, notices, adverts, forms, comments.
-
-Only hashes of lines travel between pages. The order by host and path is a
-range-partitioned sort, so that a host with a third of all pages is spread
-over many tasks; neighbours across partitions are found by row numbers.
+Markup decides first what can't be article: menus, headers, footers, sidebars,
+notices, adverts, forms, comments, and, where a page marks its article,
+everything outside it. What is left are the page's text lines (blocks). Pages
+of one host that have the same lines are copies and count as one. Of each
+host, the different pages are ordered by path, and a page is differenced with
+the neighbour of longer common path prefix: the lines that the longest common
+subsequence of both shares come from the site's template and are deleted.
+Where that takes more than half of a page's lines, the two may be versions of
+one text; then the neighbour on the other side, if there is one, has to share
+a line as well.
+
+Pages are parsed once. Only hashes of lines travel between pages. The order by
+host and path is a range-partitioned sort, so that a host with a third of all
+pages is spread over many tasks; neighbours across partitions are found by row
+numbers.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, materialize
+from .common import UPPER, materialize, release
 
-#: Two pages that share this part of the shorter one's lines are copies of one page, not two pages of one template.
-COPY = 0.8
 #: Lists of deletions up to this many bytes are broadcast; longer ones are joined by shuffle.
 BROADCAST_BYTES = 8 << 20
-
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>", re.S)
-ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+#: Cells up to which the table of a longest common subsequence is kept as bits; larger ones are split.
+TABLE_BITS = 1 << 26
+#: Bytes of text in a batch of parsed pages, but for a longer page.
+BATCH_BYTES = 8 << 20
+
+NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)")
+MARK = re.compile(r"[>\"']")
+ATTRIBUTE = re.compile(r"""(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -43,14 +51,92 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 #: Words of class or id that name such elements.
 NAMES = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer gdpr login menu modal nav navbar navigation newsletter notice notification pager pagination popup promo promoted promotion related recommended replies reply respond share sharing sidebar signup social sponsor sponsored subscribe subscription teaser toolbar widget widgets".split())
 CLOSES_P = BLOCK - {"body", "html"}
+#: A stray end tag of the second kind closes nothing outside its own container of the first.
+CONTAINERS = frozenset("article main body td table section".split())
+CONTAINED = frozenset("p li span a b i em strong".split())
+RAW_END = {name: re.compile(rf"</{name}(?![a-zA-Z0-9:-])", re.I) for name in RAW}
+
+
+class _Tags:
+    """Tags of a page, in time linear in its length."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        # Places outside quotes from which no tag ends.
+        self.dead: set[int] = set()
+
+    def at(self, i: int) -> tuple[int, str, str, str] | None:
+        """(end, slash, lower-case name, attributes) of what starts with the < at i; the name of comments is empty; None for a mere <."""
+        page = self.page
+        if page.startswith("<!--", i):
+            end = page.find("-->", i + 4)
+            return (len(page) if end < 0 else end + 3), "", "", ""
+        if i > self.last:
+            return None
+        if page[i + 1] in "!?":
+            return page.find(">", i) + 1, "", "", ""
+        m = NAME.match(page, i)
+        if not m:
+            return None
+        end = self._end(m.end())
+        return end + 1, m[1], m[2].lower(), page[m.end() : end]
+
+    def _end(self, at: int) -> int:
+        """The first > outside quotes, or else, where quotes don't close, the first one."""
+        first, seen = self.page.find(">", at), []
+        while True:
+            m = MARK.search(self.page, at)
+            if m and m[0] == ">":
+                return m.start()
+            close = -1 if not m or m.start() in self.dead else self.page.find(m[0], m.end())
+            if close < 0:
+                self.dead.update(seen)
+                if m:
+                    self.dead.add(m.start())
+                return first
+            seen.append(m.start())
+            at = close + 1
+
+
+class _Open:
+    """The open elements: name, skipped, in the article."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, bool, bool]] = []
+        self.places: dict[str, list[int]] = {}
+        self.containers: list[int] = []
+
+    def push(self, name: str, skipped: bool, inside: bool) -> None:
+        self.places.setdefault(name, []).append(len(self.stack))
+        if name in CONTAINERS:
+            self.containers.append(len(self.stack))
+        self.stack.append((name, skipped, inside))
+
+    def last(self, name: str) -> int:
+        places = self.places.get(name)
+        return places[-1] if places else -1
+
+    def cut(self, to: int) -> None:
+        while len(self.stack) > to:
+            name = self.stack.pop()[0]
+            self.places[name].pop()
+            if name in CONTAINERS:
+                self.containers.pop()
+
+    def close(self, name: str) -> None:
+        at = self.last(name)
+        if at >= 0 and not (name in CONTAINED and self.containers and self.containers[-1] > at):
+            self.cut(at)
+
+    def state(self) -> tuple[bool, bool]:
+        return self.stack[-1][1:] if self.stack else (False, False)
 
 
 def blocks(page: str | None) -> list[tuple[str, bool]]:
     """(text, in the article) of each block of text, in page order, without what markup rules out."""
     out: list[tuple[str, bool]] = []
     buffer: list[str] = []
-    # Open elements: name, skipped, in the article.
-    stack: list[tuple[str, bool, bool]] = []
+    tags, open_ = _Tags(page or ""), _Open()
     skip = inside = False
 
     def flush() -> None:
@@ -62,15 +148,16 @@ def blocks(page: str | None) -> list[tuple[str, bool]]:
 
     page, at = page or "", 0
     while at < len(page):
-        m = TOKEN.search(page, at)
+        i, tag = page.find("<", at), None
+        while i >= 0 and not (tag := tags.at(i)):
+            i = page.find("<", i + 1)
         if not skip:
-            text = page[at : m.start() if m else len(page)]
+            text = page[at : i if i >= 0 else len(page)]
             if text:
                 buffer.append(entities.unescape(text) if "&" in text else text)
-        if not m:
+        if not tag:
             break
-        at = m.end()
-        name = (m[2] or "").lower()
+        at, slash, name, attributes = tag
         if not name:
             continue
         if name == "br":
@@ -79,33 +166,32 @@ def blocks(page: str | None) -> list[tuple[str, bool]]:
             continue
         if name in BLOCK:
             flush()
-        if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-                # A stray end tag closes nothing outside its own container.
-                if stack[i][0] in ("article", "main", "body", "td", "table", "section") and name in ("p", "li", "span", "a", "b", "i", "em", "strong"):
-                    break
+        if slash:
+            open_.close(name)
         elif name not in VOID:
-            if name in CLOSES_P and stack and any(e[0] == "p" for e in stack[-4:]):
-                while stack[-1][0] != "p":
-                    stack.pop()
-                stack.pop()
-            if name == "li" and stack and stack[-1][0] == "li":
-                stack.pop()
-            skip, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            own, article = _kind(name, m[3], inside) if not skip else (True, False)
+            if name in CLOSES_P and 0 <= open_.last("p") >= len(open_.stack) - 4:
+                open_.cut(open_.last("p"))
+            if name == "li" and open_.stack and open_.stack[-1][0] == "li":
+                open_.cut(len(open_.stack) - 1)
+            skip, inside = open_.state()
+            own, article = _kind(name, attributes, inside) if not skip else (True, False)
             if name in RAW:
-                end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
-            elif not m[3].endswith("/") or name in BLOCK:
-                stack.append((name, skip or own, inside or article))
-        skip, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                end = RAW_END[name].search(page, at)
+                at = page.find(">", end.end()) + 1 if end and end.end() <= tags.last else len(page)
+            elif not attributes.endswith("/") or name in BLOCK:
+                open_.push(name, skip or own, inside or article)
+        skip, inside = open_.state()
     flush()
     return out
 
 
+def kept_lines(page: str | None) -> list[str]:
+    """The blocks that may be article: those in the marked article, or all where none is marked."""
+    found = blocks(page)
+    marked = any(inside for _, inside in found)
+    return [t for t, inside in found if inside or not marked]
+
+
 def _kind(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
     """Whether an element is skipped, and whether it is marked as the article."""
     a = {k.lower(): x or y or z for k, x, y, z in ATTRIBUTE.findall(attributes)} if "=" in attributes else {}
@@ -125,32 +211,69 @@ def _kind(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
 
 
 def common_lines(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Index pairs of a longest common subsequence (Hunt and Szymanski)."""
-    head = 0
-    while head < min(len(a), len(b)) and a[head] == b[head]:
-        head += 1
-    tail = 0
-    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    where: dict[int, list[int]] = {}
-    for j in range(len(b) - tail - 1, head - 1, -1):
-        where.setdefault(b[j], []).append(j)
-    ends: list[int] = []
-    links: list[tuple | None] = []
-    for i in range(head, len(a) - tail):
-        for j in where.get(a[i], ()):
-            k = bisect_left(ends, j)
-            link = (i, j, links[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                links.append(link)
-            else:
-                ends[k], links[k] = j, link
-    middle, link = [], links[-1] if links else None
-    while link:
-        middle.append(link[:2])
-        link = link[2]
-    return [(i, i) for i in range(head)] + middle[::-1] + [(len(a) - tail + i, len(b) - tail + i) for i in range(tail)]
+    """Index pairs of a longest common subsequence.
+
+    Rows of the table are bits of one integer, 64 cells a step; a table of
+    more than TABLE_BITS is split in two, so memory is linear in the lines.
+    """
+    both = set(a) & set(b)
+    ia, ib = ([i for i, x in enumerate(s) if x in both] for s in (a, b))
+    a, b = [a[i] for i in ia], [b[j] for j in ib]
+    out, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        while a0 < a1 and b0 < b1 and a[a0] == b[b0]:
+            out.append((a0, b0))
+            a0, b0 = a0 + 1, b0 + 1
+        while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
+            a1, b1 = a1 - 1, b1 - 1
+            out.append((a1, b1))
+        if a0 == a1 or b0 == b1:
+            continue
+        if (a1 - a0) * (b1 - b0) <= TABLE_BITS or b1 - b0 == 1:
+            out += [(a0 + i, b0 + j) for i, j in _matches(a[a0:a1], b[b0:b1])]
+            continue
+        mid = (b0 + b1) // 2
+        before, after = _lengths(a[a0:a1], b[b0:mid]), _lengths(a[a0:a1][::-1], b[mid:b1][::-1])
+        cut = a0 + int((before + after[::-1]).argmax())
+        todo += [(a0, cut, b0, mid), (cut, a1, mid, b1)]
+    return sorted((ia[i], ib[j]) for i, j in out)
+
+
+def _rows(a: list[int], b: list[int]) -> Iterator[int]:
+    """For each line of b, an integer whose bit i is 0 where the subsequence grows with line i of a."""
+    where: dict[int, int] = {}
+    for i, x in enumerate(a):
+        where[x] = where.get(x, 0) | 1 << i
+    full = row = (1 << len(a)) - 1
+    for x in b:
+        hit = row & where.get(x, 0)
+        row = (row + hit | row - hit) & full
+        yield row
+
+
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Lengths of the longest common subsequences of all prefixes of a with b."""
+    row = (1 << len(a)) - 1
+    for row in _rows(a, b):  # noqa: B007
+        pass
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(a) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(a)]
+    return np.append(0, np.cumsum(1 - bits.astype(np.int64)))
+
+
+def _matches(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    rows = [row.to_bytes(len(a) // 8 + 1, "little") for row in _rows(a, b)]
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        k = i - 1
+        if rows[j - 1][k >> 3] >> (k & 7) & 1:
+            i -= 1
+            continue
+        j -= 1
+        if not j or rows[j - 1][k >> 3] >> (k & 7) & 1:
+            i -= 1
+            out.append((i, j))
+    return out
 
 
 def host_of(url: Column) -> Column:
@@ -163,79 +286,80 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def _hash_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
+    def made(rows: list[tuple], batch: pa.RecordBatch, at: int) -> pa.RecordBatch:
+        texts, hashes, all_ = zip(*rows, strict=True)
+        cols = [pa.array(texts, pa.list_(pa.string())), pa.array(hashes, pa.list_(pa.int64())), pa.array(all_, pa.int64())]
+        return pa.RecordBatch.from_arrays([*(c.slice(at, len(rows)) for c in batch.columns[:-1]), *cols], names=["page_id", "url", "host", "path", "texts", "lines", "h"])
+
     for batch in batches:
-        hashes, loose = [], []
+        rows, size, at = [], 0, 0
         for i in range(batch.num_rows):
-            found = blocks(batch.column(batch.num_columns - 1)[i].as_py())
-            marked = any(inside for _, inside in found)
-            hashes.append([xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for t, _ in found])
-            # Outside a marked article nothing is kept anyway.
-            loose.append([] if marked else list(range(len(found))))
-        cols = [*batch.columns[:-1], pa.array(hashes, pa.list_(pa.int64())), pa.array(loose, pa.list_(pa.int32()))]
-        yield pa.RecordBatch.from_arrays(cols, names=["p", "h", "host", "path", "lines", "loose"])
+            texts = kept_lines(batch.column(batch.num_columns - 1)[i].as_py())
+            hashes = np.array([xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t in texts], np.uint64)
+            rows.append((texts, hashes.view(np.int64), xxhash.xxh64_intdigest(hashes.tobytes()) - (1 << 63)))
+            size += sum(map(len, texts))
+            if size > BATCH_BYTES:
+                yield made(rows, batch, at)
+                rows, size, at = [], 0, i + 1
+        if rows:
+            yield made(rows, batch, at)
 
 
 def _difference(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For both pages of each pair: how near the other is, and which loose lines they share."""
+    """For both pages of each pair: how near the other is, and which lines they share."""
     for pdf in frames:
         rows = []
         for r in pdf.itertuples(index=False):
-            a, b = list(r.lines), list(r.lines2)
-            pairs = common_lines(a, b)
+            pairs = common_lines(list(r.lines), list(r.lines2))
             near = next((i for i, (x, y) in enumerate(zip(r.path, r.path2, strict=False)) if x != y), min(len(r.path), len(r.path2)))
-            copy = len(pairs) >= COPY * max(1, min(len(a), len(b)))
-            for i, side, loose in ((r.id, 0, r.loose), (r.id2, 1, r.loose2)):
-                mine = {p[side] for p in pairs}
-                rows.append((i, not copy, near, side, [] if copy else [x for x in loose if x in mine]))
-        yield pd.DataFrame(rows, columns=["id", "apart", "near", "side", "shared"])
+            rows += [(r.id, near, 1, [i for i, _ in pairs]), (r.id2, near, 0, [j for _, j in pairs])]
+        yield pd.DataFrame(rows, columns=["id", "near", "next", "shared"])
 
 
-def template_lines(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """(p, h, shared): page id, hash of url and html, and the lines to delete, for pages that have any."""
-    url, page = F.col(f"`{url_col}`").cast("string"), F.col(f"`{html_col}`").cast("string")
-    src = pages.select(F.col(f"`{id_col}`").cast("long").alias("p"), F.xxhash64(url, page).alias("h"), host_of(url).alias("host"), path_of(url).alias("path"), page.alias("page"))
-    hashed = src.mapInArrow(_hash_lines, "p long, h long, host string, path string, lines array<long>, loose array<int>")
-    hashed = materialize(hashed)
-    ordered = materialize(hashed.orderBy("host", "path", "p", "h").withColumn("id", F.monotonically_increasing_id()))
+def template_lines(parsed: DataFrame) -> DataFrame:
+    """(host, h, shared): the lines to delete from the pages of a host whose lines hash to h, where there are any."""
+    pages = parsed.where("host <> '' AND size(lines) > 0").groupBy("host", "h").agg(F.min(F.struct("path", "page_id")).alias("at"), F.first("lines").alias("lines"))
+    pages = pages.select("host", "h", "at.path", "at.page_id", "lines")
+    ordered = materialize(pages.orderBy("host", "path", "page_id", "h").withColumn("id", F.monotonically_increasing_id()))
     # The first row of each partition follows the last of the one before: one row for each partition.
     ends = ordered.groupBy(F.shiftright("id", 33).alias("part")).agg(F.min("id").alias("first"), F.max("id").alias("last")).orderBy("part").collect()
-    spark = pages.sparkSession
-    jumps = spark.createDataFrame([(a["last"], b["first"]) for a, b in zip(ends, ends[1:], strict=False)], "id long, jump long")
+    jumps = parsed.sparkSession.createDataFrame([(a["last"], b["first"]) for a, b in zip(ends, ends[1:], strict=False)], "id long, jump long")
     left = ordered.join(F.broadcast(jumps), "id", "left").withColumn("id2", F.coalesce("jump", F.col("id") + 1)).drop("jump")
-    right = ordered.select(F.col("id").alias("id2"), F.col("host").alias("host2"), F.col("path").alias("path2"), F.col("lines").alias("lines2"), F.col("loose").alias("loose2"))
-    pairs = left.join(right, "id2").where("host = host2").select("id", "path", "lines", "loose", "id2", "path2", "lines2", "loose2")
-    seen = pairs.mapInPandas(_difference, "id long, apart boolean, near int, side int, shared array<int>")
-    best = seen.groupBy("id").agg(F.max(F.struct("apart", "near", "side", "shared")).alias("b")).where("size(b.shared) > 0")
-    return best.select("id", "b.shared").join(ordered.select("id", "p", "h"), "id").select("p", "h", "shared").dropDuplicates(["p", "h"])
-
-
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = []
-        for i in range(batch.num_rows):
-            found = blocks(batch.column(2)[i].as_py())
-            gone = set(batch.column(3)[i].as_py() or ())
-            marked = any(inside for _, inside in found)
-            texts.append(" ".join(t for k, (t, inside) in enumerate(found) if (inside or not marked) and k not in gone))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+    right = ordered.select(F.col("id").alias("id2"), F.col("host").alias("host2"), F.col("path").alias("path2"), F.col("lines").alias("lines2"))
+    pairs = left.join(right, "id2").where("host = host2").select("id", "path", "lines", "id2", "path2", "lines2")
+    seen = pairs.mapInPandas(_difference, "id long, near int, next int, shared array<int>")
+    side = lambda n: F.max(F.when(F.col("next") == n, F.struct("near", "shared")))
+    sides = seen.groupBy("id").agg(side(0).alias("before"), side(1).alias("after"))
+    first = F.coalesce(F.col("before.near"), F.lit(-1)) >= F.coalesce(F.col("after.near"), F.lit(-1))
+    sides = sides.select("id", F.when(first, F.col("before.shared")).otherwise(F.col("after.shared")).alias("a"), F.when(first, F.col("after.shared")).otherwise(F.col("before.shared")).alias("b"))
+    found = sides.where("size(a) > 0").join(ordered.select("id", "host", "h", F.size("lines").alias("n")), "id")
+    doubt = (2 * F.size("a") > F.col("n")) & F.col("b").isNotNull()
+    found = materialize(found.select("host", "h", F.when(doubt, F.array_intersect("a", "b")).otherwise(F.col("a")).alias("shared")).where("size(shared) > 0"))
+    release(ordered)
+    return found
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Main text of every page: page_id, url, text, n_chars.
-
-    A null or empty html has the text ''; a null url or one without :// has
-    the host ''; pages alone on their host are not differenced, nor are copies
-    of one page with each other. Rows that repeat id, url and html get the
-    same text; an empty table gives an empty result; other columns are ignored.
+    """Main text of every page: page_id, url, text, n_chars, and n_deleted, the lines that differencing took away.
+
+    A null or empty html has the text ''; pages whose url is null or has no
+    :// belong to no host and aren't differenced, nor are pages alone on their
+    host, nor copies with each other: all pages of a host with the same lines
+    get the same text, repeated rows among them. Of equally near neighbours the
+    one before decides. An empty table gives an empty result; other columns are
+    ignored. Time is linear in a page's length, however its markup is broken;
+    comparing two pages takes their lines' product over 64.
     """
-    gone = materialize(template_lines(pages, id_col, url_col, html_col))
-    n_bytes = gone.agg(F.sum(F.size("shared") * 4 + 24).alias("n")).first()["n"] or 0
     url, page = F.col(f"`{url_col}`").cast("string"), F.col(f"`{html_col}`").cast("string")
-    src = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), url.alias("url"), page.alias("page"), F.xxhash64(url, page).alias("uh"))
-    gone = gone if n_bytes > broadcast_bytes else F.broadcast(gone)
-    src = src.join(gone, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("uh") == F.col("h")), "left")
-    out = src.select("page_id", "url", "page", "shared").mapInArrow(_extract, "page_id long, url string, text string")
-    return out.withColumn("n_chars", F.length("text").cast("long"))
+    src = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"), page.alias("page"))
+    parsed = materialize(src.mapInArrow(_parse, "page_id long, url string, host string, path string, texts array<string>, lines array<long>, h long"))
+    gone = template_lines(parsed)
+    n_bytes = gone.agg(F.sum(F.size("shared") * 4 + F.octet_length("host") + 24).alias("n")).first()["n"] or 0
+    out = parsed.drop("lines", "path").join(gone if n_bytes > broadcast_bytes else F.broadcast(gone), ["host", "h"], "left")
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("texts") - 1), F.col("shared")), lambda i: F.get("texts", i))
+    text = F.array_join(F.when(F.col("shared").isNull(), F.col("texts")).otherwise(left), " ")
+    out = out.select("page_id", "url", text.alias("text"), F.coalesce(F.size("shared"), F.lit(0)).cast("long").alias("n_deleted"))
+    return out.withColumn("n_chars", F.length("text").cast("long")).select("page_id", "url", "text", "n_chars", "n_deleted")

@@ -2,6 +2,9 @@
 
 import itertools
 import random
+import time
+
+import pytest
 
 from lakeloom.llm import html, urls
 
@@ -36,6 +39,28 @@ def test_common_lines():
         assert all(x[0] < y[0] and x[1] < y[1] for x, y in itertools.pairwise(got))
 
 
+def test_common_lines_of_a_split_table(monkeypatch):
+    rng = random.Random(2)
+    monkeypatch.setattr(html, "TABLE_BITS", 40)
+    for _ in range(200):
+        a, b = ([rng.randrange(5) for _ in range(rng.randrange(40))] for _ in range(2))
+        got = html.common_lines(a, b)
+        assert len(got) == lcs(a, b) and all(a[i] == b[j] for i, j in got)
+        assert all(x[0] < y[0] and x[1] < y[1] for x, y in itertools.pairwise(got))
+
+
+@pytest.mark.parametrize("page", [
+    lambda n: "<a " * n, lambda n: "<a '>'" * n, lambda n: "<div>" * n + "</x>" * n, lambda n: "<p><article>" + "<span>" * n + "</p>" * n,
+    lambda n: "<script></script" * n, lambda n: "<a " + "b" * n + ">", lambda n: "<!--" * n, lambda n: "<p><!-- x" * n,
+])
+def test_broken_html_takes_linear_time(page):
+    """A quadratic scan of these takes minutes."""
+    began = time.perf_counter()
+    html.blocks(page(300_000))
+    html.common_lines([7 if i % 2 else i % 100 for i in range(8_000)], [7 if i % 3 else -(i % 100) for i in range(8_000)])
+    assert time.perf_counter() - began < 20
+
+
 def test_extract(spark):
     page = lambda i: f"<div>Site name</div><div>Menu one</div><p>Story {i} begins.</p><p>Story {i} ends.</p><div>All rights</div>"
     rows = [(i, f"http://a.org/x/{i}", page(i), "k") for i in range(30)]
@@ -55,6 +80,69 @@ def test_extract(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def texts(spark, rows):
+    out = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    return {r.page_id: r.text for r in out}
+
+
+def page_of(lines, mark="div"):
+    return f"<html><body><{mark}>" + "".join(f"<p>{x}</p>" for x in lines) + f"</{mark}></body></html>"
+
+
+@pytest.mark.parametrize("mark", ["div", "article"])
+def test_template_outweighs_the_text(spark, mark):
+    """Ten template lines and two of its own: the template goes, on a host of two pages and on one of many, marked or not."""
+    own = lambda i: [f"Own {i} one.", f"Own {i} two."]
+    lines = lambda i: [*(f"Template {k}" for k in range(5)), *own(i), *(f"Template {k}" for k in range(5, 10))]
+    rows = [(i, f"http://two.org/x/{i}", page_of(lines(i), mark)) for i in range(2)]
+    rows += [(10 + i, f"http://many.org/x/{i}", page_of(lines(10 + i), mark)) for i in range(9)]
+    assert texts(spark, rows) == {i: " ".join(own(i)) for i, *_ in rows}
+
+
+def test_copies_and_versions_keep_their_text(spark):
+    story = [f"Sentence {k} of the story." for k in range(12)]
+    other = lambda i: [f"Other {i} {k}." for k in range(6)] + ["Site line"]
+    version = [*story[:11], "A new end."]
+    rows = [(i, f"http://h.org/{i:02}", page_of(other(i))) for i in range(4)]
+    rows += [(10, "http://h.org/02a", page_of(story)), (11, "http://h.org/02b", page_of(story)), (12, "http://h.org/02c", page_of(version)), (12, "http://h.org/02c", page_of(version))]
+    got = texts(spark, rows)
+    assert got[10] == got[11] == " ".join(story) and got[12] == " ".join(version)
+    assert got[0] == " ".join(other(0)[:6])
+
+
+def brute_extract(rows):
+    """Every page against the nearest different one of its host, by a plain table."""
+    of = {i: (u.split("/")[2], "/" + u.split("/", 3)[3], tuple(html.kept_lines(h))) for i, u, h in rows}
+    reps = {}
+    for i, (host, path, ls) in of.items():
+        if ls:
+            reps[host, ls] = min(reps.get((host, ls), (path, i)), (path, i))
+    order = sorted((host, path, i, ls) for (host, ls), (path, i) in reps.items())
+
+    def shared(k, j):
+        pairs = html.common_lines(list(order[min(k, j)][3]), list(order[max(k, j)][3]))  # of several, the one in page order
+        assert len(pairs) == lcs(order[k][3], order[j][3])
+        return {p[j < k] for p in pairs}
+
+    def near(p, q):
+        return next((k for k, (x, y) in enumerate(zip(p, q, strict=False)) if x != y), min(len(p), len(q)))
+
+    gone = {}
+    for k, (host, path, _, ls) in enumerate(order):
+        sides = sorted((j for j in (k - 1, k + 1) if 0 <= j < len(order) and order[j][0] == host), key=lambda j: -near(path, order[j][1]))
+        if sides:
+            cut = shared(k, sides[0])
+            gone[host, ls] = cut & shared(k, sides[1]) if 2 * len(cut) > len(ls) and len(sides) > 1 else cut
+    return {i: " ".join(x for k, x in enumerate(ls) if k not in gone.get((host, ls), ())) for i, (host, _, ls) in of.items()}
+
+
+def test_extract_against_brute_force(spark):
+    rng = random.Random(12)
+    pool = [f"line {i}" for i in range(25)]
+    rows = [(i, f"http://h{rng.randrange(3)}.org/{rng.choice(['a', 'ab', 'b'])}/{rng.randrange(60)}", page_of([rng.choice(pool) for _ in range(rng.randint(0, 9))], rng.choice(["div", "article"]))) for i in range(150)]
+    assert texts(spark, rows) == brute_extract(rows)
+
+
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
