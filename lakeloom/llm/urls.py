@@ -1,37 +1,44 @@
 """URL filters by a path-template tree for each host.
 
-Segments that hold digits become wildcards at once; at every level, a node
-with more than MAX_BRANCHES different children gets one wildcard child in
-their place, and siblings whose labels and further paths don't differ
-significantly are merged into one branch. Templates are judged by the share of
-blocked among labelled URLs, each node smoothed by its parent's share.
-
-URLs are first combined into distinct shapes with counts, so every later step
-works on counts; a node has at most MAX_BRANCHES children when it reaches a
-task of its own.
+Segments that hold digits are wildcards from the start. The tree then grows
+level by level, to the full depth of the paths:
+
+* Where more than BRANCHES children of a node have next to no support of their
+  own (fewer than SUPPORT URLs and fewer than LABELS labels), these are values
+  of a variable and become one wildcard. Supported children keep their names,
+  however many there are.
+* Siblings merge on evidence alone: their shares of blocked labels lie on the
+  same side of one half with 95 % confidence (Wilson's interval, so four labels
+  at least), and they agree on the child of least hash, which two branches do
+  with a probability equal to the overlap of their sets of children.
+
+A template is rejected by the share of blocked among its labelled URLs, each
+node smoothed by its parent's share.
+
+URLs are first combined into distinct shapes with counts. Every step is an
+aggregation or an equi-join by node, so a host with a third of all URLs is
+neither one task nor one row.
 """
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 from .html import host_of, path_of
 
-MAX_DEPTH = 4
-MAX_BRANCHES = 32
+#: Unsupported children from which on they are values of one variable.
+BRANCHES = 32
+#: URLs, or labels, that give a child support of its own.
+SUPPORT, LABELS = 8, 4
 #: Labelled URLs' worth of the parent's share in each node's share.
 SMOOTHING = 5.0
 #: Blocked share from which a template is rejected.
 REJECT = 0.8
-#: Standard errors by which the shares of siblings must differ to stay apart.
+#: Standard errors of the confidence interval.
 Z = 1.96
-#: Wildcards and the rest of paths deeper than MAX_DEPTH.
-ANY, REST = "*", "**"
+ANY = "*"
 
 
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
@@ -43,69 +50,68 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
     return rule, verdict
 
 
-def _shape(segment: Column) -> Column:
-    """A segment with digits is variable but for a file ending: 825.html is *.html."""
-    ending = F.regexp_extract(segment, r"(\.[A-Za-z]{1,5})$", 1)
-    return F.when(segment.rlike("[0-9]"), F.concat(F.lit(ANY), ending)).otherwise(segment)
-
-
-def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Names for the children of one node: alike ones share a name."""
-    groups: list[dict] = []
-    for r in pdf.sort_values(["n", "seg"], ascending=[False, True]).itertuples(index=False):
-        mine = {"names": [r.seg], "labelled": r.labelled, "blocked": r.blocked, "next": set(r.nexts)}
-        for g in [] if r.seg.startswith(ANY) or r.seg == "" else groups:
-            if g["names"][0].startswith(ANY) or g["names"][0] == "" or (g["labelled"] > 0) != (mine["labelled"] > 0):
-                continue
-            if len(g["next"] & mine["next"]) < 0.5 * len(g["next"] | mine["next"]):
-                continue
-            if mine["labelled"]:
-                n, m = g["labelled"], mine["labelled"]
-                p = (g["blocked"] + mine["blocked"] + 1) / (n + m + 2)
-                if abs(g["blocked"] / n - mine["blocked"] / m) > Z * math.sqrt(p * (1 - p) * (1 / n + 1 / m)):
-                    continue
-            g["names"] += mine["names"]
-            g["labelled"] += mine["labelled"]
-            g["blocked"] += mine["blocked"]
-            g["next"] |= mine["next"]
-            break
-        else:
-            groups.append(mine)
-    rows = [(s, "|".join(sorted(g["names"]))) for g in groups for s in g["names"]]
-    out = pd.DataFrame(rows, columns=["seg", "name"])
-    out.insert(0, "prefix", pdf["prefix"].iloc[0])
-    out.insert(0, "host", pdf["host"].iloc[0])
-    return out
+def _shape(segments: Column) -> Column:
+    """Segments with digits are variable but for a file ending: 825.html is *.html."""
+    ending = lambda x: F.regexp_extract(x, r"(\.[A-Za-z]{1,5})$", 1)
+    return F.transform(segments, lambda x: F.when(x.rlike("[0-9]"), F.concat(F.lit(ANY), ending(x))).otherwise(x))
+
+
+def side(blocked: Column, labelled: Column, z: float = Z) -> Column:
+    """block or allow where Wilson's interval of the blocked share leaves no doubt, else null."""
+    mean, spread = blocked + z * z / 2, z * F.sqrt(blocked * (labelled - blocked) / F.greatest(labelled, F.lit(1)) + z * z / 4)
+    half = (labelled + z * z) / 2
+    return F.when(labelled < LABELS, F.lit(None)).when(mean - spread > half, "block").when(mean + spread < half, "allow")
+
+
+def _named(children: DataFrame) -> DataFrame:
+    """(host, prefix, seg, node, share, shapes): the branch of each child, its smoothed share, and the shapes in it."""
+    literal = ~F.startswith("seg", F.lit(ANY)) & (F.col("seg") != "")
+    thin = literal & (F.col("n") < SUPPORT) & (F.col("labelled") < LABELS)
+    children = children.withColumn("thin", thin)
+    wide = children.where("thin").groupBy("host", "prefix").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > BRANCHES).select("host", "prefix", F.lit(True).alias("wide"))
+    children = children.join(wide, ["host", "prefix"], "left")
+    # Branches: the wildcard, alike siblings, or the child itself. A child that is all wildcard is the same branch.
+    alike = F.when(literal & F.col("side").isNotNull(), F.concat_ws(" ", "side", F.hex("mark")))
+    branch = lambda kind, of: F.struct(F.lit(kind).alias("kind"), of.alias("of"))
+    variable = (F.col("seg") == ANY) | (F.col("thin") & F.coalesce("wide", F.lit(False)))
+    children = children.withColumn("key", F.when(variable, branch(1, F.lit(ANY))).when(alike.isNotNull(), branch(2, alike)).otherwise(branch(3, F.col("seg"))))
+    total = children.groupBy("host", "prefix", "key").agg(*[F.sum(c).alias(c) for c in ("labelled", "blocked", "shapes")], F.min("seg").alias("first"), F.count(F.lit(1)).alias("k"), F.max("share").alias("above"))
+    name = F.when(F.col("key.kind") == 1, F.lit(ANY)).when(F.col("k") == 1, F.col("first")).otherwise(F.concat(F.lit("("), "first", F.lit("+"), (F.col("k") - 1).cast("string"), F.lit(")")))
+    total = total.select("host", "prefix", "key", name.alias("node"), ((F.col("blocked") + SMOOTHING * F.col("above")) / (F.col("labelled") + SMOOTHING)).alias("share"), "shapes")
+    return children.select("host", "prefix", "key", "seg").join(total, ["host", "prefix", "key"]).select("host", "prefix", "seg", "node", "share", "shapes")
 
 
 def templates(urls: DataFrame) -> DataFrame:
-    """(host, shape, template, share) of distinct URLs: columns host, shape (array of MAX_DEPTH segments), n, labelled, blocked."""
-    tree = urls.withColumn("prefix", F.lit(""))
-    for d in range(1, MAX_DEPTH + 1):
-        seg = F.element_at("shape", d)
-        following = F.element_at("shape", d + 1) if d < MAX_DEPTH else F.lit("")
-        known = tree.withColumn("seg", seg)
-        children = known.groupBy("host", "prefix", "seg").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"), F.collect_set(F.when(F.instr(following, ANY) == 1, following).otherwise("literal")).alias("nexts"))
-        children = materialize(children)
-        wide = children.groupBy("host", "prefix").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > MAX_BRANCHES).select("host", "prefix", F.lit(True).alias("wide"))
-        narrow = children.join(wide, ["host", "prefix"], "left_anti")
-        named = narrow.groupBy("host", "prefix").applyInPandas(_merge, "host string, prefix string, seg string, name string")
-        tree = known.join(named, ["host", "prefix", "seg"], "left")
-        tree = materialize(tree.withColumn("prefix", F.concat("prefix", F.lit("/"), F.coalesce("name", F.lit(ANY)))).withColumn(f"p{d}", F.col("prefix")).drop("name", "seg"))
-    total = tree.agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l")).first()
+    """(host, shape, template, share) of distinct URLs: columns host, shape (array of segments), n, labelled, blocked.
+
+    One round for each level at which URLs of one host still part: a shape that
+    is alone below a node ends there, with the rest of its path as its name.
+    """
+    total = urls.agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l")).first()
     prior = ((total["b"] or 0) + 1) / ((total["l"] or 0) + 2)
-    share = lambda parent: (F.col("b") + SMOOTHING * parent) / (F.col("l") + SMOOTHING)
-    judged, keys, parent = None, ["host"], F.lit(prior)
-    for d in range(MAX_DEPTH + 1):
-        keys = ["host"] if d == 0 else ["host", f"p{d}"]
-        above = ["host"] if d < 2 else ["host", f"p{d - 1}"]
-        node = tree.groupBy(*dict.fromkeys([*above, *keys])).agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l"))
-        if judged is not None:
-            node = node.join(judged, above)
-            parent = F.col("share_above")
-        judged = node.select(*keys, share(parent).alias("share_above"))
-    last = f"p{MAX_DEPTH}"
-    return tree.select("host", "shape", last).join(judged, ["host", last]).select("host", "shape", F.col(last).alias("template"), F.col("share_above").alias("share"))
+    hosts = urls.groupBy("host").agg(((F.sum("blocked") + SMOOTHING * prior) / (F.sum("labelled") + SMOOTHING)).alias("share"))
+    tree = materialize(urls.join(hosts, "host").withColumn("prefix", F.lit("")))
+    done, d = [], 0
+    while True:
+        seg, following = F.get("shape", F.lit(d)), F.get("shape", F.lit(d + 1))
+        known = tree.withColumn("seg", seg)
+        children = known.groupBy("host", "prefix", "seg").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")], F.count(F.lit(1)).alias("shapes"), F.min(F.xxhash64(F.coalesce(following, F.lit("")))).alias("mark"), F.max("share").alias("share"))
+        children = materialize(children.withColumn("side", side(F.col("blocked"), F.col("labelled"))))
+        named = _named(children)
+        step = known.drop("share").join(named, ["host", "prefix", "seg"]).withColumn("prefix", F.concat("prefix", F.lit("/"), "node"))
+        last = F.size("shape") == d + 1
+        step = materialize(step.drop("seg", "node").withColumn("ends", last | (F.col("shapes") == 1)).drop("shapes"))
+        rest = F.slice("shape", d + 2, F.greatest(F.size("shape") - (d + 1), F.lit(0)))
+        rest = F.when(last, F.lit("")).otherwise(F.concat(F.lit("/"), F.array_join(rest, "/")))
+        done.append(step.where("ends").select("host", "shape", F.concat("prefix", rest).alias("template"), "share"))
+        release(children)
+        tree, d = step.where("NOT ends").drop("ends"), d + 1
+        if not tree.limit(1).count():
+            break
+    out = done[0]
+    for x in done[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url_col: str = "url", label: Column | None = None, reject: float = REJECT) -> DataFrame:
@@ -116,7 +122,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url_col: str = "u
     allow or null) defaults to the rule's verdict. A null URL or one without
     :// has an empty host and path and the templates of that host; repeated
     rows count each time and are judged alike; an empty table gives an empty
-    result. Without any label every URL is allowed.
+    result. Without any label every URL is allowed. In a template, (a+2) stands
+    for a and two siblings like it.
     """
     added = ("host", "path", "rule", "verdict", "template", "share")
     url = F.col(f"`{url_col}`").cast("string")
@@ -125,13 +132,13 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url_col: str = "u
     src = pages.select(row.alias("row"), host_of(url).alias("host"), path_of(url).alias("path"), (F.lit(None).cast("string") if label is None else label).alias("given"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     src = src.withColumns({"rule": rule, "ruled": verdict, "known": verdict if label is None else F.col("given")})
-    segments = F.split(F.regexp_replace("path", "^/", ""), "/")
-    at = lambda i: F.coalesce(F.get(segments, F.lit(i)), F.lit(""))
-    deep = F.when(F.size(segments) > MAX_DEPTH, F.lit(REST)).otherwise(_shape(at(MAX_DEPTH - 1)))
-    src = src.withColumn("shape", F.array(*[_shape(at(i)) for i in range(MAX_DEPTH - 1)], deep))
+    src = src.withColumn("shape", _shape(F.split(F.regexp_replace("path", "^/", ""), "/")))
     count = lambda c: F.sum(c.cast("long"))
     urls = src.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), count(F.col("known").isNotNull()).alias("labelled"), count(F.coalesce(F.col("known") == "block", F.lit(False))).alias("blocked"))
-    found = templates(materialize(urls)).withColumnsRenamed({"host": "_h", "shape": "_s"})
+    urls = materialize(urls)
+    if not urls.limit(1).count():
+        return src.where(F.lit(False)).select(*[F.col(f"row.`{c}`") for c in kept], "host", "path", "rule", F.lit("").alias("verdict"), F.lit("").alias("template"), F.lit(0.0).alias("share"))
+    found = templates(urls).withColumnsRenamed({"host": "_h", "shape": "_s"})
     out = src.join(found, (F.col("host") == F.col("_h")) & (F.col("shape") == F.col("_s")), "left")
     last = F.coalesce("ruled", F.when((F.col("share") >= reject) & (F.col("share") > 0.5), "block").otherwise("allow"))
     return out.select(*[F.col(f"row.`{c}`") for c in kept], "host", "path", "rule", last.alias("verdict"), "template", "share")

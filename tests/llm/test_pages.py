@@ -185,6 +185,121 @@ def test_templates(spark):
     assert len(out) == len(rows)
     named = {r.url: r for r in out}
     assert named["http://h/junk/10.html"].verdict == "block" and named["http://h/good/10.html"].verdict == "allow"
-    assert named["http://h/good/10.html"].template == named["http://h/fine/10.html"].template == "/fine|good/*.html//"
-    assert named["http://wide/aa/x"].template == "/*/x//"
+    assert named["http://h/good/10.html"].template == named["http://h/fine/10.html"].template == "/(fine+1)/*.html"
+    assert named["http://wide/aa/x"].template == "/*/x" and named["http://h/a/b/c/d/e/f"].template == "/a/b/c/d/e/f"
     assert all(r.verdict == "allow" for r in urls.judge(df, []).collect())
+
+
+def judged(spark, rows, **kwargs):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(rows, "url string, label string")
+    return {r.url: r for r in urls.judge(df, [], label=F.col("label"), **kwargs).collect()}
+
+
+def test_templates_go_to_full_depth(spark):
+    rows = [(f"http://h/a/b/c/{s}/d/e/{i}", v) for s, v in (("bad", "block"), ("good", "allow")) for i in range(100)]
+    rows += [(f"http://h/a/b/c/{s}/d/e/999", None) for s in ("bad", "good")]
+    got = judged(spark, rows)
+    assert [got[f"http://h/a/b/c/{s}/d/e/999"].verdict for s in ("bad", "good")] == ["block", "allow"]
+
+
+def test_wide_nodes_keep_supported_children(spark):
+    """Of 40 sections with labels of their own one is blocked, and so is its page without a label; 50 thin ones are one variable."""
+    rows = [(f"http://h/s{chr(97 + k // 26)}{chr(97 + k % 26)}/x/{i}", "block" if k == 7 else "allow") for k in range(40) for i in range(40)]
+    rows += [("http://h/sah/x/9999", None), ("http://h/sai/x/9999", None)]
+    rows += [(f"http://h/name{chr(97 + k // 26)}{chr(97 + k % 26)}", None) for k in range(50)]
+    got = judged(spark, rows)
+    assert got["http://h/sah/x/9999"].verdict == "block" and got["http://h/sai/x/9999"].verdict == "allow"
+    assert got["http://h/sah/x/9999"].template == "/sah/x/*" and got["http://h/nameaa"].template == "/*"
+
+
+def test_branches_merge_on_evidence_alone(spark):
+    rows = [("http://u/de/1", None), ("http://u/en/1", None), ("http://v/a/1", "block"), ("http://v/b/1", "allow")]
+    rows += [(f"http://w/{s}/{i}", "allow") for s in ("a", "b") for i in range(5)] + [(f"http://w/c/x{s}", "allow") for s in "abcde"]
+    got = judged(spark, rows)
+    assert got["http://u/de/1"].template == "/de/*" and got["http://v/a/1"].template == "/a/*" and got["http://v/b/1"].template == "/b/*"
+    assert got["http://w/a/1"].template == got["http://w/b/1"].template == "/(a+1)/*" and got["http://w/c/xa"].template == "/c/xa"
+
+
+def test_the_method_blocks_unruled_urls(spark):
+    """Labels from the rules spread to URLs that no rule fits."""
+    rows = [("http://m.example.org/en/1" + str(i), ) for i in range(60)] + [("http://m.example.org/en/2",)]
+    out = {r.url: r for r in urls.judge(spark.createDataFrame(rows, "url string"), [r for r in RULES if r[0] == "block"]).collect()}
+    assert out["http://m.example.org/en/2"].rule is None and out["http://m.example.org/en/2"].verdict == "block"
+
+
+def brute_templates(rows):
+    """(template, share) of each URL by plain recursion."""
+    import re
+    import xxhash
+
+    def shape(path):
+        return tuple("*" + (re.search(r"(\.[A-Za-z]{1,5})$", x) or [""])[0] if re.search("[0-9]", x) else x for x in re.sub("^/", "", path).split("/"))
+
+    found = {}
+    for u, v in rows:
+        host, path = brute(u)[:2]
+        n = found.setdefault((host, shape(path)), [0, 0, 0])
+        n[0] += 1
+        n[1] += v is not None
+        n[2] += v == "block"
+    prior = (sum(n[2] for n in found.values()) + 1) / (sum(n[1] for n in found.values()) + 2)
+    out = {}
+
+    def sums(keys):
+        return [sum(found[k][j] for k in keys) for j in range(3)]
+
+    def side(labelled, blocked):
+        if labelled < 4:
+            return None
+        mean, spread = blocked + 1.96**2 / 2, 1.96 * (blocked * (labelled - blocked) / labelled + 1.96**2 / 4) ** 0.5
+        half = (labelled + 1.96**2) / 2
+        return "block" if mean - spread > half else "allow" if mean + spread < half else None
+
+    def grow(keys, d, prefix, above):
+        children = {}
+        for k in keys:
+            children.setdefault(k[1][d], []).append(k)
+        thin = {s for s, ks in children.items() if not s.startswith("*") and s and sums(ks)[0] < 8 and sums(ks)[1] < 4}
+        groups = {}
+        for s, ks in children.items():
+            _, labelled, blocked = sums(ks)
+            mark = min(x if x < 2**63 else x - 2**64 for x in (xxhash.xxh64_intdigest((k[1][d + 1] if len(k[1]) > d + 1 else "").encode(), 42) for k in ks))
+            key = (1,) if s == "*" or s in thin and len(thin) > 32 else (2, side(labelled, blocked), mark) if s and not s.startswith("*") and side(labelled, blocked) else (3, s)
+            groups.setdefault(key, []).append(s)
+        for key, segs in groups.items():
+            ks = [k for s in segs for k in children[s]]
+            _, labelled, blocked = sums(ks)
+            share = (blocked + 5 * above) / (labelled + 5)
+            name = prefix + "/" + ("*" if key == (1,) else segs[0] if len(segs) == 1 else f"({min(segs)}+{len(segs) - 1})")
+            ended = [k for k in ks if len(k[1]) == d + 1 or len(ks) == 1]
+            for k in ended:
+                out[k] = ("/".join([name, *k[1][d + 1 :]]), share)
+            if len(ended) < len(ks):
+                grow([k for k in ks if k not in set(ended)], d + 1, name, share)
+
+    for host in {h for h, _ in found}:
+        keys = [k for k in found if k[0] == host]
+        _, labelled, blocked = sums(keys)
+        grow(keys, 0, "", (blocked + 5 * prior) / (labelled + 5))
+    return {u: out[brute(u)[0], shape(brute(u)[1])] for u, _ in rows}
+
+
+def test_templates_against_brute_force(spark):
+    rng = random.Random(7)
+    seg = lambda d: rng.choice(["a", "b", "c", f"{rng.randrange(99)}", f"p{rng.randrange(9)}.html", "", chr(97 + rng.randrange(26)) + chr(97 + rng.randrange(26))])
+    rows = []
+    for _ in range(1500):
+        path = "/" + "/".join(seg(d) for d in range(rng.randint(1, 5)))
+        bad = path.startswith(("/a", "/b/c"))
+        rows.append((f"http://h{rng.randrange(3)}.x{path}", None if rng.random() < 0.4 else "block" if bad != (rng.random() < 0.05) else "allow"))
+    rows += [(None, None), ("nothing", "allow"), ("http://h0.x", None)]
+    want = brute_templates(rows)
+    got = judged(spark, rows)
+    assert set(got) == set(want)
+    for u, r in got.items():
+        template, share = want[u]
+        assert r.template == template and abs(r.share - share) < 1e-12, (u, r, want[u])
+        assert r.verdict == ("block" if share >= 0.8 else "allow")
+    assert len({r.template for r in got.values()}) > 100 and {r.verdict for r in got.values()} == {"block", "allow"}
