@@ -8,9 +8,17 @@ final counts are those of all training documents.
 
 Texts become blocks of a few megabytes: the tokens of many documents as codes
 into the block's own list of 64-bit n-gram keys. A block sends each distinct
-key once, in ranges of the key space; each range is counted in one task and
-the counts go back to the blocks that asked. So a frequent word or pair
-travels once for each block, and no row per token is ever shuffled.
+key once, and no row per token is ever shuffled.
+
+Counts are added in a tree. Nodes of level l stand for one of F^l ranges of the
+key space and a group of F^l blocks; a node merges the F messages of its
+children and sends its keys on, cut into F finer ranges. So every node holds
+about as many keys as a block, a frequent word arrives F times at most, and
+messages number F a node, whatever the size of the corpus. The counts come
+back the same way. Up to FAN blocks, the tree is a single level.
+
+Trigrams are counted after bigrams, and only those both of whose bigrams occur
+twice or more: the others occur once in the corpus, where they stand.
 """
 
 from __future__ import annotations
@@ -23,12 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 from .simhash import LOWER
 
 TRAIN, DEV, HELD = 0, 1, 2
 BLOCK_BYTES = 2_500_000
-KEYS_PER_RANGE = 1_000_000
+#: Children of a node of the counting tree at most.
+FAN = 512
+#: Bits by which keys are longer than the logarithm of the n-grams: one in 2^24 keys meets another by chance.
+SPARE_BITS = 24
 BUCKETS = 48
 #: Steps per doubling in which probabilities are binned for expectation-maximisation.
 STEPS = 4
@@ -47,9 +58,9 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _tag(keys: np.ndarray, order: int) -> np.ndarray:
-    """The lowest two bits of a key tell its order."""
-    return (keys & ~np.uint64(3)) | np.uint64(order)
+def _tag(keys: np.ndarray, order: int, mask: int = ~3) -> np.ndarray:
+    """The lowest two bits of a key tell its order; the mask clears those and all bits that keys need not have."""
+    return (keys & np.uint64(mask & (1 << 64) - 1)) | np.uint64(order)
 
 
 def _shut(values: np.ndarray) -> bytes:
@@ -67,14 +78,25 @@ def _open(blob: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
-def ngram_keys(unigrams: np.ndarray, lengths: np.ndarray, order: int) -> list[np.ndarray]:
+def _shut_counts(values: np.ndarray) -> bytes:
+    """In as many bytes a count as the largest needs."""
+    most = int(values.max()) if len(values) else 0
+    size = next(n for n in (1, 2, 4, 8) if most >> 8 * n == 0)
+    return bytes([size]) + _shut(values.astype(f"<u{size}"))
+
+
+def _open_counts(blob: bytes) -> np.ndarray:
+    return _open(blob[1:], np.dtype(f"<u{blob[0]}")).astype(np.uint64)
+
+
+def ngram_keys(unigrams: np.ndarray, lengths: np.ndarray, order: int, mask: int = ~3) -> list[np.ndarray]:
     """Keys of the 1..order-grams that end at each token; documents are `lengths` tokens long."""
     starts = np.cumsum(lengths) - lengths
-    keys = [unigrams]
+    keys = [_tag(unigrams, 1, mask)]
     for k in range(2, order + 1):
         before = np.roll(keys[-1], 1)
         before[starts] = np.uint64(4 * k)
-        keys.append(_tag(_mix(before, unigrams), k))
+        keys.append(_tag(_mix(before, keys[0]), k, mask))
     return keys
 
 
@@ -118,49 +140,157 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield close(split)
 
 
-def _read(row, order: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
-    """Lengths, the keys of each order, the block's sorted distinct keys, and where each key is among them."""
-    lengths = _open(row.lengths, np.int64)
-    keys = ngram_keys(_open(row.vocab, np.uint64)[_open(row.codes, np.uint32)], lengths, order)
-    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-    return lengths, keys, distinct, at
+class Shape:
+    """The model's order, the mask of its keys, and the tree that counts them."""
+
+    def __init__(self, order: int, tokens: int, blocks: int):
+        self.order, bits = order, min(62, max(1, order * tokens).bit_length() + SPARE_BITS)
+        self.mask = ~((1 << (64 - bits)) - 1)
+        self.levels = 1
+        while FAN**self.levels < blocks:
+            self.levels += 1
+        self.fan = next(f for f in range(1, FAN + 1) if f**self.levels >= blocks)
+        self.groups = [-(-blocks // self.fan**k) for k in range(self.levels + 1)]
+
+
+class Block:
+    """A block's tokens: document lengths, the keys of each order, the distinct ones of order 1 and 2, and where each is among them."""
+
+    def __init__(self, row, shape: Shape):
+        self.lengths = _open(row.lengths, np.int64)
+        self.keys = ngram_keys(_open(row.vocab, np.uint64)[_open(row.codes, np.uint32)], self.lengths, shape.order, shape.mask)
+        self.distinct, self.at = np.unique(np.concatenate(self.keys[:2]), return_inverse=True)
+        self.split = row.split
 
+    def starts(self) -> np.ndarray:
+        return np.cumsum(self.lengths) - self.lengths
 
-def _range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
-    return (keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+    def open_trigrams(self, flagged: np.ndarray) -> np.ndarray:
+        """Tokens whose trigram is to be counted; `flagged` is for `distinct` twice the count, plus one where the corpus has it once."""
+        once = (flagged[self.at[len(self.keys[0]) :]] & np.uint64(1)).astype(bool)
+        before = np.roll(once, 1)
+        before[self.starts()] = False
+        return ~(once | before)
 
+    def counts(self, pairs: np.ndarray, triples: np.ndarray, flagged: np.ndarray, seen: int) -> list[np.ndarray]:
+        """Counts of each token's n-grams, by order; trigrams that aren't counted occur here alone, `seen` times for the model."""
+        out = [*pairs[self.at].reshape(min(2, len(self.keys)), -1)]
+        if len(self.keys) == 3:
+            counted = self.open_trigrams(flagged)
+            own = np.full(len(counted), seen, np.uint64)
+            own[counted] = triples[np.unique(self.keys[2][counted], return_inverse=True)[1]]
+            out.append(own)
+        return out
 
-def _ask(order: int, ranges: int):
+
+ASK = "rng long, child long, part long, keys binary, train binary, dev binary, held binary"
+ANSWER = "child long, part long, rng long, total binary, fit binary"
+_ASK, _ANSWER = ([c.split()[0] for c in x.split(", ")] for x in (ASK, ANSWER))
+
+
+def _messages(keys: np.ndarray, counts: list[np.ndarray | None], child: int, part: int, ranges: int, sub: range) -> list[tuple]:
+    """Sorted keys and their counts by split, cut into the ranges `sub` of all `ranges`."""
+    cut = np.searchsorted((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), np.arange(sub.start, sub.stop + 1))
+    return [(sub[i], child, part, _shut(keys[a:b]), *(None if c is None else _shut_counts(c[a:b]) for c in counts)) for i, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
+
+
+def _block_messages(keys: np.ndarray, at: np.ndarray, row, shape: Shape) -> pd.DataFrame:
+    counts = np.bincount(at, minlength=len(keys)).astype(np.uint64)
+    return pd.DataFrame(_messages(keys, [counts if row.split == s else None for s in (TRAIN, DEV, HELD)], row.block, 0, shape.fan, range(shape.fan)), columns=_ASK)
+
+
+def _ask_pairs(shape: Shape):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for row in pdf.itertuples(index=False):
-                _, _, keys, at = _read(row, order)
-                counts = np.bincount(at, minlength=len(keys)).astype(np.uint32)
-                cut = np.searchsorted(_range_of(keys, ranges), np.arange(ranges + 1))
-                rows = [(r, row.block, row.split, _shut(keys[a:b]), _shut(counts[a:b])) for r, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
-                yield pd.DataFrame(rows, columns=["rng", "block", "split", "keys", "counts"])
+                b = Block(row, shape)
+                yield _block_messages(b.distinct, b.at, row, shape)
+
+    return run
+
+
+def _ask_triples(shape: Shape):
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for row in left.itertuples(index=False):
+            b = Block(row, shape)
+            keys = b.keys[2][b.open_trigrams(_answer(right, "total"))]
+            out.append(_block_messages(*np.unique(keys, return_inverse=True), row, shape))
+        return pd.concat(out) if out else pd.DataFrame(columns=_ASK)
 
     return run
 
 
-def _count(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Counts of a range's keys over all training blocks, and without those of the development tenth."""
-    pdf = pdf.sort_values("block", ignore_index=True)
+def _answer(rows: pd.DataFrame, column: str) -> np.ndarray:
+    parts = [_open_counts(x) for x in rows.sort_values("rng")[column]]
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+
+def _merged(pdf: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
+    """Of a node's messages: the keys of each, all distinct keys, and their counts by split."""
     asked = [_open(k, np.uint64) for k in pdf["keys"]]
-    sizes = [len(k) for k in asked]
     keys, at = np.unique(np.concatenate(asked), return_inverse=True)
-    counts = np.concatenate([_open(c, np.uint32) for c in pdf["counts"]]).astype(np.float64)
-    split = np.repeat(pdf["split"].to_numpy(), sizes)
-    fit = np.bincount(at, np.where(split == TRAIN, counts, 0), len(keys)).astype(np.uint32)
-    total = fit + np.bincount(at, np.where(split == DEV, counts, 0), len(keys)).astype(np.uint32)
-    one = (keys & np.uint64(3)) == 1
-    ends = np.cumsum(sizes)
+    ends = np.cumsum([len(k) for k in asked])
+    counts = []
+    for column in ("train", "dev", "held"):
+        total = np.zeros(len(keys), np.uint64)
+        for blob, e, k in zip(pdf[column], ends, asked, strict=True):
+            if blob is not None:
+                total[at[e - len(k) : e]] += _open_counts(blob)  # the keys of one message are distinct
+        counts.append(total)
+    return asked, keys, counts
+
+
+def _replies(pdf: pd.DataFrame, asked: list[np.ndarray], keys: np.ndarray, total: np.ndarray, fit: np.ndarray) -> pd.DataFrame:
     rows = []
-    for i, (e, n) in enumerate(zip(ends, sizes, strict=True)):
-        mine = at[e - n : e]
-        dev = pdf["split"][i] == DEV
-        rows.append((pdf["rng"][i], pdf["block"][i], pdf["split"][i], _shut(total[mine]), _shut(fit[mine]) if dev else None, int((one & (total > 0)).sum()) if i == 0 else 0, int((one & (fit > 0)).sum()) if i == 0 else 0))
-    return pd.DataFrame(rows, columns=["rng", "block", "split", "total", "fit", "types", "fit_types"])
+    for r, k in zip(pdf.itertuples(index=False), asked, strict=True):
+        at = np.searchsorted(keys, k)
+        rows.append((r.child, r.part, r.rng, _shut_counts(total[at]), None if r.dev is None else _shut_counts(fit[at])))
+    return pd.DataFrame(rows, columns=_ANSWER)
+
+
+def _top(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Counts over all training blocks, and without those of the development tenth."""
+    asked, keys, (train, dev, held) = _merged(pdf)
+    total = train + dev
+    out = _replies(pdf, asked, keys, total * np.uint64(2) + (total + held == 1), train)
+    one = (keys & np.uint64(3)) == 1
+    first = np.arange(len(out)) == 0
+    return out.assign(types=np.where(first, (one & (total > 0)).sum(), 0), fit_types=np.where(first, (one & (train > 0)).sum(), 0))
+
+
+def _up(shape: Shape, level: int):
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        _, keys, counts = _merged(pdf)
+        grp, rng = int(key[0]), int(key[1])
+        counts = [c if c.any() else None for c in counts]
+        rows = _messages(keys, counts, grp, rng, shape.fan ** (level + 1), range(rng * shape.fan, (rng + 1) * shape.fan))
+        return pd.DataFrame(rows, columns=_ASK).assign(grp=grp % shape.groups[level + 1])
+
+    return run
+
+
+def _down(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    asked, keys, (_, dev, _) = _merged(left)
+    total = _answer(right, "total")
+    return _replies(left, asked, keys, total, _answer(right, "fit") if dev.any() else total)
+
+
+def _count(asks: DataFrame, shape: Shape) -> tuple[DataFrame, int, int]:
+    """Answers to the blocks' messages, the distinct tokens of all training documents, and those without the development tenth."""
+    node = ["grp", "rng"]
+    levels = [asks.withColumn("grp", F.pmod(F.xxhash64("child"), F.lit(shape.groups[1])))]
+    for level in range(1, shape.levels):
+        levels[-1] = materialize(levels[-1])
+        levels.append(levels[-1].groupBy(*node).applyInPandas(_up(shape, level), ASK + ", grp long"))
+    answers = materialize(levels.pop().groupBy(*node).applyInPandas(_top, ANSWER + ", types long, fit_types long"))
+    types = answers.agg(F.coalesce(F.sum("types"), F.lit(0)).alias("t"), F.coalesce(F.sum("fit_types"), F.lit(0)).alias("f")).first()
+    while levels:
+        asked, above = levels.pop(), answers.select(*_ANSWER)
+        new = materialize(asked.groupBy(*node).cogroup(above.groupBy("child", "part")).applyInPandas(_down, ANSWER))
+        release(asked, answers)
+        answers = new
+    return answers, types["t"], types["f"]
 
 
 class Stats:
@@ -170,25 +300,29 @@ class Stats:
         self.tokens, self.docs, self.types = tokens, docs, types
 
 
-def _estimates(lengths: np.ndarray, counts: np.ndarray, order: int, stats: Stats) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+def _estimates(starts: np.ndarray, counts: list[np.ndarray], stats: Stats) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """Bucket of each token's context, its estimates of order 1..n, and its own count."""
-    starts = np.cumsum(lengths) - lengths
-    by_order = counts.astype(np.float64).reshape(order, -1)
-    p, context = [by_order[0] / max(stats.tokens, 1)], np.full(by_order.shape[1], float(stats.tokens))
-    for k in range(1, order):
+    by_order = [c.astype(np.float64) for c in counts]
+    p, context = [by_order[0] / max(stats.tokens, 1)], np.full(len(by_order[0]), float(stats.tokens))
+    for k in range(1, len(by_order)):
         context = np.roll(by_order[k - 1], 1)
         context[starts] = stats.docs
         p.append(np.divide(by_order[k], context, out=np.zeros_like(context), where=context > 0))
     return np.minimum(np.log2(context + 1).astype(np.int64), BUCKETS - 1), p, by_order[0]
 
 
-def _with_counts(order: int, stats: Stats, column: str, use, schema: list[str]):
+def _with_counts(shape: Shape, stats: Stats, column: str, use, schema: list[str]):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
-        counts = np.concatenate([_open(c, np.uint32) for c in right.sort_values("rng")[column]])
+        pairs, triples = right[right["size"] == 2], right[right["size"] == 3]
+        flagged = _answer(pairs, "total")
         for row in left.itertuples(index=False):
-            lengths, _, _, at = _read(row, order)
-            out.append(use(row, lengths, *_estimates(lengths, counts[at], order, stats)))
+            b = Block(row, shape)
+            if column == "total":
+                counts = b.counts(flagged >> np.uint64(1), _answer(triples, "total") >> np.uint64(1), flagged, int(b.split != HELD))
+            else:
+                counts = b.counts(_answer(pairs, "fit"), _answer(triples, "fit"), flagged, int(b.split == TRAIN))
+            out.append(use(row, b.lengths, *_estimates(b.starts(), counts, stats)))
         return pd.concat(out) if out else pd.DataFrame(columns=schema)
 
     return run
@@ -258,7 +392,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     text is empty and has the end token alone; repeated rows count each time;
     an empty table gives an empty result; other columns are ignored.
 
-    N-grams are told apart by 62 bits of a hash; `order` is at most 3.
+    N-grams are told apart by SPARE_BITS bits of a hash more than their number
+    has, 62 at most; `order` is at most 3.
     """
     if not 1 <= order <= 3:
         raise ValueError("order is 1, 2 or 3")
@@ -268,25 +403,31 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     src = docs.select(ident.cast("long").alias("doc_id"), split.cast("int").alias("split"), F.col(f"`{text_col}`").cast("string").alias("text"))
     blocks = "block long, split int, n_docs long, n_tokens long, docs binary, named binary, lengths binary, vocab binary, codes binary"
     blocks = materialize(src.mapInArrow(_blocks, blocks))
-    sizes = {r["split"]: r for r in blocks.groupBy("split").agg(F.sum("n_docs").alias("docs"), F.sum("n_tokens").alias("tokens")).collect()}
+    sizes = {r["split"]: r for r in blocks.groupBy("split").agg(F.sum("n_docs").alias("docs"), F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("blocks")).collect()}
     tokens = lambda *s: sum(sizes[x]["tokens"] for x in s if x in sizes)
     n_docs = lambda *s: sum(sizes[x]["docs"] for x in s if x in sizes)
 
-    ranges = max(1, order * tokens(TRAIN, DEV, HELD) // KEYS_PER_RANGE)
-    asked = blocks.select("block", "split", "lengths", "vocab", "codes").mapInPandas(_ask(order, ranges), "rng long, block long, split int, keys binary, counts binary")
-    counted = materialize(asked.groupBy("rng").applyInPandas(_count, "rng long, block long, split int, total binary, fit binary, types long, fit_types long"))
-    types = counted.agg(F.coalesce(F.sum("types"), F.lit(0)).alias("t"), F.coalesce(F.sum("fit_types"), F.lit(0)).alias("f")).first()
-    fit, full = Stats(tokens(TRAIN), n_docs(TRAIN), types["f"]), Stats(tokens(TRAIN, DEV), n_docs(TRAIN, DEV), types["t"])
-
-    def joined(where, column: str, stats: Stats, use, schema: str) -> DataFrame:
-        left = blocks.where(where).select("block", "split", "docs", "named", "lengths", "vocab", "codes")
-        right = counted.where(where).select("block", "rng", column)
+    shape = Shape(order, tokens(TRAIN, DEV, HELD), sum(r["blocks"] for r in sizes.values()))
+    coded = blocks.select("block", "split", "lengths", "vocab", "codes")
+    pairs, types, fit_types = _count(coded.mapInPandas(_ask_pairs(shape), ASK), shape)
+    fit, full = Stats(tokens(TRAIN), n_docs(TRAIN), fit_types), Stats(tokens(TRAIN, DEV), n_docs(TRAIN, DEV), types)
+    counted = pairs.withColumn("size", F.lit(2))
+    if order == 3:
+        asks = coded.groupBy("block").cogroup(pairs.groupBy("child")).applyInPandas(_ask_triples(shape), ASK)
+        counted = counted.unionByName(_count(asks, shape)[0].withColumn("size", F.lit(3)), allowMissingColumns=True)
+    counted = counted.select(F.col("child").alias("block"), "size", "rng", "total", "fit")
+
+    def joined(where: list[int], column: str, stats: Stats, use, schema: str) -> DataFrame:
+        left = blocks.where(F.col("split").isin(where)).select("block", "split", "docs", "named", "lengths", "vocab", "codes")
+        right = counted.select("block", "size", "rng", "total", "fit" if column == "fit" else F.lit(None).cast("binary").alias("fit"))
+        if column == "fit":  # only the development tenth asked for these
+            right = right.where("fit is not null")
         names = [c.split()[0] for c in schema.split(", ")]
-        return left.groupBy("block").cogroup(right.groupBy("block")).applyInPandas(_with_counts(order, stats, column, use, names), schema)
+        return left.groupBy("block").cogroup(right.groupBy("block")).applyInPandas(_with_counts(shape, stats, column, use, names), schema)
 
     names = [f"q{k}" for k in range(1, order + 1)]
-    binned = joined(F.col("split") == DEV, "fit", fit, _bins(fit), "bucket long, " + ", ".join(f"{q} long" for q in names) + ", n long")
+    binned = joined([DEV], "fit", fit, _bins(fit), "bucket long, " + ", ".join(f"{q} long" for q in names) + ", n long")
     # Bins number in the thousands whatever the corpus: buckets times binned ratios.
     weights = learn_weights(binned.groupBy("bucket", *names).agg(F.sum("n").alias("n")).toPandas(), order)
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return joined(F.lit(True), "total", full, _score(full, weights), out)
+    return joined([TRAIN, DEV, HELD], "total", full, _score(full, weights), out)

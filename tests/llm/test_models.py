@@ -34,7 +34,6 @@ def corpus():
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_scores_against_brute_force(spark, order, monkeypatch):
     monkeypatch.setattr(lm, "BLOCK_BYTES", 5000)
-    monkeypatch.setattr(lm, "KEYS_PER_RANGE", 500)
     docs = corpus()
     got = lm.score(spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, score int"), order=order).collect()
     assert len(got) == len(docs)
@@ -54,39 +53,70 @@ def test_scores_against_brute_force(spark, order, monkeypatch):
         assert sum(r.score for r in test) > sum(r.base_score for r in test)
 
 
-def test_bigram_score_is_a_mixture_of_count_ratios(spark):
-    docs = [d for d in corpus()[:200]]
-    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(docs, "doc_id long, text string"), order=2).collect()}
-    toks = {i: [*WORD.findall(t.translate(LOWER)), ""] for i, t in docs}
+def plain_em(bins, order):
+    """Expectation-maximisation over {(bucket, binned estimates): tokens}, in plain loops."""
+
+    def run(rows, prior, pull):
+        w = list(prior)
+        for _ in range(60):
+            share = [pull * x for x in prior] if pull else [1e-3] * (order + 1)
+            for p, n in rows:
+                all_ = sum(x * y for x, y in zip(p, w, strict=True))
+                for k in range(order + 1):
+                    share[k] += n * p[k] * w[k] / all_
+            w = [x / sum(share) for x in share]
+        return w
+
+    rows = [(k[0], [1.0, *(0.0 if q <= -9999 else 2 ** (q / 4) for q in k[1:])], n) for k, n in bins.items()]
+    overall = run([r[1:] for r in rows], [1 / (order + 1)] * (order + 1), 0)
+    new = [*overall[:-1], 0.0]
+    new = [x / sum(new) for x in new]
+    return {b: run([r[1:] for r in rows if r[0] == b], new if b == 0 and order > 1 else overall, 20.0) for b in range(48)}
+
+
+@pytest.mark.parametrize(("order", "fan"), [(2, 512), (3, 512), (3, 3), (2, 2)])
+def test_score_is_a_mixture_of_count_ratios(spark, order, fan, monkeypatch):
+    """Scores and weights by plain counting; small fans make the counting tree several levels deep."""
+    monkeypatch.setattr(lm, "FAN", fan)
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 2500)
+    docs = [*corpus()[:200], (400, None), (410, "w1"), (420, "w1 w1 w1 w1")]
+    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(docs, "doc_id long, text string"), order=order).collect()}
+    toks = {i: [*WORD.findall((t or "").translate(LOWER)), ""] for i, t in docs}
     tenth = {i: zlib.crc32(str(i).encode()) % 10 for i, _ in docs}
 
     def counts(keep):
-        uni, bi, starts = Counter(), Counter(), 0
+        c, starts = Counter(), 0
         for i, t in toks.items():
             if keep(tenth[i]):
-                uni.update(t)
-                bi.update(zip([None, *t], t, strict=False))
+                padded = [None] * (order - 1) + t
+                for k in range(1, order + 1):
+                    c.update(tuple(padded[j - k + 1 : j + 1]) for j in range(order - 1, len(padded)))
                 starts += 1
-        return uni, bi, starts
+        return c, starts, sum(n for g, n in c.items() if len(g) == 1), sum(len(g) == 1 for g in c)
 
     def rows(t, model):
-        uni, bi, starts = model
-        n, v = sum(uni.values()), len(uni)
-        for h, x in zip([None, *t], t, strict=False):
-            ctx = starts if h is None else uni[h]
-            yield min(int(math.log2(ctx + 1)), lm.BUCKETS - 1), uni[x] / n, bi[h, x] / ctx if ctx else 0, v
+        c, starts, n, v = model
+        padded = [None] * (order - 1) + t
+        for j in range(order - 1, len(padded)):
+            grams = [tuple(padded[j - k + 1 : j + 1]) for k in range(1, order + 1)]
+            context = [n, *(starts if not any(g[:-1]) and None in g[:-1] and set(g[:-1]) == {None} else c[g[:-1]] for g in grams[1:])]
+            yield min(int(math.log2(context[-1] + 1)), 47), [c[g] / x if x else 0 for g, x in zip(grams, context, strict=True)], v
 
     fit = counts(lambda k: k > 1)
-    import pandas as pd
-
-    q = lambda p, v: round(lm.STEPS * math.log2(p * (v + 1))) if p else -9999
-    bins = Counter((b, q(p1, v), q(p2, v)) for i, t in toks.items() if tenth[i] == lm.DEV for b, p1, p2, v in rows(t, fit))
-    weights = lm.learn_weights(pd.DataFrame([(*k, n) for k, n in bins.items()], columns=["bucket", "q1", "q2", "n"]), 2)
-    assert np.allclose(weights.sum(axis=1), 1)
+    q = lambda p, v: round(4 * math.log2(p * (v + 1))) if p else -9999
+    weights = plain_em(Counter((b, *(q(x, v) for x in p)) for i, t in toks.items() if tenth[i] == 1 for b, p, v in rows(t, fit)), order)
     full = counts(lambda k: k > 0)
     for i, t in toks.items():
-        want = sum(math.log10(weights[b, 0] / (v + 1) + weights[b, 1] * p1 + weights[b, 2] * p2) for b, p1, p2, v in rows(t, full))
-        assert math.isclose(got[i], want, rel_tol=1e-9)
+        want = sum(math.log10(weights[b][0] / (v + 1) + sum(w * x for w, x in zip(weights[b][1:], p, strict=True))) for b, p, v in rows(t, full))
+        assert math.isclose(got[i], want, rel_tol=1e-9), (i, got[i], want)
+
+
+def test_counting_tree_is_bounded():
+    """A node has at most FAN children, and the levels make up for it."""
+    for blocks in (1, 2, 511, 512, 513, 20_000, 40_000_000):
+        shape = lm.Shape(3, blocks * 400_000, blocks)
+        assert shape.fan <= lm.FAN and shape.fan**shape.levels >= blocks and shape.groups[-1] == 1
+        assert shape.levels == 1 or lm.FAN ** (shape.levels - 1) < blocks
 
 
 def test_scores_of_nothing(spark):
