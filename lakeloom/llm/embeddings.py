@@ -5,11 +5,14 @@ two tree nodes hold no pair when their centres are farther apart than both
 covering radii and that distance together.
 
 A cover tree (nested levels, radii halving from 2) over a bounded sample gives
-the cells; every vector joins the cell of its nearest centre and the radius of
-a cell is the largest distance that occurs in it, so no bound rests on the
-sample. Cells are cut into blocks of BLOCK vectors, however many fall into
-one. The traversal of the top level keeps the pairs of cells that may hold a
-link; each pair of blocks is one task, which goes on with trees of its own.
+the cells, whose number grows with the vectors up to CELLS; every vector joins
+the cell of its nearest centre and the radius of a cell is the largest distance
+that occurs in it, so no bound rests on the sample. Cells are cut into blocks
+of bounded size, however many vectors fall into one. The traversal of the top
+level keeps the pairs of cells that may hold a link; each pair of blocks is one
+task, which goes on with trees of its own. Node pairs that lie so near that all
+of their pairs are links are counted without a comparison. Vectors travel as
+bytes, those for one block pair together.
 
 Equal vectors are one node with a weight. Tasks return counts and one star of
 edges for each class they see, never all pairs.
@@ -24,13 +27,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 from .components import connected_components
 
 THRESHOLD = 0.95
-#: Vectors in the sample that the top tree is made from, and cells at most.
-SAMPLE, CELLS = 2048, 512
-BLOCK = 8192
+#: Cells: one for each CELL vectors, but within these limits; vectors in the sample for each cell.
+CELL, CELLS, SAMPLE = 8192, (512, 4096), 4
+#: Vectors of a block: a quarter of all, but within these limits.
+BLOCK = (1024, 32768)
 #: Points of a tree leaf; children of a node at most (more: the node stays a leaf, its points are too scattered to cover).
 LEAF, CHILDREN = 256, 64
 SLACK = 1e-7
@@ -93,32 +97,56 @@ class Pairs:
     def __init__(self, x: np.ndarray, weight: np.ndarray, threshold: float):
         self.x, self.weight, self.threshold = x, weight, threshold
         self.reach = float(np.sqrt(2 - 2 * threshold)) + SLACK
+        self.single, self.error = x.astype(np.float32), (x.shape[1] + 8) * 2.0**-22
         self.n, self.root = np.zeros(len(x), np.int64), np.arange(len(x))
 
     def compare(self, a: np.ndarray, b: np.ndarray, same: bool) -> None:
         for i in range(0, len(a), 1024):
             for j in range(i if same else 0, len(b), 1024):
-                p, q = a[i : i + 1024], b[j : j + 1024]
-                hit = self.x[p] @ self.x[q].T >= self.threshold
-                if same and i == j:
-                    hit = np.triu(hit, 1)
-                if not hit.any():
-                    continue
-                self.n[p] += hit @ self.weight[q]
-                self.n[q] += self.weight[p] @ hit
-                for k in np.flatnonzero(hit.any(axis=1)):
-                    mine = self.root[p[k]]
-                    for r in np.unique(self.root[q[hit[k]]]):
-                        if r != mine:
-                            self.root[self.root == r] = mine
+                self._compare(a[i : i + 1024], b[j : j + 1024], same and i == j)
+
+    def _compare(self, p: np.ndarray, q: np.ndarray, same: bool) -> None:
+        """In single precision first, with room for its error; then in double where that leaves a pair."""
+        hit = self.single[p] @ self.single[q].T >= self.threshold - self.error
+        if same:
+            hit = np.triu(hit, 1)
+        some = np.flatnonzero(hit)
+        if not len(some):
+            return
+        if len(some) > hit.size // 32:
+            hit &= self.x[p] @ self.x[q].T >= self.threshold
+        else:
+            i, j = np.divmod(some, len(q))
+            hit[i, j] = np.einsum("ij,ij->i", self.x[p[i]], self.x[q[j]]) >= self.threshold
+        self.n[p] += hit @ self.weight[q]
+        self.n[q] += self.weight[p] @ hit
+        for k in np.flatnonzero(hit.any(axis=1)):
+            self.unite(p[k], q[hit[k]])
+
+    def unite(self, i: int, ix: np.ndarray) -> None:
+        for r in np.unique(self.root[ix]):
+            if r != self.root[i]:
+                self.root[self.root == r] = self.root[i]
+
+    def link_all(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Every point of `a` links with every one of `b` (a is b: with every other)."""
+        if a is b:
+            self.n[a] += self.weight[a].sum() - self.weight[a]
+        else:
+            self.n[a] += self.weight[b].sum()
+            self.n[b] += self.weight[a].sum()
+            self.unite(a[0], b)
+        self.unite(a[0], a)
 
     def traverse(self, a: Node, b: Node) -> None:
-        """Visit node pairs (a is b for the pairs within one tree) that no covering-radius bound rules out."""
+        """Visit node pairs (a is b for the pairs within one tree) that no covering-radius bound settles."""
         todo = [(a, b)]
         while todo:
             a, b = todo.pop()
             if a is b:
-                if not a.children:
+                if 2 * a.radius <= self.reach - 2 * SLACK:
+                    self.link_all(a.ix, a.ix)
+                elif not a.children:
                     self.compare(a.ix, a.ix, True)
                 else:
                     todo += [(p, q) for k, p in enumerate(a.children) for q in a.children[k:]]
@@ -126,6 +154,9 @@ class Pairs:
             d = float(np.sqrt(((self.x[a.centre] - self.x[b.centre]) ** 2).sum()))
             if d > a.radius + b.radius + self.reach:
                 continue
+            if d + a.radius + b.radius <= self.reach - 2 * SLACK:
+                self.link_all(a.ix, b.ix)
+                continue
             if not b.children or a.children and a.radius >= b.radius:
                 a, b = b, a
             if b.children:
@@ -134,13 +165,16 @@ class Pairs:
                 self.compare(a.ix, b.ix, False)
 
 
-def _search(threshold: float):
+def _search(threshold: float, kind: type):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node", ignore_index=True)
-        x = unit(np.frombuffer(b"".join(pdf["v"]), np.float64).reshape(len(pdf), -1))
-        pairs, node = Pairs(x, pdf["w"].to_numpy(np.int64), threshold), pdf["node"].to_numpy()
-        lo = pdf["block"].to_numpy() == pdf["lo"].to_numpy()
-        if pdf["lo"][0] == pdf["hi"][0]:
+        joined = lambda c, t: np.frombuffer(b"".join(pdf[c]), t)
+        node = joined("nodes", np.int64)
+        order = node.argsort(kind="stable")
+        node, weight = node[order], joined("ws", np.int64)[order]
+        x = unit(joined("vs", kind).reshape(len(node), -1)[order].astype(np.float64))
+        pairs = Pairs(x, weight, threshold)
+        lo = np.repeat(pdf["block"].to_numpy() == pdf["lo"].to_numpy(), [len(n) // 8 for n in pdf["nodes"]])[order]
+        if pdf["lo"].iloc[0] == pdf["hi"].iloc[0]:
             top = tree(x, np.arange(len(x)))
             pairs.traverse(top, top)
         elif lo.any() and not lo.all():
@@ -153,63 +187,75 @@ def _search(threshold: float):
     return run
 
 
-def _cells(sample: np.ndarray) -> np.ndarray:
-    """Centres of the deepest level of the sample's cover tree that has at most CELLS nodes."""
+def _cells(sample: np.ndarray, most: int) -> np.ndarray:
+    """Centres of the deepest level of the sample's cover tree that has at most `most` nodes."""
     centres, radius = [0], 2.0
     while radius > 1 / 64:
-        finer = net(sample, radius / 2, CELLS, centres)
+        finer = net(sample, radius / 2, most, centres)
         if finer is None:
             break
         centres, radius = finer[0], radius / 2
     return sample[centres]
 
 
-def _assign(centres: np.ndarray):
+def _read(vs: pd.Series, kind: type) -> np.ndarray:
+    return unit(np.frombuffer(b"".join(vs), kind).reshape(len(vs), -1).astype(np.float64))
+
+
+def _assign(centres: np.ndarray, kind: type):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for i in range(0, len(pdf), 4096):
                 part = pdf.iloc[i : i + 4096]
-                d = chord(unit(np.frombuffer(b"".join(part["v"]), np.float64).reshape(len(part), -1)), centres)
+                d = chord(_read(part["v"], kind), centres)
                 yield pd.DataFrame({"node": part["node"], "cell": d.argmin(axis=1).astype(np.int32), "d": d.min(axis=1)})
 
     return run
 
 
-def _deal(centres: np.ndarray, radius: np.ndarray, blocks: np.ndarray, reach: float):
-    """Send every vector to the block pairs in which it may have a link."""
+def _deal(centres: np.ndarray, radius: np.ndarray, blocks: np.ndarray, reach: float, kind: type):
+    """Send every vector to the block pairs in which it may have a link; those of a batch for one pair go together."""
     first = np.cumsum(blocks) - blocks
-    apart = chord(centres, centres)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for i in range(0, len(pdf), 1024):
-                part = pdf.iloc[i : i + 1024]
-                d = chord(unit(np.frombuffer(b"".join(part["v"]), np.float64).reshape(len(part), -1)), centres)
+            for i in range(0, len(pdf), 4096):
+                part = pdf.iloc[i : i + 4096]
+                d = chord(_read(part["v"], kind), centres)
                 cell = part["cell"].to_numpy()
                 own = first[cell] + part["node"].to_numpy() % blocks[cell]
+                here, at = np.unique(cell, return_inverse=True)
                 # Of the other cell the vector must be in reach, and so must the whole of its own.
-                may = (d <= radius + reach) & (apart[cell] <= radius[cell][:, None] + radius + reach)
+                near = chord(centres[here], centres) <= radius[here][:, None] + radius + reach
+                may = (d <= radius + reach) & near[at]
                 may[np.arange(len(part)), cell] = True
                 row, other = np.nonzero(may & (blocks > 0))
                 times = blocks[other]
                 row = np.repeat(row, times)
                 to = np.repeat(first[other], times) + np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
                 mine = own[row]
-                for s in range(0, len(row), 8192):
-                    r, t, m = row[s : s + 8192], to[s : s + 8192], mine[s : s + 8192]
-                    got = part.iloc[r]
-                    yield pd.DataFrame({"lo": np.minimum(m, t), "hi": np.maximum(m, t), "block": m, "node": got["node"].to_numpy(), "w": got["w"].to_numpy(), "v": got["v"].to_numpy()})
+                lo, hi = np.minimum(mine, to), np.maximum(mine, to)
+                order = np.lexsort((mine, hi, lo))
+                row, lo, hi, mine = row[order], lo[order], hi[order], mine[order]
+                cut = np.flatnonzero(np.r_[True, (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]) | (mine[1:] != mine[:-1]), True]) if len(row) else [0]
+                node, weight, v = part["node"].to_numpy(), part["w"].to_numpy(), part["v"].to_numpy()
+                out = [(lo[s], hi[s], mine[s], node[row[s:e]].tobytes(), weight[row[s:e]].tobytes(), b"".join(v[row[s:e]])) for s, e in zip(cut, cut[1:], strict=False)]
+                for s in range(0, len(out), 256):
+                    yield pd.DataFrame(out[s : s + 256], columns=["lo", "hi", "block", "nodes", "ws", "vs"])
 
     return run
 
 
-def _packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in frames:
-        pdf["v"] = [np.asarray(v, np.float64).tobytes() for v in pdf["v"]]
-        yield pdf
+def _packed(kind: type):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            pdf["v"] = [np.asarray(v, kind).tobytes() for v in pdf["v"]]
+            yield pdf
+
+    return run
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, block: int | None = None) -> DataFrame:
     """One row for every input row: id, n_links, component_id, kept.
 
     Vectors link when their cosine, in double precision, is at least
@@ -217,29 +263,35 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     non-finite components link with nothing: n_links 0, a component of their
     own. Vectors of different lengths never link. Repeated rows are vectors of
     their own; a null id never names a component of others; an empty table
-    gives an empty result; other columns are ignored.
+    gives an empty result; other columns are ignored. `block` is the number of
+    vectors of a block; None: by BLOCK.
     """
+    # Single-precision input travels as such; every length and cosine that decides is computed in double precision.
+    kind = np.float32 if vectors.schema[vector_col].dataType.jsonValue().get("elementType") == "float" else np.float64
     v = F.col(f"`{vector_col}`").cast("array<double>")
     fine = F.coalesce(F.exists(v, lambda x: F.coalesce(x != 0, F.lit(False))) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(False))
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.when(fine, v).alias("v"))
     keys = [F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), F.col("v")).alias("h2")]
     distinct = rows.where("v is not null").select("vec_id", "v", *keys).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("w"), F.min("vec_id").alias("least"), F.first("v").alias("v"))
     distinct = distinct.withColumn("dim", F.size("v"))
-    nodes = distinct.mapInPandas(_packed, "h1 long, h2 long, w long, least long, v binary, dim int")
+    nodes = distinct.mapInPandas(_packed(kind), "h1 long, h2 long, w long, least long, v binary, dim int")
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()))
 
     parts = []
-    for dim in sorted(r["dim"] for r in nodes.select("dim").distinct().collect()):
+    for dim, n in sorted(nodes.groupBy("dim").count().collect()):
         mine = nodes.where(F.col("dim") == dim)
-        sample = mine.orderBy(F.xxhash64("h1"), "node").select("v").limit(SAMPLE).collect()
-        centres = _cells(unit(np.frombuffer(b"".join(bytes(r["v"]) for r in sample), np.float64).reshape(len(sample), -1)))
-        cells = materialize(mine.select("node", "v").mapInPandas(_assign(centres), "node long, cell int, d double"))
+        cells = max(CELLS[0], min(CELLS[1], n // CELL))
+        size = block or max(BLOCK[0], min(BLOCK[1], n // 4))
+        sample = mine.orderBy(F.xxhash64("h1"), "node").select("v").limit(SAMPLE * cells).collect()
+        centres = _cells(unit(np.frombuffer(b"".join(bytes(r["v"]) for r in sample), kind).reshape(len(sample), -1).astype(np.float64)), cells)
+        placed = materialize(mine.select("node", "v").mapInPandas(_assign(centres, kind), "node long, cell int, d double"))
         radius, blocks = np.zeros(len(centres)), np.zeros(len(centres), np.int64)
-        for r in cells.groupBy("cell").agg(F.max("d").alias("r"), F.count(F.lit(1)).alias("n")).collect():
-            radius[r["cell"]], blocks[r["cell"]] = r["r"] + SLACK, -(-r["n"] // block)
+        for r in placed.groupBy("cell").agg(F.max("d").alias("r"), F.count(F.lit(1)).alias("n")).collect():
+            radius[r["cell"]], blocks[r["cell"]] = r["r"] + SLACK, -(-r["n"] // size)
         reach = float(np.sqrt(2 - 2 * threshold)) + SLACK
-        dealt = mine.select("node", "w", "v").join(cells.select("node", "cell"), "node").mapInPandas(_deal(centres, radius, blocks, reach), "lo long, hi long, block long, node long, w long, v binary")
-        parts.append(materialize(dealt.groupBy("lo", "hi").applyInPandas(_search(threshold), "a long, b long, n long")))
+        dealt = mine.select("node", "w", "v").join(placed.select("node", "cell"), "node").mapInPandas(_deal(centres, radius, blocks, reach, kind), "lo long, hi long, block long, nodes binary, ws binary, vs binary")
+        parts.append(materialize(dealt.groupBy("lo", "hi").applyInPandas(_search(threshold, kind), "a long, b long, n long")))
+        release(placed)
     out = ["vec_id", "n_links", "component_id", (F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull())).alias("kept")]
     if not parts:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")).select(*out)

@@ -82,9 +82,10 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize(("block", "cells"), [(8192, 512), (100, 16)])
+@pytest.mark.parametrize(("block", "cells"), [(None, 512), (100, 16)])
 def test_embedding_links(spark, block, cells, monkeypatch):
-    monkeypatch.setattr(embeddings, "CELLS", cells)
+    monkeypatch.setattr(embeddings, "CELLS", (cells, cells))
+    monkeypatch.setattr(embeddings, "LEAF", 20)
     rng = np.random.default_rng(2)
     centre = rng.normal(size=(12, 8))
     x = np.concatenate([rng.normal(size=(300, 8)), centre.repeat(50, 0) + rng.normal(size=(600, 8)) * 0.12, centre[:1].repeat(40, 0), 3 * centre[:2]])
@@ -108,6 +109,32 @@ def test_embedding_links(spark, block, cells, monkeypatch):
     assert got[3000] == (1, 3000, True) and got[3001] == (1, 3000, False)
 
 
+def test_cover_tree_settles_pairs_by_bounds():
+    """In tight clusters, far nodes are ruled out and near ones counted whole: few of all pairs are compared."""
+    rng = np.random.default_rng(4)
+    x = embeddings.unit(rng.normal(size=(20, 16)).repeat(300, 0) + rng.normal(size=(6000, 16)) * 0.01)
+    pairs, compared = embeddings.Pairs(x, np.ones(len(x), np.int64), 0.95), []
+    plain = pairs._compare
+    pairs._compare = lambda p, q, same: (compared.append(len(p) * len(q)), plain(p, q, same))
+    top = embeddings.tree(x, np.arange(len(x)))
+    pairs.traverse(top, top)
+    want = (x @ x.T >= 0.95).sum(axis=1) - 1
+    assert (pairs.n == want).all() and len(np.unique(pairs.root)) == 20
+    assert sum(compared) < 0.02 * len(x) ** 2
+
+
+def test_embeddings_of_single_precision(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(100, 24)).astype(np.float32)
+    x = np.concatenate([base, base + rng.normal(size=base.shape).astype(np.float32) * 0.3]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.95).sum(axis=1) - 1
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(df).collect()}
+    assert [got[i] for i in range(len(x))] == want.tolist() and 10 < sum(want) < 400
+
+
 def test_embedding_edges(spark):
     df = spark.createDataFrame([(1, None), (None, [1.0, 0.0]), (4, [1.0, 0.0]), (4, [1.0, 0.0])], "vec_id long, embedding array<float>")
     got = sorted((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(df).collect())
