@@ -2,12 +2,15 @@
 
 Fingerprints of unrelated texts lie near 32 bits from any vantage point, give
 or take 4, so that with a radius of 4 one tree over all 64 bits prunes next to
-nothing. The trees are therefore a forest over RADIUS + 1 bands of bits: two
-fingerprints within the radius agree on one band at least, so the roots of
-tree b part the fingerprints by distance zero on band b, and no shard of that
-tree overlaps another. Below the root, a shard is a vantage-point tree over
-all 64 bits: each node splits at the median distance to its vantage point and
-triangle bounds decide which parts of the shells on both sides are compared.
+nothing. The trees are therefore a forest: the bits are cut into more parts
+than the radius, and two fingerprints within the radius agree on all parts but
+as many as it. Each choice of the parts that agree is a tree, whose roots part
+the fingerprints by distance zero on those bits; no shard of a tree overlaps
+another. The number of parts grows with the logarithm of the fingerprints, so
+that shards of scattered ones stay small. Below the root, a shard is a
+vantage-point tree over all 64 bits: each node splits at the median distance
+to its vantage point and triangle bounds decide which parts of the shells on
+both sides are compared.
 A root with more than SHARD fingerprints is parted into blocks by hash, and
 every pair of its blocks is compared by a task of its own.
 """
@@ -15,6 +18,7 @@ every pair of its blocks is compared by a task of its own.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -29,7 +33,10 @@ SHINGLE = 4
 SEED = 42
 RADIUS = 4
 SHARD = 8192
-LEAF = 48
+#: Fingerprints that a root should hold at most where they are scattered.
+SHARE = 2048
+#: Points up to which all pairs are compared.
+LEAF = 16
 ROWS_PER_TASK = 40_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -75,6 +82,8 @@ class _Links:
 
     def __init__(self, fp: np.ndarray, radius: int):
         self.fp, self.radius, self.root = fp, radius, np.arange(len(fp))
+        # Vantage points chosen, and pairs that triangle bounds ruled out.
+        self.vantage = self.ruled_out = 0
 
     def distance(self, i: int, ix: np.ndarray) -> np.ndarray:
         return np.bitwise_count(self.fp[ix] ^ self.fp[i])
@@ -112,7 +121,10 @@ class _Links:
                     self.one(ix[k], ix[k + 1 :])
                 continue
             todo += [ix[inner], ix[~inner]]
-            self.across(ix[inner & (d > mu - self.radius)], ix[~inner & (d <= mu + self.radius)])
+            a, b = ix[inner & (d > mu - self.radius)], ix[~inner & (d <= mu + self.radius)]
+            self.vantage += 1
+            self.ruled_out += int(inner.sum()) * int((~inner).sum()) - len(a) * len(b)
+            self.across(a, b)
 
     def across(self, a: np.ndarray, b: np.ndarray, depth: int = 0) -> None:
         """All links between a point of `a` and one of `b`."""
@@ -131,6 +143,8 @@ class _Links:
             for i in a:
                 self.one(i, b)
             return
+        self.vantage += 1
+        self.ruled_out += int(near.sum()) * int((db > mu + self.radius).sum()) + int(far.sum()) * int((db <= mu - self.radius).sum())
         self.across(a[near], b[db <= mu + self.radius], depth + 1)
         self.across(a[far], b[db > mu - self.radius], depth + 1)
 
@@ -160,28 +174,41 @@ def _link_shards(radius: int):
     return run
 
 
-def _bands(fp: Column, n: int) -> Column:
-    """Keys of the n bands of a fingerprint: the band's number and its bits."""
-    cuts = [64 * i // n for i in range(n + 1)]
+def _bands(fp: Column, parts: int, radius: int) -> list[Column]:
+    """Keys of the roots of a fingerprint: each choice of parts - radius of its parts, and their bits."""
+    cuts = [64 * i // parts for i in range(parts + 1)]
     keys = []
-    for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
-        bits = F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
-        keys.append(bits + F.lit(i << 40))
-    return F.array(*keys)
+    for i, choice in enumerate(combinations(range(parts), parts - radius)):
+        key = F.lit(i).cast("long")
+        for p in choice:
+            width = cuts[p + 1] - cuts[p]
+            key = F.shiftleft(key, width).bitwiseOR(F.shiftrightunsigned(fp, cuts[p]).bitwiseAND(F.lit((1 << width) - 1)))
+        keys.append(key)
+    return keys
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+def parts_for(n: int, radius: int) -> int:
+    """The least number of parts whose roots hold SHARE of n scattered fingerprints at most."""
+    parts = radius + 1
+    while n >> 64 * (parts - radius) // parts > SHARE and parts < radius + 5:
+        parts += 1
+    return parts
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, shard: int = SHARD, parts: int | None = None) -> DataFrame:
     """Edges (a, b) that connect every two fingerprints `fp` of the distinct ones within `radius` bits.
 
     Not all such pairs are returned: within a shard a class is a star.
     """
-    rows = distinct.select("fp", F.explode(_bands(F.col("fp"), radius + 1)).alias("leaf"))
+    n = distinct.count()
+    bands = _bands(F.col("fp"), parts or parts_for(n, radius), radius)
+    rows = distinct.select("fp", F.explode(F.array(*bands)).alias("leaf"))
     hot = rows.groupBy("leaf").count().where(F.col("count") > shard).select("leaf", F.ceil(F.col("count") / shard).cast("int").alias("n"))
     rows = rows.join(hot, "leaf", "left").withColumn("n", F.coalesce("n", F.lit(1)))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     rows = rows.select("fp", "leaf", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
-    tasks = max(1, (radius + 1) * distinct.count() // ROWS_PER_TASK)
+    tasks = max(1, len(bands) * n // ROWS_PER_TASK)
     rows = rows.withColumn("task", F.pmod(F.xxhash64("leaf", "lo", "hi"), F.lit(tasks)))
     return rows.groupBy("task").applyInPandas(_link_shards(radius), "a long, b long")
 

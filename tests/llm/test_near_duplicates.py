@@ -45,8 +45,8 @@ def links_brute(fp, radius=4):
     return [f.find(i) for i in range(len(fp))]
 
 
-@pytest.mark.parametrize("shard", [8192, 60])
-def test_simhash_links(spark, shard):
+@pytest.mark.parametrize(("shard", "parts"), [(8192, None), (60, None), (8192, 6), (8192, 7)])
+def test_simhash_links(spark, shard, parts):
     rng = np.random.default_rng(5)
     fp = rng.integers(0, 2**64, 900, dtype=np.uint64)
     flip = lambda x, n: x ^ np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, n, replace=False).astype(np.uint64))
@@ -54,7 +54,7 @@ def test_simhash_links(spark, shard):
     dense = [flip(fp[0], int(rng.integers(1, 9))) for _ in range(600)]  # one large group of near copies
     fp = np.unique(np.concatenate([fp, np.array(near + dense, np.uint64), [np.uint64(0), np.uint64(7)]]))
     frame = spark.createDataFrame(pd.DataFrame({"fp": fp.view(np.int64)}))
-    edges = simhash.links(frame, shard=shard)
+    edges = simhash.links(frame, shard=shard, parts=parts)
     got = {r.node: r.component for r in components.connected_components(edges).collect()}
     want, names = links_brute(fp), {}
     for x, c in zip(fp.view(np.int64).tolist(), want, strict=True):
@@ -62,6 +62,23 @@ def test_simhash_links(spark, shard):
     assert len(names) == len(set(want))
 
 
+def test_roots_stay_small():
+    assert [simhash.parts_for(n, 4) for n in (0, 10**6, 10**8, 10**10)] == [5, 5, 6, 7]
+
+
+def test_vantage_point_trees_prune():
+    """A shard of scattered and of clustered fingerprints: the tree is built, rules pairs out, and finds all links."""
+    rng = np.random.default_rng(8)
+    centre = rng.integers(0, 2**64, 12, dtype=np.uint64)
+    flip = lambda x, n: x ^ np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, n, replace=False).astype(np.uint64))
+    fp = np.unique(np.concatenate([rng.integers(0, 2**64, 300, dtype=np.uint64), [flip(c, int(rng.integers(0, 5))) for c in centre.repeat(40)]]))
+    links = simhash._Links(fp, 4)
+    links.within(np.arange(len(fp)))
+    assert links.vantage > 20 and links.ruled_out > 0.1 * len(fp) ** 2 / 2
+    want = links_brute(fp)
+    assert len(np.unique(links.root)) == len(set(want)) and all((links.root[i] == links.root[j]) == (want[i] == want[j]) for i in range(0, len(fp), 7) for j in range(len(fp)))
+
+
 def test_simhash_rows(spark):
     text = "the of and to in a is that for it was on are as with"
     rows = [(5, text, 1), (3, text.upper(), 1), (9, None, 1), (8, "", 1), (8, "", 1), (None, text, 1), (7, "quite another text " * 40, 1)]
