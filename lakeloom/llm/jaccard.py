@@ -1,9 +1,12 @@
-"""Near-duplicates by the general rule: sets of word shingles with a Jaccard similarity of 0.8 or more.
+"""SimHash near-duplicates by the general rule: sets of word shingles with a Jaccard similarity of 0.8 or more.
 
-Candidates share one of BANDS keys, each made of ROWS minima over the hashes of
-a text's shingles: a pair of similarity s is missed with probability
+Candidates come from the SimHash operator: fingerprints of all shingles that
+its vantage-point forest finds within the radius. Texts of a similarity near
+0.8 differ in 7 to 12 bits, out of the reach of any forest that prunes. So
+candidates also share one of BANDS keys, each made of ROWS minima over the
+hashes of a text's shingles: a pair of similarity s is missed with probability
 (1 - s^ROWS)^BANDS, which is 3 in a million at 0.8 and less above. Texts that
-are linked over such keys form a loose group; inside a group the similarity of
+either links form a loose group; inside a group the similarity of
 every two texts is computed exactly from their whole shingle sets. A group of
 more than BLOCK texts or BLOCK_WORDS words is parted into blocks by hash, and
 every pair of its blocks is compared apart.
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 from .components import connected_components
-from .simhash import LOWER, SEED
+from .simhash import SEED, links, majority, shingle_hashes
 
 SHINGLE = 5
 #: Least similarity, as a ratio of whole numbers.
@@ -33,20 +36,9 @@ WORDS_PER_TASK = 500_000
 FACTORS = np.random.default_rng(SEED).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct XXH64 of all runs of `size` words (A-Z lower-cased); of all words together if there are fewer."""
-    import xxhash
-
-    w = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
-    if not w:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(w)
-    if len(w) <= size:
-        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
-    ends = np.cumsum([len(x) + 1 for x in w])
-    starts = np.concatenate(([0], ends[:-size])).tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, (ends[size - 1 :] - 1).tolist(), strict=True)), np.uint64, len(starts)))
+def shingles(text: str | None) -> np.ndarray:
+    """Sorted distinct XXH64 of all runs of SHINGLE words; of all words together if there are fewer."""
+    return np.unique(shingle_hashes(text, SHINGLE))
 
 
 def band_keys(found: np.ndarray) -> list[int]:
@@ -66,10 +58,12 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
     for batch in batches:
-        sets = [shingles(batch.column(2)[i].as_py()) for i in range(batch.num_rows)]
+        found = [shingle_hashes(batch.column(2)[i].as_py(), SHINGLE) for i in range(batch.num_rows)]
+        sets = [np.unique(h) for h in found]
         nodes = pa.array([xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) for s in sets], pa.int64())
         keys = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), nodes, pa.array([len(s) for s in sets], pa.int64()), keys], names=["doc_id", "text_hash", "node", "n", "keys"])
+        fp = pa.array(np.array([majority(h) for h in found], np.uint64).view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), nodes, pa.array([len(s) for s in sets], pa.int64()), keys, fp], names=["doc_id", "text_hash", "node", "n", "keys", "fp"])
 
 
 def classes(sets: list[np.ndarray], side: np.ndarray | None = None) -> np.ndarray:
@@ -122,13 +116,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     text = F.col(f"`{text_col}`").cast("string")
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    prints = materialize(src.mapInArrow(_sketches, "doc_id long, text_hash long, node long, n long, keys array<long>"))
-    rows = prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    prints = materialize(src.mapInArrow(_sketches, "doc_id long, text_hash long, node long, n long, keys array<long>, fp long"))
+    rows = prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.min("fp").alias("fp"))
     nodes = materialize(rows)
 
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    keyed = nodes.where("n > 0").select("node", F.explode("keys").alias("key"))
     hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("many")).where("many > 1").select("key", "hub")
-    loose = connected_components(keyed.join(hubs, "key").select(F.col("hub").alias("a"), F.col("node").alias("b")))
+    near = nodes.where("n > 0").groupBy("fp").agg(F.min("node").alias("hub"))
+    edges = [keyed.join(hubs, "key").select(F.col("hub").alias("a"), F.col("node").alias("b"))]
+    edges.append(nodes.where("n > 0").select("node", "fp").join(near, "fp").select(F.col("hub").alias("a"), F.col("node").alias("b")))
+    found = materialize(links(near.select("fp")))
+    edges.append(found.join(near.select(F.col("fp").alias("a"), F.col("hub").alias("ha")), "a").join(near.select(F.col("fp").alias("b"), F.col("hub").alias("hb")), "b").select(F.col("ha").alias("a"), F.col("hb").alias("b")))
+    loose = connected_components(edges[0].unionByName(edges[1]).unionByName(edges[2]))
     loose = materialize(nodes.join(loose.withColumnRenamed("component", "loose"), "node").select("node", "loose", "n", F.col("row.doc_id").alias("_d"), F.col("row.text_hash").alias("_h")))
     sizes = loose.groupBy("loose").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / BLOCK_WORDS)).cast("int").alias("parts"))
     loose = loose.join(sizes, "loose").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))

@@ -41,26 +41,34 @@ ROWS_PER_TASK = 40_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def fingerprint(text: str | None) -> int:
-    """64 majority bits of the XXH64 of all word shingles; 0 without words."""
+def shingle_hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """XXH64 of all runs of `size` words (A-Z lower-cased), repeats included; of all words together if there are fewer."""
     import xxhash
 
     w = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not w:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(w)
-    if len(w) <= SHINGLE:
-        return xxhash.xxh64_intdigest(joined, SEED)
+    if len(w) <= size:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
     ends = np.cumsum([len(x) + 1 for x in w])
-    starts = np.concatenate(([0], ends[:-SHINGLE])).tolist()
+    starts = np.concatenate(([0], ends[:-size])).tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, (ends[SHINGLE - 1 :] - 1).tolist(), strict=True)), np.uint64, len(starts))
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, (ends[size - 1 :] - 1).tolist(), strict=True)), np.uint64, len(starts))
+
+
+def majority(h: np.ndarray) -> int:
+    """The 64 bits that are set in over half of the hashes; 0 for none."""
     counts = np.zeros(64, np.int64)
     for i in range(0, len(h), 4096):
         part = h[i : i + 4096].astype("<u8").view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = 2 * counts > len(h)
-    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * counts > len(h), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None) -> int:
+    """64 majority bits of the XXH64 of all word shingles; 0 without words."""
+    return majority(shingle_hashes(text))
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,13 +6,13 @@ import re
 
 import pytest
 
-from lakeloom.llm import queries, simhash
+from lakeloom.llm import queries
 
 pytest.importorskip("public_tokenizers")
 import corpus_pipeline  # noqa: E402
 
 from .test_lines import brute as brute_lines  # noqa: E402
-from .test_near_duplicates import Forest  # noqa: E402
+from .test_near_duplicates import Forest, word_sets  # noqa: E402
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -48,10 +48,10 @@ def test_stages(spark, tmp_path):
 
     three = step("near_dedup", two)
     ids, f = sorted(want), Forest(1000)
-    prints = {i: simhash.fingerprint(want[i]) for i in ids}
+    sets = {i: word_sets(want[i]) for i in ids}
     for i in ids:
         for j in ids:
-            if (prints[i] ^ prints[j]).bit_count() <= 4:
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
                 f.join(i, j)
     assert three.columns == COLUMNS and {r.doc_id for r in three.collect()} == {f.find(i) for i in ids}
 
@@ -75,6 +75,32 @@ def test_stages(spark, tmp_path):
     assert math.isclose(sum(r.length for r in last), sum(r.length for r in five))
 
 
+EXTRA = "doc_id long, text string, lang string, source string, n_chars long, repeats string, _d int, _h int, row string, d string, removed_lines string, `a.b` int, id int, hash int"
+
+
+def test_stages_with_clashing_columns_long_texts_and_nulls(spark, tmp_path):
+    rng = random.Random(4)
+    long = "\n".join(" ".join(rng.choice(["the", "of", "river", "stone", "morning", "letter"]) + str(rng.randrange(10**6)) * (rng.random() < 0.7) for _ in range(25)) for _ in range(4000))
+    one = " ".join(f"the stone{i} of" for i in range(30))
+    rows = [(1, long, "en", "a", 0), (2, one, "en", "b", 0), (2, one, "en", "b", 0), (3, None, None, None, None), (None, " ".join(f"and water{i} to" for i in range(40)), "en", None, 0), (5, "", "en", "a", 0), (6, one + " more", "en", "a", 0)]
+    df = spark.createDataFrame([(*r, "x", 1, 2, "y", "z", "w", 7, 8, 9) for r in rows], EXTRA)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        df.write.parquet(str(tmp_path / name))
+        df = stage(spark, spark.read.parquet(str(tmp_path / name)), str(tmp_path))
+        assert df.columns == [c.split()[0].strip("`") for c in EXTRA.split(", ")]
+        assert all(r["repeats"] == "x" and r["_d"] == 1 and r["a.b"] == 7 and r["id"] == 8 for r in df.collect())
+        if name == "near_dedup":
+            assert sorted((r.doc_id or 0, len(r.text)) for r in df.collect()) == [(0, len(rows[4][1])), (1, len(long)), (2, len(one))]
+    assert {r.doc_id for r in df.collect()} <= {1, 2, None}
+    assert corpus_pipeline.pack_sequences(spark, df, "").count() > 0
+
+
+def test_stages_of_an_empty_table(spark, tmp_path):
+    df = spark.createDataFrame([], EXTRA)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, df, str(tmp_path)).count() == 0
+
+
 def test_every_query_has_a_name():
     assert [n for n in range(1, 11) if sum(q.startswith(f"op{n}_") for q in queries.QUERIES) != 1] == []
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
