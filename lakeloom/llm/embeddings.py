@@ -107,21 +107,19 @@ class Pairs:
 
     def _compare(self, p: np.ndarray, q: np.ndarray, same: bool) -> None:
         """In single precision first, with room for its error; then in double where that leaves a pair."""
-        hit = self.single[p] @ self.single[q].T >= self.threshold - self.error
+        i, j = np.divmod(np.flatnonzero(self.single[p] @ self.single[q].T >= self.threshold - self.error), len(q))
         if same:
-            hit = np.triu(hit, 1)
-        some = np.flatnonzero(hit)
-        if not len(some):
+            i, j = i[i < j], j[i < j]
+        if not len(i):
             return
-        if len(some) > hit.size // 32:
-            hit &= self.x[p] @ self.x[q].T >= self.threshold
-        else:
-            i, j = np.divmod(some, len(q))
-            hit[i, j] = np.einsum("ij,ij->i", self.x[p[i]], self.x[q[j]]) >= self.threshold
-        self.n[p] += hit @ self.weight[q]
-        self.n[q] += self.weight[p] @ hit
-        for k in np.flatnonzero(hit.any(axis=1)):
-            self.unite(p[k], q[hit[k]])
+        cosine = (self.x[p] @ self.x[q].T)[i, j] if len(i) > len(p) * len(q) // 32 else np.einsum("ij,ij->i", self.x[p[i]], self.x[q[j]])
+        i, j = i[cosine >= self.threshold], j[cosine >= self.threshold]
+        # Sums of weights are exact below 2^53.
+        self.n[p] += np.bincount(i, self.weight[q[j]], len(p)).astype(np.int64)
+        self.n[q] += np.bincount(j, self.weight[p[i]], len(q)).astype(np.int64)
+        cut = np.flatnonzero(np.diff(i, prepend=-1, append=len(p)))
+        for s, e in zip(cut, cut[1:], strict=False):
+            self.unite(p[i[s]], q[j[s:e]])
 
     def unite(self, i: int, ix: np.ndarray) -> None:
         for r in np.unique(self.root[ix]):
