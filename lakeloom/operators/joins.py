@@ -31,22 +31,53 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str
     return found.select("_row.*", *[F.when(known, F.col(f"_value.{v}")).alias(v) for v in values])
 
 
+#: Buckets that an interval may cross before it moves to buckets STEP times as wide.
+STEP = 64
+
+
 def interval_join(left: DataFrame, right: DataFrame, point: str, start: str, end: str, width: float, keys: list[str] | None = None) -> DataFrame:
-    """Pairs with start <= point <= end of numeric columns, as an equi-join on buckets of `width`.
+    """Pairs with start <= point <= end of numeric columns, as an equi-join on buckets.
 
-    Each interval is copied to the buckets it crosses, so `width` should be
-    near its usual length; a point lies in one bucket, so no pair is met twice.
+    Each interval is copied to the buckets of `width` that it crosses, so
+    `width` should be near its usual length; an interval of more than STEP
+    widths takes buckets STEP times as wide, and so on, so none is copied more
+    than STEP + 1 times. A point lies in one bucket of each width in use, so no
+    pair is met twice.
     """
-    bucket = lambda c: F.floor(F.col(c) / F.lit(float(width)))
-    cover = right.where(F.col(start) <= F.col(end)).withColumn("_b", F.explode(F.sequence(bucket(start), bucket(end))))
-    on = ["_b", *(keys or [])]
-    return left.withColumn("_b", bucket(point)).join(cover, on).where((F.col(start) <= F.col(point)) & (F.col(point) <= F.col(end))).drop("_b")
+    level = F.greatest(F.lit(0), F.ceil(F.log(float(STEP), F.greatest((F.col(end) - F.col(start)) / width, F.lit(1.0))) - 1)).cast("int")
+    valid = right.where(F.col(start) <= F.col(end)).withColumn("_l", level)
+    most = valid.agg(F.max("_l").alias("m")).first()["m"] or 0
+    bucket = lambda c: F.floor(F.col(c) / (F.lit(float(width)) * F.pow(F.lit(float(STEP)), F.col("_l"))))
+    cover = valid.withColumn("_b", F.explode(F.sequence(bucket(start), bucket(end))))
+    levels = F.explode(F.sequence(F.lit(0), F.lit(most))) if most else F.lit(0)
+    on = ["_b", "_l", *(keys or [])]
+    return left.withColumn("_l", levels).withColumn("_b", bucket(point)).join(cover, on).where((F.col(start) <= F.col(point)) & (F.col(point) <= F.col(end))).drop("_b", "_l")
+
 
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], salts: int, how: str = "inner", share: float = 0.001) -> DataFrame:
+    """Join on keys of which a few hold a large part of the left rows.
 
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], salts: int, how: str = "inner") -> DataFrame:
-    """Join on keys of which a few hold a large part of the left rows: right rows are copied to every salt."""
+    Only keys with more than `share` of the left rows, so 1 / share keys at
+    most, are salted: their right rows are copied to every salt. That bound is
+    why they may be broadcast.
+    """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError("the side that is copied can't be the one that is kept")
-    spread = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)))
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n").alias("t")).first()["t"] or 0
+    hot = F.broadcast(counts.where(F.col("_n") > share * total).select(*keys, F.lit(True).alias("_hot")))
+    pick = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
+    spread = left.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot"), pick).otherwise(0)).drop("_hot")
+    copies = right.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col("_hot"), salts - 1).otherwise(0)))).drop("_hot")
     return spread.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
+def not_in(left: DataFrame, right: DataFrame, left_col: str, right_col: str) -> DataFrame:
+    """SQL's NOT IN: nothing passes if the right side holds a null, everything if it is empty; else null never passes."""
+    has = right.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(right_col).isNull()).alias("nulls")).first()
+    if has["nulls"]:
+        return left.where(F.lit(False))
+    if not has["n"]:
+        return left
+    values = right.select(F.col(right_col).alias("_v"))
+    return left.where(F.col(left_col).isNotNull()).join(values, F.col(left_col) == F.col("_v"), "left_anti")

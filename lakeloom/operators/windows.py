@@ -36,3 +36,35 @@ def sessions(df: DataFrame, keys: list[str], time: str, gap: str, name: str = "s
     first = F.lag(time).over(w).isNull() | (F.col(time) > F.lag(time).over(w) + F.expr(f"interval {gap}"))
     running = w.rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("_new", first.cast("long")).withColumn(name, F.sum("_new").over(running)).drop("_new")
+
+
+def sum_excluding_peers(value: str, keys: list[str], order: str, keep_row: bool = False) -> Column:
+    """Sum over a whole partition without the row's peers by `order` (EXCLUDE GROUP), or without all of them but the row itself (EXCLUDE TIES); null when nothing else is in it."""
+    whole, peers = Window.partitionBy(*keys), Window.partitionBy(*keys, order)
+    own, present = F.coalesce(F.col(value), F.lit(0)), F.col(value).isNotNull().cast("long")
+    rest = F.count(value).over(whole) - F.count(value).over(peers) + (present if keep_row else 0)
+    total = F.coalesce(F.sum(value).over(whole), F.lit(0)) - F.coalesce(F.sum(value).over(peers), F.lit(0))
+    return F.when(rest > 0, total + own if keep_row else total)
+
+
+def percentile(df: DataFrame, keys: list[str], value: str, p: float, name: str, buckets: int = 4096) -> DataFrame:
+    """Exact interpolated percentile of each group without holding a group's values in one task.
+
+    A histogram of `buckets` equal ranges between a group's least and greatest
+    value finds the ranges that hold the two ranks in question; only the
+    distinct values of these are ordered. Nulls are left out.
+    """
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v is not null")
+    span = rows.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n")).withColumn("_at", F.lit(p) * (F.col("_n") - 1))
+    wide = F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-300))
+    rows = rows.join(span, keys).withColumn("_b", F.least(F.floor((F.col("_v") - F.col("_lo")) / wide * buckets), F.lit(buckets - 1)))
+    before = lambda w, c: F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col(c)
+    counts = rows.groupBy(*keys, "_b", "_at").agg(F.count(F.lit(1)).alias("_c"))
+    counts = counts.withColumn("_before", before(Window.partitionBy(*keys).orderBy("_b"), "_c"))
+    near = counts.where((F.col("_before") <= F.ceil("_at")) & (F.col("_before") + F.col("_c") > F.floor("_at"))).select(*keys, "_b", "_before")
+    values = rows.join(near, [*keys, "_b"]).groupBy(*keys, "_b", "_before", "_v", "_at").agg(F.count(F.lit(1)).alias("_c"))
+    values = values.withColumn("_from", F.col("_before") + before(Window.partitionBy(*keys, "_b").orderBy("_v"), "_c"))
+    holds = lambda rank: F.max(F.when((F.col("_from") <= rank) & (F.col("_from") + F.col("_c") > rank), F.col("_v")))
+    ends = values.groupBy(*keys, "_at").agg(holds(F.floor("_at")).alias("_a"), holds(F.ceil("_at")).alias("_z"))
+    part = F.col("_at") - F.floor("_at")
+    return ends.select(*keys, F.when(part == 0, F.col("_a")).otherwise(F.col("_a") + part * (F.col("_z") - F.col("_a"))).alias(name))

@@ -3,3 +3,4 @@
 from . import registry as registry
 from . import relational as relational
 from . import streams as streams
+from . import values as values

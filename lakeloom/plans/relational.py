@@ -118,9 +118,11 @@ def interval_join(spark: SparkSession, sf: str) -> DataFrame:
 @register("time_range_join", "SELECT a.event_id AS click_id, b.event_id AS purchase_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 1 HOUR WHERE a.event_type = 'click' AND b.event_type = 'purchase'")
 def time_range_join(spark: SparkSession, sf: str) -> DataFrame:
     e = read_table(spark, sf, "events")
-    a = e.where("event_type = 'click'").select("user_id", F.col("ts").alias("t0"), F.col("event_id").alias("click_id"))
-    b = e.where("event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("purchase_id"))
-    return a.join(b, "user_id").where("ts between t0 and t0 + interval 1 hour").select("click_id", "purchase_id")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    hour = 3600 * 10**6
+    a = e.where("event_type = 'click'").select("user_id", at.alias("lo"), (at + hour).alias("hi"), F.col("event_id").alias("click_id"))
+    b = e.where("event_type = 'purchase'").select("user_id", at.alias("at"), F.col("event_id").alias("purchase_id"))
+    return joins.interval_join(b, a, "at", "lo", "hi", hour, ["user_id"]).select("click_id", "purchase_id")
 
 
 @register("salted_join", "SELECT event_type, c_mktsegment, count(*) AS n FROM events JOIN customer ON user_id = c_custkey GROUP BY ALL")
@@ -171,7 +173,8 @@ def moments(spark: SparkSession, sf: str) -> DataFrame:
 @register("percentiles", "SELECT l_shipdate::DATE - TIMESTAMP '1995-01-01'::DATE > 1000 AS late, quantile_cont(l_quantity, 0.9) AS p90, median(l_extendedprice) AS med FROM lineitem GROUP BY 1")
 def percentiles(spark: SparkSession, sf: str) -> DataFrame:
     late = F.datediff(F.col("l_shipdate"), F.lit("1995-01-01")) > 1000
-    return read_table(spark, sf, "lineitem").groupBy(late.alias("late")).agg(F.percentile("l_quantity", 0.9).alias("p90"), F.median("l_extendedprice").alias("med"))
+    li = read_table(spark, sf, "lineitem").select(late.alias("late"), "l_quantity", "l_extendedprice")
+    return windows.percentile(li, ["late"], "l_quantity", 0.9, "p90").join(windows.percentile(li, ["late"], "l_extendedprice", 0.5, "med"), "late")
 
 
 @register("arg_extremes", "SELECT c_mktsegment, max_by(c_custkey, c_acctbal) AS richest, min_by(c_custkey, c_acctbal) AS poorest FROM customer GROUP BY c_mktsegment")

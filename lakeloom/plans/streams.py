@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.sources.scratch import new_path
+from lakeloom.sources.tables import read_table
 from lakeloom.streaming import events
 
 from .registry import register
@@ -65,3 +66,46 @@ def stream_no_repeats(spark: SparkSession, sf: str) -> DataFrame:
 def stream_follow_up(spark: SparkSession, sf: str) -> DataFrame:
     s = lambda kind: _events(spark, sf).where(F.col("event_type") == kind)
     return _append(events.followed_by(s("click"), s("purchase"), "1 hour").select("first_id", "then_id"))
+
+
+#: An event later than all others, so that append mode closes every window before it.
+CLOSING = "2100-01-01 00:00:00"
+
+
+def _in_order(spark: SparkSession, sf: str) -> DataFrame:
+    """The events as files of a week each, oldest first, and a closing row in the last."""
+    table, path = read_table(spark, sf, "events"), new_path(spark)
+    week = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / (7 * 86400)).alias("week")
+    for r in table.select(week).distinct().orderBy("week").collect():
+        table.where(week == r["week"]).coalesce(1).write.mode("append").parquet(path)
+    spark.sql(f"SELECT -1L AS event_id, timestamp_ntz'{CLOSING}' AS ts, -1L AS user_id, 'end' AS event_type, 0D AS value, '' AS props").write.mode("append").parquet(path)
+    return events.read_events(spark, path)
+
+
+@register("stream_tumbling_append", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_tumbling_append(spark: SparkSession, sf: str) -> DataFrame:
+    """Append mode: a window comes out once, when the watermark has passed it."""
+    return _plain(_append(events.tumbling(_in_order(spark, sf)).drop("total"))).where("event_type <> 'end'")
+
+
+@register(
+    "stream_sessions",
+    "SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s",
+)
+def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    return _plain(_append(events.session_counts(_in_order(spark, sf)).select("user_id", "start", "n"))).where("user_id >= 0")
+
+
+@register("stream_running_counts", "SELECT user_id, count(*) AS n FROM events GROUP BY user_id")
+def stream_running_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Keyed state: the last count of each user over all batches."""
+    key, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    path = new_path(spark)
+    keep = lambda df, _: df.write.mode("append").parquet(path)
+    try:
+        stream = events.running_totals(_in_order(spark, sf))
+        stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", new_path(spark)).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    return spark.read.parquet(path).where("user_id >= 0").groupBy("user_id").agg(F.max("n").alias("n"))

@@ -55,3 +55,37 @@ def test_scalars(spark):
     assert got[1].c is None and got[1].r == 0.5
     few = spark.range(2).agg(scalars.sample_skewness("id").alias("s"), scalars.sample_kurtosis("id").alias("k")).first()
     assert few.s is None and few.k is None
+
+
+def test_interval_join_of_long_intervals(spark):
+    """Intervals of a millionth to a million bucket widths: none is copied to more than a few buckets."""
+    rng = random.Random(4)
+    pts = [(i, rng.uniform(-1e6, 1e6)) for i in range(300)]
+    ivs = [(i, a := rng.uniform(-1e6, 1e6), a + 10 ** rng.uniform(-6, 6)) for i in range(150)]
+    p, v = spark.createDataFrame(pts, "p long, x double"), spark.createDataFrame(ivs, "v long, lo double, hi double")
+    got = sorted((r.p, r.v) for r in joins.interval_join(p, v, "x", "lo", "hi", 1.0).collect())
+    assert got == sorted((i, j) for i, x in pts for j, a, b in ivs if a <= x <= b)
+
+
+def test_not_in(spark):
+    left = spark.createDataFrame([(1,), (2,), (None,)], "a long")
+    right = lambda *x: spark.createDataFrame([(i,) for i in x], "b long")
+    got = lambda r: sorted((x.a for x in joins.not_in(left, r, "a", "b").collect()), key=str)
+    assert got(right(1)) == [2] and got(right(1, None)) == [] and got(right(None).where("b > 0")) == [1, 2, None]
+
+
+def test_percentile(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice("ab"), rng.choice([rng.gauss(0, 1), 7.0, rng.randrange(5), 1e9 * rng.random()])) for _ in range(500)] + [("c", 3.0), ("d", None)]
+    df = spark.createDataFrame([(k, None if v is None else float(v)) for k, v in rows], "k string, v double")
+    for p in (0.0, 0.37, 0.5, 0.99, 1.0):
+        want = {r.k: r.x for r in df.groupBy("k").agg(F.percentile("v", p).alias("x")).collect() if r.x is not None}
+        for buckets in (1, 7, 4096):
+            got = {r.k: r.x for r in windows.percentile(df, ["k"], "v", p, "x", buckets).collect()}
+            assert got.keys() == want.keys() and all(abs(got[k] - want[k]) <= 1e-9 * max(1, abs(want[k])) for k in want)
+
+
+def test_excluded_peers(spark):
+    df = spark.createDataFrame([("a", 1, 10.0), ("a", 1, 20.0), ("a", 2, None), ("b", 1, 1.0)], "k string, o long, v double")
+    got = df.select("k", "o", "v", windows.sum_excluding_peers("v", ["k"], "o").alias("g"), windows.sum_excluding_peers("v", ["k"], "o", True).alias("t")).collect()
+    assert sorted((r.k, r.o, r.v or 0, r.g, r.t) for r in got) == [("a", 1, 10.0, None, 10.0), ("a", 1, 20.0, None, 20.0), ("a", 2, 0, 30.0, 30.0), ("b", 1, 1.0, None, 1.0)]
