@@ -30,8 +30,6 @@ QUADRATIC = 1 / 4096
 GROUP_TOKENS = 1 << 20
 #: Words whose token ids each Python worker keeps; when they are more, only those seen again stay.
 CACHE_WORDS = 400_000
-#: White space next to a space: there the text can't be cut at spaces.
-UNSAFE = re.compile(r" [\s\x1c-\x1f\x85]|[\s\x1c-\x1f\x85] ")
 #: Words of Latin script, on whose character classes both tokenizer libraries agree.
 LATIN = re.compile(r"[!-~\u00a1-\u024f]+")
 NEWLINE_ID = 198
@@ -59,8 +57,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
-        self.unsafe = re.compile("|".join([UNSAFE.pattern, *map(re.escape, filter(None, added))]))
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.fast = None
         if ranks_path:
             import base64
@@ -72,10 +69,14 @@ class WordTokenizer:
             fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
             same = all(fast.encode_ordinary(" " + w) == self.tokenizer.encode(" " + w, add_special_tokens=False).ids for w in PROBE)
             self.fast = fast if same and fast.encode_ordinary("\n") == [NEWLINE_ID] else None
-        self.known: dict[str, bytes] = {}
+        # None: a word with white space at an end, next to which texts can't be cut.
+        self.known: dict[str, bytes | None] = {}
 
     def _learn(self, fresh: list[str]) -> None:
         """Add new words; those of Latin script hold no line feed, so one can part them."""
+        odd = [w for w in fresh if not w or w[0].isspace() or w[-1].isspace()]
+        self.known.update(dict.fromkeys(odd))
+        fresh = list(set(fresh).difference(odd))
         latin, other = [], [] if self.fast else fresh
         for w in fresh if self.fast else []:
             (latin if LATIN.fullmatch(w) else other).append(w)
@@ -91,7 +92,7 @@ class WordTokenizer:
                 self.known[w] = np.array(e.ids, np.uint32).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [None if self.unsafe.search(t) or t[:1] == " " or t[-1:] == " " else t.split(" ") for t in texts]
+        cut = [None if any(x in t for x in self.added) else t.split(" ") for t in texts]
         wanted = set().union(*(ws[1:] for ws in cut if ws))
         new = wanted.difference(self.known)
         if len(self.known) + len(new) > CACHE_WORDS:
@@ -99,9 +100,12 @@ class WordTokenizer:
         self._learn(list(new))
         known, out = self.known, []
         for t, ws in zip(texts, cut, strict=True):
-            head = self.tokenizer.encode(t if ws is None else ws[0], add_special_tokens=False).ids
-            tail = b"" if ws is None else b"".join(map(known.__getitem__, ws[1:]))
-            out.append(np.frombuffer(np.array(head, np.uint32).tobytes() + tail, np.uint32))
+            tail = None
+            if ws and (len(ws) == 1 or ws[0] and not ws[0][-1].isspace()):
+                parts = [known[w] for w in ws[1:]]
+                tail = None if None in parts else b"".join(parts)
+            head = self.tokenizer.encode(t if tail is None else ws[0], add_special_tokens=False).ids
+            out.append(np.frombuffer(np.array(head, np.uint32).tobytes() + (tail or b""), np.uint32))
         return out
 
 
