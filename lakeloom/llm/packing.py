@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -28,13 +30,12 @@ from pyspark.sql import functions as F
 SEQUENCE = 1024
 QUADRATIC = 1 / 4096
 GROUP_TOKENS = 1 << 20
-#: Words whose token ids each Python worker keeps; when they are more, only those seen again stay.
-CACHE_WORDS = 400_000
-#: Words of Latin script, on whose character classes both tokenizer libraries agree.
-LATIN = re.compile(r"[!-~\u00a1-\u024f]+")
-NEWLINE_ID = 198
+#: Words whose token ids each Python worker keeps from task to task: half of them new, half the generation before, of which those seen again move on.
+CACHE_WORDS = 800_000
+#: Words of Latin script, lines among them, on whose character classes both tokenizer libraries agree.
+LATIN = re.compile(r"[\n!-~\u00a1-\u024f]+")
 #: Words on which the quick encoder must agree with `tokenizers` before it is used.
-PROBE = [chr(c) for c in (*range(0x21, 0x7F), *range(0xA1, 0x250))] + ["it's", "don't,", "we'll", "1,234.5", "naïve", "Straße", "½x²", "https://a.example/b?c=d", "foo_bar", "***###", "ALLCAPS", "x" * 40]
+PROBE = [chr(c) for c in (*range(0x21, 0x7F), *range(0xA1, 0x250))] + ["it's", "don't,", "we'll", "1,234.5", "naïve", "Straße", "½x²", "https://a.example/b?c=d", "foo_bar", "***###", "ALLCAPS", "x" * 40, "end.\nNext", "a\n\nb", "x\n\n\n1"]
 
 
 class WordTokenizer:
@@ -68,47 +69,60 @@ class WordTokenizer:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
             same = all(fast.encode_ordinary(" " + w) == self.tokenizer.encode(" " + w, add_special_tokens=False).ids for w in PROBE)
-            self.fast = fast if same and fast.encode_ordinary("\n") == [NEWLINE_ID] else None
-        # None: a word with white space at an end, next to which texts can't be cut.
-        self.known: dict[str, bytes | None] = {}
-
-    def _learn(self, fresh: list[str]) -> None:
-        """Add new words; those of Latin script hold no line feed, so one can part them."""
-        odd = [w for w in fresh if not w or w[0].isspace() or w[-1].isspace()]
-        self.known.update(dict.fromkeys(odd))
-        fresh = list(set(fresh).difference(odd))
-        latin, other = [], [] if self.fast else fresh
-        for w in fresh if self.fast else []:
-            (latin if LATIN.fullmatch(w) else other).append(w)
-        for i in range(0, len(latin), 20_000):
-            part = latin[i : i + 20_000]
-            ids = np.array(self.fast.encode_ordinary(" " + "\n ".join(part)), np.uint32)
-            ends = [*np.flatnonzero(ids == NEWLINE_ID).tolist(), len(ids)]
-            raw = ids.tobytes()
-            self.known.update(zip(part, [raw[4 * a : 4 * b] for a, b in zip([0, *(e + 1 for e in ends)], ends)], strict=True))
-        for i in range(0, len(other), 20_000):
-            part = other[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([" " + w for w in part], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, np.uint32).tobytes()
+            self.fast = fast if same else None
+        self.known = _Words(self._ids)
+
+    def _ids(self, word: str) -> bytes:
+        if self.fast and (word.isascii() and word.isprintable() or LATIN.fullmatch(word)):
+            return array("I", self.fast.encode_ordinary(" " + word)).tobytes()
+        return array("I", self.tokenizer.encode(" " + word, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [None if any(x in t for x in self.added) else t.split(" ") for t in texts]
-        wanted = set().union(*(ws[1:] for ws in cut if ws))
-        new = wanted.difference(self.known)
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known = {w: self.known[w] for w in wanted if w in self.known}
-        self._learn(list(new))
-        known, out = self.known, []
-        for t, ws in zip(texts, cut, strict=True):
-            tail = None
-            if ws and (len(ws) == 1 or ws[0] and not ws[0][-1].isspace()):
-                parts = [known[w] for w in ws[1:]]
-                tail = None if None in parts else b"".join(parts)
-            head = self.tokenizer.encode(t if tail is None else ws[0], add_special_tokens=False).ids
-            out.append(np.frombuffer(np.array(head, np.uint32).tobytes() + (tail or b""), np.uint32))
+        out = []
+        for t in texts:
+            self.known.turn()
+            first, *rest = [t] if any(x in t for x in self.added) else t.split(" ")
+            tail = b""
+            if rest:
+                try:
+                    if not first or first[-1].isspace():
+                        raise LookupError(first)
+                    tail = b"".join(map(self.known.__getitem__, rest))
+                except LookupError:
+                    first = t
+            head = self.tokenizer.encode(first, add_special_tokens=False).ids
+            out.append(np.frombuffer(array("I", head).tobytes() + tail, np.uint32))
         return out
 
 
+class _Words(dict):
+    """Ids of words, learned when first asked for; words with white space at an end, next to which texts can't be cut, are a LookupError."""
+
+    def __init__(self, ids: Callable[[str], bytes]):
+        super().__init__()
+        self.ids, self.before = ids, {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.before.get(word)
+        if found is None:
+            if not word or word.strip() != word:
+                raise LookupError(word)
+            found = self.ids(word)
+        self[word] = found
+        return found
+
+    def turn(self) -> None:
+        if len(self) > CACHE_WORDS // 2:
+            self.before = dict(self)
+            self.clear()
+
+
+@cache
+def _tokenizer(path: str, ranks_path: str | None, pattern: str | None) -> WordTokenizer:
+    """One for each Python worker, which keeps what it has learned."""
+    return WordTokenizer(path, ranks_path, pattern)
+
+
 def _pieces(path: str, ranks_path: str | None, pattern: str | None, end_id: int) -> callable:
     schema = pa.schema([("doc_id", pa.int64()), ("doc_tokens", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("crc", pa.int64()), ("ids", pa.binary()), ("spread", pa.int64())])
 
@@ -120,7 +134,7 @@ def _pieces(path: str, ranks_path: str | None, pattern: str | None, end_id: int)
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         made, task = 0, TaskContext.get().partitionId()
-        tok = WordTokenizer(path, ranks_path, pattern)
+        tok = _tokenizer(path, ranks_path, pattern)
         for batch in batches:
             at = 0
             while at < batch.num_rows:

@@ -137,7 +137,7 @@ def test_word_tokenizer(fast, monkeypatch):
     monkeypatch.setattr(packing, "CACHE_WORDS", 50)
     own = packing.WordTokenizer(P.path("byte_bpe_50k.json"), *((P.path("byte_bpe_50k.tiktoken"), P.PATTERN) if fast else ()))
     rng = random.Random(4)
-    texts = ODD + ["".join(rng.choice("abcé ,.!1\n\tß'sあ ") for _ in range(rng.randint(1, 80))) for _ in range(400)]
+    texts = ODD + ["".join(rng.choice("abcé ,.!1\n\n\tß'sあ ") for _ in range(rng.randint(1, 80))) for _ in range(400)]
     want = [e.ids for e in tokenizer().encode_batch(texts, add_special_tokens=False)]
     for _ in range(2):
         assert [x.tolist() for x in own.encode(texts)] == want
