@@ -3,4 +3,5 @@
 from . import registry as registry
 from . import relational as relational
 from . import streams as streams
+from . import user_functions as user_functions
 from . import values as values

@@ -165,3 +165,41 @@ def hinted_joins(spark: SparkSession, sf: str) -> DataFrame:
 @register("piped", "SELECT o_orderstatus, count(*) AS n, max(o_totalprice) AS top FROM orders WHERE o_totalprice > 1000 GROUP BY o_orderstatus")
 def piped(spark: SparkSession, sf: str) -> DataFrame:
     return spark.sql("FROM {orders} |> WHERE o_totalprice > 1000 |> AGGREGATE count(*) AS n, max(o_totalprice) AS top GROUP BY o_orderstatus", orders=read_table(spark, sf, "orders"))
+
+
+@register("variant_fields", "SELECT event_id, k AS key, json_extract(props, '$.' || k)::BIGINT AS v FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
+def variant_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """One row for each field of the parsed props; malformed JSON has none."""
+    e = read_table(spark, sf, "events").select("event_id", F.try_parse_json("props").alias("p"))
+    fields = spark.tvf.variant_explode(F.col("p").outer())
+    return e.lateralJoin(fields).select("event_id", "key", F.try_variant_get("value", "$", "long").alias("v"))
+
+
+@register("discrete_percentiles", "SELECT l_returnflag, quantile_disc(l_quantity, 0.5) AS middle, quantile_disc(l_quantity, 0.9) AS high FROM lineitem GROUP BY l_returnflag")
+def discrete_percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    """The least value that a share of the rows doesn't exceed, from counts of values: no group is held in one task."""
+    counts = read_table(spark, sf, "lineitem").where("l_quantity is not null").groupBy("l_returnflag", "l_quantity").agg(n())
+    w = Window.partitionBy("l_returnflag")
+    reached = counts.select("l_returnflag", "l_quantity", F.sum("n").over(w.orderBy("l_quantity")).alias("upto"), F.sum("n").over(w).alias("all"))
+    least = lambda p: F.min(F.when(F.col("upto") >= F.ceil(F.lit(p) * F.col("all")), F.col("l_quantity")))
+    return reached.groupBy("l_returnflag").agg(least(0.5).alias("middle"), least(0.9).alias("high"))
+
+
+@register("frequent_items", "SELECT event_type AS item, count(*) AS n FROM events GROUP BY event_type")
+def frequent_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Most frequent types from a sketch of bounded size, exact as long as it tracks all distinct values."""
+    top = read_table(spark, sf, "events").agg(F.expr("approx_top_k(event_type, 100, 1000)").alias("top"))
+    return top.select(F.inline("top")).select("item", long(F.col("count"), "n"))
+
+
+@register("sketches", "SELECT event_type, TRUE AS users_close, TRUE AS both_close, TRUE AS median_close FROM events GROUP BY event_type")
+def sketches(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether theta sketches give the users of a type, and those it shares with all, within 15 %, and a KLL sketch the median within 4 % of the ranks."""
+    e = read_table(spark, sf, "events")
+    middle = windows.percentile(e, ["event_type"], "value", 0.46, "lo").join(windows.percentile(e, ["event_type"], "value", 0.54, "hi"), "event_type")
+    kept = e.groupBy("event_type").agg(F.expr("theta_sketch_agg(user_id)").alias("t"), F.count_distinct("user_id").alias("x"), F.expr("kll_sketch_agg_double(value)").alias("k"))
+    every = e.agg(F.expr("theta_sketch_agg(user_id)").alias("every")).first()["every"]
+    kept = kept.withColumn("both", F.call_function("theta_intersection", F.col("t"), F.lit(every)))
+    close = lambda c: F.abs(F.call_function("theta_sketch_estimate", F.col(c)) - F.col("x")) <= 0.15 * F.col("x")
+    median = F.call_function("kll_sketch_get_quantile_double", F.col("k"), F.lit(0.5))
+    return kept.join(middle, "event_type").select("event_type", close("t").alias("users_close"), close("both").alias("both_close"), median.between(F.col("lo"), F.col("hi")).alias("median_close"))

@@ -56,4 +56,4 @@ def test_no_query_needs_one_task_or_a_product(spark):
             continue
         plan = q(spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
-        assert "Python" not in plan, name
+        assert "Python" not in plan or q.__module__.endswith(".user_functions"), name
