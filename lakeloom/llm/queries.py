@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, html, lines, lm, mixing, packing, quality, secrets, simhash, urls
+from . import decontam, embeddings, html, lines, lm, mixing, negatives, packing, quality, search, secrets, simhash, urls
 from .common import table
-from .sql import OP2_SQL, OP3_SQL, OP4_SQL, OP6_SQL, OP10_SQL
+from .sql import OP2_SQL, OP3_SQL, OP4_SQL, OP6_SQL, OP10_SQL, OP11_SQL, OP12_SQL, OP13_SQL
 
 
 #: The stated rules: verdict, host, path.
@@ -62,5 +62,20 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op1_html": op1_html, "op2_quality": op2_quality, "op3_secrets": op3_secrets, "op4_lines": op4_lines, "op5_urls": op5_urls, "op6_mixing": op6_mixing, "op7_lm": op7_lm, "op8_simhash": op8_simhash, "op9_packing": op9_packing, "op10_embeddings": op10_embeddings}
-ORACLE_SQL = {"op2_quality": OP2_SQL, "op3_secrets": OP3_SQL, "op4_lines": OP4_SQL, "op6_mixing": OP6_SQL, "op10_embeddings": OP10_SQL}
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = vectors.select("vec_id", moved.alias("label"), "embedding", (F.col("vec_id") % 100 == 0).alias("anchor"))
+    return negatives.mine(rows, "anchor").select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.digest(decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op1_html": op1_html, "op2_quality": op2_quality, "op3_secrets": op3_secrets, "op4_lines": op4_lines, "op5_urls": op5_urls, "op6_mixing": op6_mixing, "op7_lm": op7_lm, "op8_simhash": op8_simhash, "op9_packing": op9_packing, "op10_embeddings": op10_embeddings, "op11_negatives": op11_negatives, "op12_decontamination": op12_decontamination, "op13_search": op13_search}
+ORACLE_SQL = {"op2_quality": OP2_SQL, "op3_secrets": OP3_SQL, "op4_lines": OP4_SQL, "op6_mixing": OP6_SQL, "op10_embeddings": OP10_SQL, "op11_negatives": OP11_SQL, "op12_decontamination": OP12_SQL, "op13_search": OP13_SQL}

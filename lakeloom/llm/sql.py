@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import lines, mixing, quality, secrets
+from . import decontam, lines, mixing, negatives, quality, search, secrets, tokens
+from .common import UPPER
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -150,3 +151,41 @@ comp AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
 n AS (SELECT a AS vec_id, count(*) AS n_links FROM pairs GROUP BY a)
 SELECT comp.vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, comp.vec_id = component_id AS kept
 FROM comp LEFT JOIN n USING (vec_id)"""
+
+
+_LOWER_WORDS = rf"list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '{tokens.SEPARATOR}'), lambda x: x <> '')"
+
+OP12_SQL = rf"""
+WITH d AS (SELECT doc_id, {_LOWER_WORDS} AS ws FROM documents),
+b AS (SELECT item_id, {_LOWER_WORDS} AS ws FROM benchmark),
+k AS (SELECT DISTINCT least(len(ws), {decontam.WINDOW}) AS k FROM b WHERE len(ws) > 0),
+bw AS (SELECT DISTINCT item_id, array_to_string(ws[i:i + k - 1], ' ') AS win
+       FROM (SELECT item_id, ws, least(len(ws), {decontam.WINDOW}) AS k, unnest(range(1, len(ws) - least(len(ws), {decontam.WINDOW}) + 2)) AS i FROM b WHERE len(ws) > 0)),
+dw AS (SELECT doc_id, i, k, array_to_string(ws[i:i + k - 1], ' ') AS win FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM d, k)),
+h AS (SELECT doc_id, i, k, item_id FROM dw JOIN bw USING (win)),
+c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM h) GROUP BY doc_id),
+n AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM h GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)"""
+
+OP13_SQL = rf"""
+WITH d AS (SELECT doc_id, {_LOWER_WORDS} AS ws FROM documents),
+s AS (SELECT count(*)::BIGINT AS n_docs, sum(len(ws))::BIGINT AS n_terms FROM d WHERE len(ws) > 0),
+b AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_LOWER_WORDS}) AS term FROM benchmark) GROUP BY ALL),
+tf AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(ws) AS n, unnest(ws) AS term FROM d) WHERE term IN (SELECT term FROM b) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, s GROUP BY term, n_docs),
+g AS (SELECT doc_id, term, (1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms)) AS g FROM tf, s),
+r AS (SELECT item_id, doc_id, sum(times * w * g)::BIGINT AS score FROM b JOIN w USING (term) JOIN g USING (term) GROUP BY ALL)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM r WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= {search.TOP}"""
+
+OP11_SQL = rf"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.e, b.e)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= {negatives.POSITIVES}),
+n AS (SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+             row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank
+      FROM p JOIN s USING (anchor_id) WHERE NOT same AND {negatives.NEAR} * positive_score <= 100 * score AND score <= positive_score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= {negatives.NEGATIVES}"""
