@@ -5,11 +5,16 @@ notices, adverts, forms, comments, and, where a page marks its article,
 everything outside it. What is left are the page's text lines (blocks). Pages
 of one host that have the same lines are copies and count as one. Of each
 host, the different pages are ordered by path, and a page is differenced with
-the neighbour of longer common path prefix: the lines that the longest common
-subsequence of both shares come from the site's template and are deleted.
-Where that takes more than half of a page's lines, the two may be versions of
-one text; then the neighbour on the other side, if there is one, has to share
-a line as well.
+the neighbour of longer common path prefix. The lines that the longest common
+subsequence of both shares are deleted where the host bears out that they come
+from its template:
+
+* on a page without a marked article, those that a third page of the host
+  holds too (or if it has just these two), so that two versions of one text
+  don't erase each other;
+* in a marked article, those that open or close it and stand on at least half
+  of the host's pages and on FRAME of them: a sentence that some articles share
+  is text, and stays.
 
 Pages are parsed once. Only hashes of lines travel between pages. The order by
 host and path is a range-partitioned sort, so that a host with a third of all
@@ -35,6 +40,8 @@ from .common import UPPER, materialize, release
 BROADCAST_BYTES = 8 << 20
 #: Cells up to which the table of a longest common subsequence is kept as bits; larger ones are split.
 TABLE_BITS = 1 << 26
+#: Pages of a host that hold a line, at least, before it is taken out of a marked article; or out of an unmarked page.
+FRAME, THIRD = 5, 3
 #: Bytes of text in a batch of parsed pages, but for a longer page.
 BATCH_BYTES = 8 << 20
 
@@ -185,11 +192,15 @@ def blocks(page: str | None) -> list[tuple[str, bool]]:
     return out
 
 
-def kept_lines(page: str | None) -> list[str]:
-    """The blocks that may be article: those in the marked article, or all where none is marked."""
+def article(page: str | None) -> tuple[list[str], bool]:
+    """The blocks that may be article, and whether the page marks it: then they are those inside, else all."""
     found = blocks(page)
     marked = any(inside for _, inside in found)
-    return [t for t, inside in found if inside or not marked]
+    return [t for t, inside in found if inside or not marked], marked
+
+
+def kept_lines(page: str | None) -> list[str]:
+    return article(page)[0]
 
 
 def _kind(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
@@ -290,16 +301,16 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
     def made(rows: list[tuple], batch: pa.RecordBatch, at: int) -> pa.RecordBatch:
-        texts, hashes, all_ = zip(*rows, strict=True)
-        cols = [pa.array(texts, pa.list_(pa.string())), pa.array(hashes, pa.list_(pa.int64())), pa.array(all_, pa.int64())]
-        return pa.RecordBatch.from_arrays([*(c.slice(at, len(rows)) for c in batch.columns[:-1]), *cols], names=["page_id", "url", "host", "path", "texts", "lines", "h"])
+        texts, hashes, all_, marked = zip(*rows, strict=True)
+        cols = [pa.array(texts, pa.list_(pa.string())), pa.array(hashes, pa.list_(pa.int64())), pa.array(all_, pa.int64()), pa.array(marked)]
+        return pa.RecordBatch.from_arrays([*(c.slice(at, len(rows)) for c in batch.columns[:-1]), *cols], names=["page_id", "url", "host", "path", "texts", "lines", "h", "marked"])
 
     for batch in batches:
         rows, size, at = [], 0, 0
         for i in range(batch.num_rows):
-            texts = kept_lines(batch.column(batch.num_columns - 1)[i].as_py())
+            texts, marked = article(batch.column(batch.num_columns - 1)[i].as_py())
             hashes = np.array([xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t in texts], np.uint64)
-            rows.append((texts, hashes.view(np.int64), xxhash.xxh64_intdigest(hashes.tobytes()) - (1 << 63)))
+            rows.append((texts, hashes.view(np.int64), xxhash.xxh64_intdigest(hashes.tobytes()) - (1 << 63), marked))
             size += sum(map(len, texts))
             if size > BATCH_BYTES:
                 yield made(rows, batch, at)
@@ -321,8 +332,8 @@ def _difference(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def template_lines(parsed: DataFrame) -> DataFrame:
     """(host, h, shared): the lines to delete from the pages of a host whose lines hash to h, where there are any."""
-    pages = parsed.where("host <> '' AND size(lines) > 0").groupBy("host", "h").agg(F.min(F.struct("path", "page_id")).alias("at"), F.first("lines").alias("lines"))
-    pages = pages.select("host", "h", "at.path", "at.page_id", "lines")
+    pages = parsed.where("host <> '' AND size(lines) > 0").groupBy("host", "h").agg(F.min(F.struct("path", "page_id")).alias("at"), F.first("lines").alias("lines"), F.max("marked").alias("marked"))
+    pages = pages.select("host", "h", "at.path", "at.page_id", "lines", "marked")
     ordered = materialize(pages.orderBy("host", "path", "page_id", "h").withColumn("id", F.monotonically_increasing_id()))
     # The first row of each partition follows the last of the one before: one row for each partition.
     ends = ordered.groupBy(F.shiftright("id", 33).alias("part")).agg(F.min("id").alias("first"), F.max("id").alias("last")).orderBy("part").collect()
@@ -334,11 +345,20 @@ def template_lines(parsed: DataFrame) -> DataFrame:
     side = lambda n: F.max(F.when(F.col("next") == n, F.struct("near", "shared")))
     sides = seen.groupBy("id").agg(side(0).alias("before"), side(1).alias("after"))
     first = F.coalesce(F.col("before.near"), F.lit(-1)) >= F.coalesce(F.col("after.near"), F.lit(-1))
-    sides = sides.select("id", F.when(first, F.col("before.shared")).otherwise(F.col("after.shared")).alias("a"), F.when(first, F.col("after.shared")).otherwise(F.col("before.shared")).alias("b"))
-    found = sides.where("size(a) > 0").join(ordered.select("id", "host", "h", F.size("lines").alias("n")), "id")
-    doubt = (2 * F.size("a") > F.col("n")) & F.col("b").isNotNull()
-    found = materialize(found.select("host", "h", F.when(doubt, F.array_intersect("a", "b")).otherwise(F.col("a")).alias("shared")).where("size(shared) > 0"))
-    release(ordered)
+    sides = sides.select("id", F.when(first, F.col("before.shared")).otherwise(F.col("after.shared")).alias("shared")).where("size(shared) > 0")
+    near = sides.join(ordered.select("id", "host", "h", "lines", "marked"), "id")
+    # Numbers in order: those that equal their place open the page, those that do so from the end close it.
+    edge = F.filter("shared", lambda i, k: (i == k) | (F.size("lines") - i == F.size("shared") - k))
+    near = near.select("host", "h", "marked", "lines", F.explode(F.when(F.col("marked"), edge).otherwise(F.col("shared"))).alias("i"))
+    near = materialize(near.select("host", "h", "marked", "i", F.get("lines", F.col("i")).alias("line")))
+    asked = near.select("host", "line").distinct()
+    held = ordered.select("host", F.explode(F.array_distinct("lines")).alias("line")).join(asked, ["host", "line"], "left_semi").groupBy("host", "line").agg(F.count(F.lit(1)).alias("held"))
+    sizes = ordered.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    frame = (F.col("held") >= FRAME) & (2 * F.col("held") >= F.col("pages"))
+    template = F.when(F.col("marked"), frame).otherwise((F.col("held") >= THIRD) | (F.col("pages") == 2))
+    found = near.join(held, ["host", "line"]).join(sizes, "host").where(template)
+    found = materialize(found.groupBy("host", "h").agg(F.array_sort(F.collect_list("i")).alias("shared")))
+    release(ordered, near)
     return found
 
 
@@ -355,10 +375,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
     url, page = F.col(f"`{url_col}`").cast("string"), F.col(f"`{html_col}`").cast("string")
     src = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"), page.alias("page"))
-    parsed = materialize(src.mapInArrow(_parse, "page_id long, url string, host string, path string, texts array<string>, lines array<long>, h long"))
+    parsed = materialize(src.mapInArrow(_parse, "page_id long, url string, host string, path string, texts array<string>, lines array<long>, h long, marked boolean"))
     gone = template_lines(parsed)
     n_bytes = gone.agg(F.sum(F.size("shared") * 4 + F.octet_length("host") + 24).alias("n")).first()["n"] or 0
-    out = parsed.drop("lines", "path").join(gone if n_bytes > broadcast_bytes else F.broadcast(gone), ["host", "h"], "left")
+    out = parsed.drop("lines", "path", "marked").join(gone if n_bytes > broadcast_bytes else F.broadcast(gone), ["host", "h"], "left")
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("texts") - 1), F.col("shared")), lambda i: F.get("texts", i))
     text = F.array_join(F.when(F.col("shared").isNull(), F.col("texts")).otherwise(left), " ")
     out = out.select("page_id", "url", text.alias("text"), F.coalesce(F.size("shared"), F.lit(0)).cast("long").alias("n_deleted"))
