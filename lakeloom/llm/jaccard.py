@@ -7,9 +7,12 @@ candidates also share one of BANDS keys, each made of ROWS minima over the
 hashes of a text's shingles: a pair of similarity s is missed with probability
 (1 - s^ROWS)^BANDS, which is 3 in a million at 0.8 and less above. Texts that
 either links form a loose group; inside a group the similarity of
-every two texts is computed exactly from their whole shingle sets. A group of
-more than BLOCK texts or BLOCK_WORDS words is parted into blocks by hash, and
-every pair of its blocks is compared apart.
+every two texts is computed exactly from their whole shingle sets. Only the
+sets of texts in a group are made again, once, and travel instead of the texts;
+in a task an inverted index of shingles leaves out texts that share none. A
+group of more than BLOCK texts or BLOCK_WORDS words is parted into blocks by
+hash, and every pair of its blocks is compared apart: a set of a group of w
+words is copied w / BLOCK_WORDS times.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ SHINGLE = 5
 #: Least similarity, as a ratio of whole numbers.
 SHARE = (4, 5)
 BANDS, ROWS = 24, 4
-BLOCK, BLOCK_WORDS = 256, 500_000
+BLOCK, BLOCK_WORDS = 4096, 1_000_000
 WORDS_PER_TASK = 500_000
 #: Odd multipliers, one for each minimum.
 FACTORS = np.random.default_rng(SEED).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -92,13 +95,22 @@ def classes(sets: list[np.ndarray], side: np.ndarray | None = None) -> np.ndarra
     return root
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column's texts as their shingle sets."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 256):
+            part = batch.slice(i, 256)
+            made = pa.array([shingles(t).tobytes() for t in part.column(part.num_columns - 1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], made], names=[*part.schema.names[:-1], "set"])
+
+
 def _link(pdf: pd.DataFrame) -> pd.DataFrame:
     a, b = [], []
     for (_, lo, hi), rows in pdf.groupby(["loose", "lo", "hi"], sort=False):
         if len(rows) < 2:
             continue
         nodes = rows["node"].to_numpy()
-        root = classes([shingles(t) for t in rows["text"]], None if lo == hi else rows["part"].to_numpy() == hi)
+        root = classes([np.frombuffer(t, np.uint64) for t in rows["set"]], None if lo == hi else rows["part"].to_numpy() == hi)
         moved = np.flatnonzero(root != np.arange(len(root)))
         a.append(nodes[moved])
         b.append(nodes[root[moved]])
@@ -133,8 +145,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     loose = loose.join(sizes, "loose").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     words = loose.agg(F.coalesce(F.sum(F.col("n") * F.col("parts")), F.lit(0)).alias("w")).first()["w"]
     whole = src.join(loose, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h"))).select("node", "loose", "part", "parts", "text").dropDuplicates(["node"])
+    whole = whole.mapInArrow(_sets, "node long, loose long, part int, parts int, set binary")
     whole = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    whole = whole.select("node", "loose", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "text")
+    whole = whole.select("node", "loose", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "set")
     whole = whole.withColumn("task", F.pmod(F.xxhash64("loose", "lo", "hi"), F.lit(max(1, words // WORDS_PER_TASK))))
     found = connected_components(whole.groupBy("task").applyInPandas(_link, "a long, b long"))
 
