@@ -330,7 +330,7 @@ def _difference(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["id", "near", "next", "shared"])
 
 
-def template_lines(parsed: DataFrame) -> DataFrame:
+def template_lines(parsed: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(host, h, shared): the lines to delete from the pages of a host whose lines hash to h, where there are any."""
     pages = parsed.where("host <> '' AND size(lines) > 0").groupBy("host", "h").agg(F.min(F.struct("path", "page_id")).alias("at"), F.first("lines").alias("lines"), F.max("marked").alias("marked"))
     pages = pages.select("host", "h", "at.path", "at.page_id", "lines", "marked")
@@ -351,14 +351,18 @@ def template_lines(parsed: DataFrame) -> DataFrame:
     edge = F.filter("shared", lambda i, k: (i == k) | (F.size("lines") - i == F.size("shared") - k))
     near = near.select("host", "h", "marked", "lines", F.explode(F.when(F.col("marked"), edge).otherwise(F.col("shared"))).alias("i"))
     near = materialize(near.select("host", "h", "marked", "i", F.get("lines", F.col("i")).alias("line")))
-    asked = near.select("host", "line").distinct()
-    held = ordered.select("host", F.explode(F.array_distinct("lines")).alias("line")).join(asked, ["host", "line"], "left_semi").groupBy("host", "line").agg(F.count(F.lit(1)).alias("held"))
+    asked = materialize(near.select("host", "line").distinct())
+    # A line of very many pages is counted and judged where these pages are, unless there are too many lines to broadcast.
+    n_bytes = asked.agg(F.sum(F.octet_length("host") + 32).alias("n")).first()["n"] or 0
+    few = (lambda t: t) if n_bytes > broadcast_bytes else F.broadcast
+    held = ordered.select("host", F.explode(F.array_distinct("lines")).alias("line")).join(few(asked), ["host", "line"], "left_semi").groupBy("host", "line").agg(F.count(F.lit(1)).alias("held"))
     sizes = ordered.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     frame = (F.col("held") >= FRAME) & (2 * F.col("held") >= F.col("pages"))
     template = F.when(F.col("marked"), frame).otherwise((F.col("held") >= THIRD) | (F.col("pages") == 2))
-    found = near.join(held, ["host", "line"]).join(sizes, "host").where(template)
+    judged = held.join(sizes, "host")
+    found = near.join(few(judged), ["host", "line"]).where(template)
     found = materialize(found.groupBy("host", "h").agg(F.array_sort(F.collect_list("i")).alias("shared")))
-    release(ordered, near)
+    release(ordered, near, asked)
     return found
 
 
@@ -376,7 +380,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     url, page = F.col(f"`{url_col}`").cast("string"), F.col(f"`{html_col}`").cast("string")
     src = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"), page.alias("page"))
     parsed = materialize(src.mapInArrow(_parse, "page_id long, url string, host string, path string, texts array<string>, lines array<long>, h long, marked boolean"))
-    gone = template_lines(parsed)
+    gone = template_lines(parsed, broadcast_bytes)
     n_bytes = gone.agg(F.sum(F.size("shared") * 4 + F.octet_length("host") + 24).alias("n")).first()["n"] or 0
     out = parsed.drop("lines", "path", "marked").join(gone if n_bytes > broadcast_bytes else F.broadcast(gone), ["host", "h"], "left")
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("texts") - 1), F.col("shared")), lambda i: F.get("texts", i))
