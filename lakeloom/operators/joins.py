@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranges
 
-def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, values: list[str], tolerance: Column | None = None) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, values: list[str], tolerance: Column | None = None, spread: bool = False) -> DataFrame:
     """Give each left row the values of the latest right row of its keys, not after it.
 
     Both sides are united and carried forward in one window over the keys, so
@@ -15,14 +16,23 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str
     one with the greatest values wins. Left rows without a match keep nulls,
     as do those whose match is older than `tolerance` (an interval). Keys and
     times that are null never match.
+
+    The window holds a key's rows in one task. With `spread` they are dealt by
+    ranges of key and time, and the last value of each range is carried to the
+    next: for keys that hold a large part of all rows.
     """
     row = [F.col(c).alias(c) for c in left.columns]
     value = F.struct(F.col(right_time).alias("_t"), *values)
     a = left.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(left_time).alias("_at"), F.lit(1).alias("_side"), F.struct(*row).alias("_row"))
     b = right.where(F.col(right_time).isNotNull()).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(right_time).alias("_at"), F.lit(0).alias("_side"), value.alias("_value"))
     both = a.unionByName(b, allowMissingColumns=True)
-    order = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))]).orderBy(F.col("_at").asc_nulls_first(), "_side", F.col("_value").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("_value", F.last("_value", ignorenulls=True).over(order)).where("_side = 1")
+    by, along = [f"_k{i}" for i in range(len(keys))], ["_at", "_side", "_value"]
+    if spread:
+        found = ranges.last_values(both, by, along, "_value")
+    else:
+        order = Window.partitionBy(*by).orderBy(*[F.col(c).asc_nulls_first() for c in along]).rowsBetween(Window.unboundedPreceding, 0)
+        found = both.withColumn("_value", F.last("_value", ignorenulls=True).over(order))
+    found = found.where("_side = 1")
     known = F.col("_at").isNotNull()
     for i in range(len(keys)):
         known &= F.col(f"_k{i}").isNotNull()
@@ -65,9 +75,13 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], salts: int,
         raise ValueError("the side that is copied can't be the one that is kept")
     counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n").alias("t")).first()["t"] or 0
-    hot = F.broadcast(counts.where(F.col("_n") > share * total).select(*keys, F.lit(True).alias("_hot")))
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    hot = F.broadcast(counts.where((F.col("_n") > share * total) & known).select(*keys, F.lit(True).alias("_hot")))
     pick = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
-    spread = left.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot"), pick).otherwise(0)).drop("_hot")
+    # Null keys match nothing: they may go anywhere.
+    spread = left.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot") | ~known, pick).otherwise(0)).drop("_hot")
     copies = right.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col("_hot"), salts - 1).otherwise(0)))).drop("_hot")
     return spread.join(copies, [*keys, "_salt"], how).drop("_salt")
 

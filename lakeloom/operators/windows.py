@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranges
 
 def qualify(df: DataFrame, condition: Column) -> DataFrame:
     """Rows for which a condition over window functions holds (QUALIFY)."""
@@ -47,24 +48,32 @@ def sum_excluding_peers(value: str, keys: list[str], order: str, keep_row: bool
     return F.when(rest > 0, total + own if keep_row else total)
 
 
-def percentile(df: DataFrame, keys: list[str], value: str, p: float, name: str, buckets: int = 4096) -> DataFrame:
-    """Exact interpolated percentile of each group without holding a group's values in one task.
+def _value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """One row for each distinct value of a group: `_v`, rows up to it (`_upto`) and of the group (`_n`), and its own (`_c`)."""
+    counts = df.select(*keys, F.col(value).alias("_v")).where("_v is not null").groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    return ranges.running_sums(counts, keys, ["_v"], {"_upto": F.col("_c")}, {"_upto": "_n"})
 
-    A histogram of `buckets` equal ranges between a group's least and greatest
-    value finds the ranges that hold the two ranks in question; only the
-    distinct values of these are ordered. Nulls are left out.
+
+def percentile(df: DataFrame, keys: list[str], value: str, p: float | dict[str, float], name: str = "percentile") -> DataFrame:
+    """Exact interpolated percentiles of each group without holding a group's values in one task.
+
+    Counts of distinct values are summed along ranges of (keys, value), so
+    neither a hot group nor an outlier fills a task. `p` is one share, or
+    several by column name. Null values are left out, and so are groups without
+    others; a null key is a group.
     """
-    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v is not null")
-    span = rows.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n")).withColumn("_at", F.lit(p) * (F.col("_n") - 1))
-    wide = F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-300))
-    rows = rows.join(span, keys).withColumn("_b", F.least(F.floor((F.col("_v") - F.col("_lo")) / wide * buckets), F.lit(buckets - 1)))
-    before = lambda w, c: F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col(c)
-    counts = rows.groupBy(*keys, "_b", "_at").agg(F.count(F.lit(1)).alias("_c"))
-    counts = counts.withColumn("_before", before(Window.partitionBy(*keys).orderBy("_b"), "_c"))
-    near = counts.where((F.col("_before") <= F.ceil("_at")) & (F.col("_before") + F.col("_c") > F.floor("_at"))).select(*keys, "_b", "_before")
-    values = rows.join(near, [*keys, "_b"]).groupBy(*keys, "_b", "_before", "_v", "_at").agg(F.count(F.lit(1)).alias("_c"))
-    values = values.withColumn("_from", F.col("_before") + before(Window.partitionBy(*keys, "_b").orderBy("_v"), "_c"))
-    holds = lambda rank: F.max(F.when((F.col("_from") <= rank) & (F.col("_from") + F.col("_c") > rank), F.col("_v")))
-    ends = values.groupBy(*keys, "_at").agg(holds(F.floor("_at")).alias("_a"), holds(F.ceil("_at")).alias("_z"))
-    part = F.col("_at") - F.floor("_at")
-    return ends.select(*keys, F.when(part == 0, F.col("_a")).otherwise(F.col("_a") + part * (F.col("_z") - F.col("_a"))).alias(name))
+    shares = p if isinstance(p, dict) else {name: p}
+    counts = _value_counts(df.withColumn(value, F.col(value).cast("double")), keys, value)
+    holds = lambda rank: F.max(F.when((F.col("_upto") - F.col("_c") <= rank) & (F.col("_upto") > rank), F.col("_v")))
+    at = {c: F.lit(float(x)) * (F.col("_n") - 1) for c, x in shares.items()}
+    ends = counts.groupBy(*keys).agg(F.max("_n").alias("_n"), *[f(holds(g(x)), c) for c, x in at.items() for f, g in ((lambda h, c: h.alias(f"_a_{c}"), F.floor), (lambda h, c: h.alias(f"_z_{c}"), F.ceil))])
+    part = {c: x - F.floor(x) for c, x in at.items()}
+    between = lambda c: F.when(part[c] == 0, F.col(f"_a_{c}")).otherwise(F.col(f"_a_{c}") + part[c] * (F.col(f"_z_{c}") - F.col(f"_a_{c}")))
+    return ends.select(*keys, *[between(c).alias(c) for c in shares])
+
+
+def discrete_percentile(df: DataFrame, keys: list[str], value: str, p: float | dict[str, float], name: str = "percentile") -> DataFrame:
+    """The least value that a share of a group's rows doesn't exceed (PERCENTILE_DISC); spread and nulls as in `percentile`."""
+    shares = p if isinstance(p, dict) else {name: p}
+    counts = _value_counts(df, keys, value)
+    return counts.groupBy(*keys).agg(*[F.min(F.when(F.col("_upto") >= F.greatest(F.ceil(F.lit(float(x)) * F.col("_n")), F.lit(1)), F.col("_v"))).alias(c) for c, x in shares.items()])

@@ -1,5 +1,6 @@
 """Registered queries."""
 
+from . import measured as measured
 from . import registry as registry
 from . import relational as relational
 from . import streams as streams

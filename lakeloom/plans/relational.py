@@ -61,8 +61,11 @@ def distinct_rows(spark: SparkSession, sf: str) -> DataFrame:
 )
 def revenue_by_nation(spark: SparkSession, sf: str) -> DataFrame:
     t = lambda x: read_table(spark, sf, x)
-    j = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
-    j = j.join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region").where("r_name = 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey"))
+    # From the small side: lineitem meets only the orders of the region.
+    j = t("nation").join(t("region").where("r_name = 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name")
+    j = t("customer").join(j, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
+    j = t("orders").join(j, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "n_name")
+    j = t("lineitem").join(j, F.col("l_orderkey") == F.col("o_orderkey"))
     return j.groupBy("n_name").agg(total(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"), n())
 
 

@@ -127,14 +127,14 @@ def exclude_peers(spark: SparkSession, sf: str) -> DataFrame:
     return o.select("o_orderkey", without(False).alias("others"), without(True).alias("untied"))
 
 
-@register("approximations", "SELECT event_type, TRUE AS distinct_close, TRUE AS median_close, TRUE AS sketch_close FROM events GROUP BY event_type")
+@register("approximations", "SELECT event_type, count(DISTINCT user_id) AS users, median(value) AS middle, TRUE AS users_close, TRUE AS middle_close FROM events GROUP BY event_type")
 def approximations(spark: SparkSession, sf: str) -> DataFrame:
-    """Whether approximate aggregates lie near the exact ones: users within 15 %, the median within 2 % of the ranks."""
+    """Exact users and median of each type, and whether the approximate ones lie near: users within 15 %, the median within 2 % of the ranks."""
     e = read_table(spark, sf, "events")
-    middle = windows.percentile(e, ["event_type"], "value", 0.48, "lo").join(windows.percentile(e, ["event_type"], "value", 0.52, "hi"), "event_type")
-    near = e.groupBy("event_type").agg(F.approx_count_distinct("user_id").alias("a"), F.count_distinct("user_id").alias("x"), F.percentile_approx("value", 0.5, 10000).alias("m"), F.hll_sketch_estimate(F.hll_sketch_agg("user_id")).alias("h"))
-    close = lambda c: F.abs(F.col(c) - F.col("x")) <= 0.15 * F.col("x")
-    return near.join(middle, "event_type").select("event_type", close("a").alias("distinct_close"), F.col("m").between(F.col("lo"), F.col("hi")).alias("median_close"), close("h").alias("sketch_close"))
+    exact = windows.percentile(e, ["event_type"], "value", {"lo": 0.48, "middle": 0.5, "hi": 0.52})
+    near = e.groupBy("event_type").agg(F.approx_count_distinct("user_id").alias("a"), F.count_distinct("user_id").alias("users"), F.percentile_approx("value", 0.5, 10000).alias("m"), F.hll_sketch_estimate(F.hll_sketch_agg("user_id")).alias("h"))
+    close = lambda c: F.abs(F.col(c) - F.col("users")) <= 0.15 * F.col("users")
+    return near.join(exact, "event_type").select("event_type", "users", "middle", (close("a") & close("h")).alias("users_close"), F.col("m").between(F.col("lo"), F.col("hi")).alias("middle_close"))
 
 
 @register("distinct_sums", "SELECT p_type, sum(DISTINCT p_size)::BIGINT AS s, count(DISTINCT p_size) AS c FROM part GROUP BY p_type")
@@ -177,12 +177,8 @@ def variant_fields(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("discrete_percentiles", "SELECT l_returnflag, quantile_disc(l_quantity, 0.5) AS middle, quantile_disc(l_quantity, 0.9) AS high FROM lineitem GROUP BY l_returnflag")
 def discrete_percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    """The least value that a share of the rows doesn't exceed, from counts of values: no group is held in one task."""
-    counts = read_table(spark, sf, "lineitem").where("l_quantity is not null").groupBy("l_returnflag", "l_quantity").agg(n())
-    w = Window.partitionBy("l_returnflag")
-    reached = counts.select("l_returnflag", "l_quantity", F.sum("n").over(w.orderBy("l_quantity")).alias("upto"), F.sum("n").over(w).alias("all"))
-    least = lambda p: F.min(F.when(F.col("upto") >= F.ceil(F.lit(p) * F.col("all")), F.col("l_quantity")))
-    return reached.groupBy("l_returnflag").agg(least(0.5).alias("middle"), least(0.9).alias("high"))
+    """The least value that a share of the rows doesn't exceed: no group is held in one task."""
+    return windows.discrete_percentile(read_table(spark, sf, "lineitem"), ["l_returnflag"], "l_quantity", {"middle": 0.5, "high": 0.9})
 
 
 @register("frequent_items", "SELECT event_type AS item, count(*) AS n FROM events GROUP BY event_type")
@@ -192,14 +188,13 @@ def frequent_items(spark: SparkSession, sf: str) -> DataFrame:
     return top.select(F.inline("top")).select("item", long(F.col("count"), "n"))
 
 
-@register("sketches", "SELECT event_type, TRUE AS users_close, TRUE AS both_close, TRUE AS median_close FROM events GROUP BY event_type")
+@register("sketches", "SELECT event_type, count(DISTINCT user_id) AS users, count(DISTINCT user_id) AS shared, median(value) AS middle, TRUE AS middle_close FROM events GROUP BY event_type")
 def sketches(spark: SparkSession, sf: str) -> DataFrame:
-    """Whether theta sketches give the users of a type, and those it shares with all, within 15 %, and a KLL sketch the median within 4 % of the ranks."""
+    """Users of a type, and those it shares with all, by theta sketches (exact below 2^14); whether a KLL sketch gives the median within 4 % of the ranks."""
     e = read_table(spark, sf, "events")
-    middle = windows.percentile(e, ["event_type"], "value", 0.46, "lo").join(windows.percentile(e, ["event_type"], "value", 0.54, "hi"), "event_type")
-    kept = e.groupBy("event_type").agg(F.expr("theta_sketch_agg(user_id)").alias("t"), F.count_distinct("user_id").alias("x"), F.expr("kll_sketch_agg_double(value)").alias("k"))
-    every = e.agg(F.expr("theta_sketch_agg(user_id)").alias("every")).first()["every"]
-    kept = kept.withColumn("both", F.call_function("theta_intersection", F.col("t"), F.lit(every)))
-    close = lambda c: F.abs(F.call_function("theta_sketch_estimate", F.col(c)) - F.col("x")) <= 0.15 * F.col("x")
+    exact = windows.percentile(e, ["event_type"], "value", {"lo": 0.46, "middle": 0.5, "hi": 0.54})
+    kept = e.groupBy("event_type").agg(F.theta_sketch_agg("user_id", 14).alias("t"), F.expr("kll_sketch_agg_double(value)").alias("k"))
+    every = e.agg(F.theta_sketch_agg("user_id", 14).alias("every")).first()["every"]
+    estimate = lambda c: F.round(F.theta_sketch_estimate(c)).cast("long")
     median = F.call_function("kll_sketch_get_quantile_double", F.col("k"), F.lit(0.5))
-    return kept.join(middle, "event_type").select("event_type", close("t").alias("users_close"), close("both").alias("both_close"), median.between(F.col("lo"), F.col("hi")).alias("median_close"))
+    return kept.join(exact, "event_type").select("event_type", estimate("t").alias("users"), estimate(F.theta_intersection("t", F.lit(every))).alias("shared"), "middle", median.between(F.col("lo"), F.col("hi")).alias("middle_close"))

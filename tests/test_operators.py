@@ -80,9 +80,8 @@ def test_percentile(spark):
     df = spark.createDataFrame([(k, None if v is None else float(v)) for k, v in rows], "k string, v double")
     for p in (0.0, 0.37, 0.5, 0.99, 1.0):
         want = {r.k: r.x for r in df.groupBy("k").agg(F.percentile("v", p).alias("x")).collect() if r.x is not None}
-        for buckets in (1, 7, 4096):
-            got = {r.k: r.x for r in windows.percentile(df, ["k"], "v", p, "x", buckets).collect()}
-            assert got.keys() == want.keys() and all(abs(got[k] - want[k]) <= 1e-9 * max(1, abs(want[k])) for k in want)
+        got = {r.k: r.x for r in windows.percentile(df, ["k"], "v", p, "x").collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) <= 1e-9 * max(1, abs(want[k])) for k in want)
 
 
 def test_excluded_peers(spark):
