@@ -33,8 +33,10 @@ SHINGLE = 5
 #: Least similarity, as a ratio of whole numbers.
 SHARE = (4, 5)
 BANDS, ROWS = 24, 4
-BLOCK, BLOCK_WORDS = 4096, 1_000_000
+BLOCK, BLOCK_WORDS = 1024, 1_000_000
 WORDS_PER_TASK = 500_000
+#: Entries of the inverted index that are counted at once.
+STEP = 1 << 20
 #: Odd multipliers, one for each minimum.
 FACTORS = np.random.default_rng(SEED).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -79,16 +81,18 @@ def classes(sets: list[np.ndarray], side: np.ndarray | None = None) -> np.ndarra
     for i in range(len(sets)):
         if side is not None and side[i]:
             continue
+        # Sets of the same class need no comparison: a group of near copies is settled by its first.
+        others = root != root[i] if side is None else side & (root != root[i])
         c = code[offset[i] : offset[i] + sizes[i]]
         c = c[many[c] > 1]
-        if not len(c):
+        if not len(c) or not others.any():
             continue
-        n = many[c]
-        at = np.arange(n.sum()) + np.repeat(begin[c] - (np.cumsum(n) - n), n)
-        both = np.bincount(holders[at], minlength=len(sets))
-        hit = SHARE[1] * both >= SHARE[0] * (sizes + sizes[i] - both)
-        if side is not None:
-            hit &= side
+        ends, both = np.cumsum(many[c]), np.zeros(len(sets), np.int64)
+        for part in np.split(c, np.searchsorted(ends, np.arange(STEP, ends[-1], STEP))):
+            n = many[part]
+            at = np.arange(n.sum()) + np.repeat(begin[part] - (np.cumsum(n) - n), n)
+            both += np.bincount(holders[at], minlength=len(sets))
+        hit = others & (SHARE[1] * both >= SHARE[0] * (sizes + sizes[i] - both))
         for r in np.unique(root[hit]):
             if r != root[i]:
                 root[root == r] = root[i]
