@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +19,24 @@ from .registry import register
 def _events(spark: SparkSession, sf: str) -> DataFrame:
     # A pattern, since the file source takes a folder or a pattern but no single file.
     path = f"{sf}/events*.parquet"
-    # Files of one table may overlap in time to any extent: a delay beyond the table's span leaves no row late.
-    ts = F.unix_seconds(F.col("ts").cast("timestamp"))
-    span = spark.read.schema(events.SCHEMA).parquet(path).agg((F.max(ts) - F.min(ts)).alias("s")).first()["s"] or 0
-    return events.read_events(spark, path, delay=f"{span + 3600} seconds")
+    # Files of one table may overlap in time: the delay is what they do.
+    return events.read_events(spark, path, delay=_delay(spark, path))
+
+
+def _delay(spark: SparkSession, path: str) -> str:
+    return f"{math.ceil(events.disorder(spark, path)) + 1} seconds"
+
+
+@contextmanager
+def _rocksdb(spark: SparkSession) -> Iterator[None]:
+    """The state store that keyed state needs, for a query's start."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 def _complete(stream: DataFrame) -> DataFrame:
@@ -78,10 +96,14 @@ def _in_order(spark: SparkSession, sf: str) -> DataFrame:
     week = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / (7 * 86400)).alias("week")
     for r in table.select(week).distinct().orderBy("week").collect():
         table.where(week == r["week"]).coalesce(1).write.mode("append").parquet(path)
-    spark.sql(f"SELECT -1L AS event_id, timestamp_ntz'{CLOSING}' AS ts, -1L AS user_id, 'end' AS event_type, 0D AS value, '' AS props").write.mode("append").parquet(path)
+    _close(spark, path)
     return events.read_events(spark, path)
 
 
+def _close(spark: SparkSession, path: str) -> None:
+    spark.sql(f"SELECT -1L AS event_id, timestamp_ntz'{CLOSING}' AS ts, -1L AS user_id, 'end' AS event_type, 0D AS value, '' AS props").write.mode("append").parquet(path)
+
+
 @register("stream_tumbling_append", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_tumbling_append(spark: SparkSession, sf: str) -> DataFrame:
     """Append mode: a window comes out once, when the watermark has passed it."""
@@ -99,13 +121,28 @@ def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
 @register("stream_running_counts", "SELECT user_id, count(*) AS n FROM events GROUP BY user_id")
 def stream_running_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Keyed state: the last count of each user over all batches."""
-    key, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     path = new_path(spark)
     keep = lambda df, _: df.write.mode("append").parquet(path)
-    try:
+    with _rocksdb(spark):
         stream = events.running_totals(_in_order(spark, sf))
         stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", new_path(spark)).trigger(availableNow=True).start().awaitTermination()
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
     return spark.read.parquet(path).where("user_id >= 0").groupBy("user_id").agg(F.max("n").alias("n"))
+
+
+@register("stream_sliding_append", "SELECT w AS start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS w FROM events) GROUP BY w")
+def stream_sliding_append(spark: SparkSession, sf: str) -> DataFrame:
+    """Overlapping windows in append mode: each comes out once."""
+    return _plain(_append(events.sliding(_in_order(spark, sf)))).where(f"start < timestamp_ntz'{CLOSING}' - interval 1 day")
+
+
+@register("stream_lags", "SELECT event_id, event_type, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 1 DAY THEN lag(event_type) OVER w END AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+def stream_lags(spark: SparkSession, sf: str) -> DataFrame:
+    """Each event with the user's event before it within a day, from three files that all span the whole time."""
+    table, path = read_table(spark, sf, "events"), new_path(spark)
+    for k in range(3):
+        table.where(F.col("event_id") % 3 == k).write.mode("append").parquet(path)
+    delay = _delay(spark, path)
+    _close(spark, path)
+    with _rocksdb(spark):
+        found = _append(events.lags(events.read_events(spark, path, delay=delay), 86400))
+    return found.where("user_id >= 0").select("event_id", "event_type", "before")

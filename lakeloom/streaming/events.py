@@ -23,6 +23,24 @@ def read_events(spark: SparkSession, path: str, files_per_trigger: int = 1, dela
     return raw.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
 
 
+def disorder(spark: SparkSession, path: str) -> float:
+    """Seconds by which rows of a file may be older than the newest row of files that a stream reads before it.
+
+    Files are read by modification time; those of equal times in any order. A
+    watermark with this delay leaves no row late, and lets state go as soon as
+    the files allow: for files in the order of time it is 0, however long the
+    table's span. One row for each file comes to the driver, which lists the
+    files of a stream anyway.
+    """
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    files = spark.read.schema(SCHEMA).parquet(path).select(at.alias("t"), F.col("_metadata.file_path").alias("f"), F.unix_micros("_metadata.file_modification_time").alias("m"))
+    found = sorted(tuple(r) for r in files.groupBy("f", "m").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).select("m", "lo", "hi").collect() if r["lo"] is not None)
+    most = 0
+    for i, (m, lo, _) in enumerate(found):
+        most = max([most, *(hi - lo for j, (m2, _, hi) in enumerate(found) if m2 <= m and j != i)])
+    return most / 1e6
+
+
 def tumbling(events: DataFrame, size: str = "1 day") -> DataFrame:
     """Count and sum by event type and window of fixed size."""
     out = events.groupBy(F.window("ts", size), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
@@ -74,6 +92,72 @@ def running_totals(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").transformWithStateInPandas(statefulProcessor=RunningTotal(), outputStructType="user_id long, n long, total double", outputMode="Update", timeMode="None")
 
 
+class Lags(StatefulProcessor):
+    """Each event with the type of the user's event before it, in the order of time, though rows arrive in any order.
+
+    Rows wait in a list until the watermark has passed them: no older row can
+    come after that. A timer stands at the oldest waiting row. The last event
+    is forgotten once the watermark is `within` seconds past it.
+    """
+
+    def __init__(self, within: float):
+        self.within = int(within * 1e6)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        field = lambda n, t: T.StructField(n, t)
+        row = [field("at", T.LongType()), field("event_id", T.LongType()), field("event_type", T.StringType())]
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", T.StructType(row))
+        self.last = handle.getValueState("last", T.StructType([row[0], row[2]]))
+
+    def _passed(self, key, watermark: int) -> pd.DataFrame:
+        """Rows up to the watermark, in order; sets the next timer."""
+        rows = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
+        ready = [r for r in rows if -(-r[0] // 1000) <= watermark]
+        rest = rows[len(ready) :]
+        at, kind = self.last.get() if self.last.exists() else (None, None)
+        out = []
+        for t, event_id, event_type in ready:
+            out.append((key[0], event_id, event_type, kind if at is not None and t - at <= self.within else None))
+            at, kind = t, event_type
+        if ready:
+            self.last.update((at, kind))
+            if rest:
+                self.waiting.put(rest)
+            else:
+                self.waiting.clear()
+        if rest:
+            self.handle.registerTimer(-(-rest[0][0] // 1000))
+        elif at is not None:
+            if at + self.within < watermark * 1000:
+                self.last.clear()
+            else:
+                self.handle.registerTimer((at + self.within) // 1000 + 1)
+        return pd.DataFrame(out, columns=["user_id", "event_id", "event_type", "before"])
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            self.waiting.appendList(list(zip(pdf["at"].tolist(), pdf["event_id"].tolist(), pdf["event_type"].tolist(), strict=True)))
+        yield self._passed(key, timer_values.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N803
+        yield self._passed(key, timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
+
+
+def lags(events: DataFrame, within: float) -> DataFrame:
+    """user_id, event_id, event_type, before: the type of the user's event before, if it is at most `within` seconds older, else null.
+
+    What `lag` over a window by user gives for a finished table; on a stream
+    Spark has no such window. Needs the RocksDB state store. An event comes out
+    once the watermark has passed it.
+    """
+    rows = events.select("user_id", "ts", F.unix_micros("ts").alias("at"), "event_id", "event_type")
+    return rows.groupBy("user_id").transformWithStateInPandas(statefulProcessor=Lags(within), outputStructType="user_id long, event_id long, event_type string, before string", outputMode="Append", timeMode="EventTime")
+
+
 def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Process everything that is there and stop, into Parquet files."""
     q = stream.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -86,3 +86,40 @@ def test_files_that_overlap_in_time_lose_no_rows(spark, tmp_path):
     assert sorted(r.event_id for r in got) == list(range(120))
     pairs = sorted((a[0], b[0]) for a in rows for b in rows if a[2] == b[2] and a[3] == "click" and b[3] == "purchase" and dt.timedelta() <= b[1] - a[1] <= dt.timedelta(hours=1))
     assert pairs and sorted((r.first_id, r.then_id) for r in streams.stream_follow_up(spark, str(tmp_path)).collect()) == pairs
+
+
+def test_disorder_is_what_files_overlap_by(spark, tmp_path):
+    def put(name, hours, at):
+        rows = [(h, T0 + dt.timedelta(hours=h), 1, "click", 1.0, "{}") for h in hours]
+        spark.createDataFrame(rows, ev.SCHEMA).coalesce(1).write.parquet(str(tmp_path / name))
+        for f in (tmp_path / name).glob("*.parquet"):
+            os.utime(f, (1_700_000_000 + at,) * 2)
+
+    put("a", [0, 10], 0)
+    assert ev.disorder(spark, str(tmp_path / "*")) == 0
+    put("b", [7, 30], 1)
+    assert ev.disorder(spark, str(tmp_path / "*")) == 3 * 3600
+    put("c", [30, 40], 2)
+    assert ev.disorder(spark, str(tmp_path / "*")) == 3 * 3600
+    put("d", [25, 50], 2)  # read before or after c
+    assert ev.disorder(spark, str(tmp_path / "*")) == 20 * 3600
+
+
+def test_lags_over_files_in_any_order(spark, tmp_path):
+    """Rows of one user in all files, ties in time, pauses beyond the limit; equal to lag over the table."""
+    rng = random.Random(8)
+    rows = [(i, T0 + dt.timedelta(minutes=rng.randrange(4000)), i % 4, rng.choice("abc"), 1.0, "{}") for i in range(300)] + [(500, T0 + dt.timedelta(minutes=9000), 1, "z", 1.0, "{}")]
+    path = str(tmp_path / "in")
+    for k in range(4):
+        spark.createDataFrame(rows[k::4], ev.SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    delay = streams._delay(spark, path)
+    streams._close(spark, path)
+    with streams._rocksdb(spark):
+        got = collect(spark, ev.lags(ev.read_events(spark, path, delay=delay), 3 * 3600), tmp_path).where("user_id >= 0")
+    want = {}
+    for u in range(4):
+        mine = sorted((t, i, kind) for i, t, v, kind, *_ in rows if v == u)
+        for before, (t, i, kind) in zip([None, *mine], mine, strict=False):
+            want[i] = (kind, before[2] if before and t - before[0] <= dt.timedelta(hours=3) else None)
+    assert {r.event_id: (r.event_type, r.before) for r in got.collect()} == want
+    assert {v[1] for v in want.values()} == {"a", "b", "c", None}
