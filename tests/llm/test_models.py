@@ -69,9 +69,9 @@ def plain_em(bins, order):
 
     rows = [(k[0], [1.0, *(0.0 if q <= -9999 else 2 ** (q / 4) for q in k[1:])], n) for k, n in bins.items()]
     overall = run([r[1:] for r in rows], [1 / (order + 1)] * (order + 1), 0)
-    new = [*overall[:-1], 0.0]
-    new = [x / sum(new) for x in new]
-    return {b: run([r[1:] for r in rows if r[0] == b], new if b == 0 and order > 1 else overall, 20.0) for b in range(48)}
+    part = lambda w: [x / sum(w) for x in w]
+    new, blind = part([*overall[:-1], 0.0]) if order > 1 else overall, part([*overall[:2], *[0.0] * (order - 1)])
+    return {b: run([r[1:] for r in rows if r[0] == b], new if b == 0 else blind if b == 48 else overall, 20.0) for b in range(49)}
 
 
 @pytest.mark.parametrize(("order", "fan"), [(2, 512), (3, 512), (3, 3), (2, 2)])
@@ -100,7 +100,7 @@ def test_score_is_a_mixture_of_count_ratios(spark, order, fan, monkeypatch):
         for j in range(order - 1, len(padded)):
             grams = [tuple(padded[j - k + 1 : j + 1]) for k in range(1, order + 1)]
             context = [n, *(starts if not any(g[:-1]) and None in g[:-1] and set(g[:-1]) == {None} else c[g[:-1]] for g in grams[1:])]
-            yield min(int(math.log2(context[-1] + 1)), 47), [c[g] / x if x else 0 for g, x in zip(grams, context, strict=True)], v
+            yield 48 if 0 in context[1:-1] else min(int(math.log2(context[-1] + 1)), 47), [c[g] / x if x else 0 for g, x in zip(grams, context, strict=True)], v
 
     fit = counts(lambda k: k > 1)
     q = lambda p, v: round(4 * math.log2(p * (v + 1))) if p else -9999
@@ -109,6 +109,14 @@ def test_score_is_a_mixture_of_count_ratios(spark, order, fan, monkeypatch):
     for i, t in toks.items():
         want = sum(math.log10(weights[b][0] / (v + 1) + sum(w * x for w, x in zip(weights[b][1:], p, strict=True))) for b, p, v in rows(t, full))
         assert math.isclose(got[i], want, rel_tol=1e-9), (i, got[i], want)
+    # After any context the vocabulary and the unknown word have a probability of 1 together.
+    vocabulary = [g[0] for g in full[0] if len(g) == 1]
+    for context in ([], ["w0"], ["never"], ["never", "w0"], ["w0", "never"], ["never", "ever"], toks[3][:1], toks[4][:2], ["w5", "w5"]):
+        total = 0.0
+        for w in [*vocabulary, "no such word"]:
+            *_, (b, p, v) = rows([*context, w], full)
+            total += weights[b][0] / (v + 1) + sum(x * y for x, y in zip(weights[b][1:], p, strict=True))
+        assert math.isclose(total, 1, rel_tol=1e-9), (context, total)
 
 
 def test_counting_tree_is_bounded():
