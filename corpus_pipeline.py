@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.llm import jaccard, lines, mixing, packing, quality
 from lakeloom.llm.common import materialize, release
+from lakeloom.sources.scratch import scope
 
 #: What names a document: its id (null: 0 and a mark) and the hash of its text.
 KEY = ["id", "unnamed", "hash"]
@@ -91,6 +92,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        before, docs = docs, materialize(stage(spark, docs, sf_dir))
+        before = docs
+        with scope() as tables:
+            docs = materialize(stage(spark, docs, sf_dir))
+            # All that the stage wrote on its way goes, its result stays.
+            tables[:] = [t for t in tables if t is not docs]
         release(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,7 +5,10 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,18 +54,60 @@ def release(*tables: DataFrame) -> None:
             _delete(t.sparkSession, where)
 
 
+class _Open(threading.local):
+    """Tables written within the scopes that a thread has open."""
+
+    def __init__(self):
+        self.scopes: list[list[DataFrame]] = []
+
+
+_open, _lock, _writers = _Open(), threading.Lock(), {}
+
+
+@contextmanager
+def scope() -> Iterator[list[DataFrame]]:
+    """Delete the tables that this thread writes inside, at the end; those taken out of the list stay."""
+    tables: list[DataFrame] = []
+    _open.scopes.append(tables)
+    try:
+        yield tables
+    finally:
+        _open.scopes.pop()
+        release(*tables)
+
+
+@contextmanager
+def _cleaning_up(spark: SparkSession) -> Iterator[None]:
+    """CLEAN_UP is on while any thread writes a table in this session; the last one puts back what was set."""
+    key = id(spark._jsparkSession)
+    with _lock:
+        n, before = _writers.get(key, (0, None))
+        before = before if n else spark.conf.get(CLEAN_UP, None)
+        _writers[key] = n + 1, before
+        spark.conf.set(CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            n, before = _writers.pop(key)
+            if n > 1:
+                _writers[key] = n - 1, before
+            elif before is None:
+                spark.conf.unset(CLEAN_UP)
+            else:
+                spark.conf.set(CLEAN_UP, before)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write `df` once to the shared folder and read it back: cuts lineage, survives lost executors.
 
     The shuffle files behind it are deleted with the write's end: what follows reads the table.
     """
     spark, path = df.sparkSession, new_path(df.sparkSession)
-    before = spark.conf.get(CLEAN_UP, None)
-    spark.conf.set(CLEAN_UP, "true")
-    try:
+    with _cleaning_up(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
     table = spark.read.schema(df.schema).parquet(path)
     table.scratch_path = path
+    if _open.scopes:
+        _open.scopes[-1].append(table)
     return table

@@ -74,3 +74,33 @@ def test_no_local_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError, match=r"spark\.checkpoint\.dir"):
         scratch.shared_dir(Cluster)
+
+
+def test_scopes_delete_what_is_written_inside(spark):
+    import os
+
+    from lakeloom.sources import scratch
+
+    with scratch.scope() as tables:
+        a, b = (scratch.materialize(spark.range(n)) for n in (3, 5))
+        with scratch.scope():
+            c = scratch.materialize(a)
+        assert not os.path.exists(c.scratch_path) and a.count() == 3
+        tables[:] = [t for t in tables if t is not b]
+    assert not os.path.exists(a.scratch_path) and b.count() == 5
+    scratch.release(b)
+    assert not os.path.exists(b.scratch_path)
+
+
+def test_threads_share_the_setting(spark):
+    """Of several writers at once the last one puts the session's setting back."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from lakeloom.sources import scratch
+
+    for before in (None, "false"):
+        spark.conf.unset(scratch.CLEAN_UP) if before is None else spark.conf.set(scratch.CLEAN_UP, before)
+        with ThreadPoolExecutor(4) as pool:
+            assert [t.count() for t in pool.map(lambda n: scratch.materialize(spark.range(n)), range(8))] == list(range(8))
+        assert spark.conf.get(scratch.CLEAN_UP, None) == before
+    spark.conf.unset(scratch.CLEAN_UP)
