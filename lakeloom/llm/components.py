@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 MAX_ROUNDS = 60
 
@@ -17,7 +17,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     smallest one of its component; minima are combined before the shuffle, and
     joins on a hub node are plain equi-joins that adaptive execution can split.
     The edges of a round are written to the shared folder, so a lost executor
-    costs at most one round. Loops are ignored; no edges give no rows.
+    costs at most one round; those of the round before are deleted. Loops are ignored; no edges give no rows.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     pairs = materialize(pairs)
@@ -30,7 +30,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        pairs = materialize(small.where("u <> v").distinct())
+        before, pairs = pairs, materialize(small.where("u <> v").distinct())
+        release(before)
         new = _mark(pairs)
         if new == mark:
             break
