@@ -28,7 +28,7 @@ from .common import materialize
 
 TOP = 10
 #: Documents of a group and of a block.
-GROUP, RANGE = 2048, 32
+GROUP, RANGE = 2048, 8
 #: Counts of terms after which a group ends early.
 POSTINGS = 1 << 20
 #: One in so many groups gives the first threshold.
