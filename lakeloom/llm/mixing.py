@@ -20,7 +20,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, words
+from .common import materialize, release, words
 
 MAX_REPEATS = 3
 #: Cost of the first, second and third use of a word.
@@ -166,7 +166,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source:
     order = Window.partitionBy("_p", "_r").orderBy("_o", "_id", "_h").rowsBetween(Window.unboundedPreceding, 0)
     one = one.withColumn("extra", F.col("before") + F.sum("size").over(order) <= F.col("rest"))
     rest = chosen.where(F.coalesce(~inside, F.lit(True))).withColumn("extra", F.coalesce(F.col("_r") < F.col("edge"), F.lit(True)) & (F.col("rest") > 0))
-    both = rest.unionByName(one)
+    # Read once for each filler and more: the windows behind it are sorted once.
+    both = materialize(rest.unionByName(one).drop("edge", "before"))
+    release(sized)
     # One more use of a few documents fills what the prefix leaves open: each time the largest
     # that fits the gap, at last the nearest in size.
     sums = both.groupBy("_p").agg(F.first("rest").alias("rest"), F.first("used").alias("used"), F.sum(F.when(F.col("extra"), F.col("size")).otherwise(0)).alias("got")).collect()
