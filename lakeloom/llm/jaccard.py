@@ -62,7 +62,8 @@ def band_keys(found: np.ndarray) -> list[int]:
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
-    for batch in batches:
+    # A few texts at a time: what a worker has once taken it seldom gives back.
+    for batch in (part.slice(i, 256) for part in batches for i in range(0, part.num_rows, 256)):
         found = [shingle_hashes(batch.column(2)[i].as_py(), SHINGLE) for i in range(batch.num_rows)]
         sets = [np.unique(h) for h in found]
         nodes = pa.array([xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) for s in sets], pa.int64())
