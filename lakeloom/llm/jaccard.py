@@ -34,7 +34,7 @@ SHINGLE = 5
 SHARE = (4, 5)
 BANDS, ROWS = 24, 4
 BLOCK, BLOCK_WORDS = 1024, 1_000_000
-WORDS_PER_TASK = 500_000
+WORDS_PER_TASK = 100_000
 #: Entries of the inverted index that are counted at once.
 STEP = 1 << 20
 #: Odd multipliers, one for each minimum.
