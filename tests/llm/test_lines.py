@@ -59,3 +59,13 @@ def test_edges(spark):
     assert out.count() == 5 and got == {1: line, 2: "own", 3: "", 4: line[1:]}
     assert lines.dedup_lines(docs.limit(0)).count() == 0
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_one_document_of_very_many_lines(spark):
+    """Twenty thousand lines, every other one a copy of the document before it; what is left is every second line."""
+    own = [f"line {i} of one document with more than ten words in each of them" for i in range(20_000)]
+    other = [f"copied line {i} that stands in both documents and has more than ten words" for i in range(10_000)]
+    mixed = [x for pair in zip(own[:10_000], other, strict=True) for x in pair]
+    docs = spark.createDataFrame([(1, "\n".join(other)), (2, "\n".join(mixed + own[10_000:]))], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in lines.dedup_lines(docs).collect()}
+    assert got[1] == "\n".join(other) and got[2] == "\n".join(own)

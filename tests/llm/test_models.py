@@ -285,3 +285,13 @@ def test_default_order_counts_trigrams(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     got = lm.score(docs).where("held_out").groupBy().avg("score").first()[0]
     assert got > lm.score(docs, order=2).where("held_out").groupBy().avg("score").first()[0] + 0.2
+
+
+def test_mix_of_very_long_texts(spark):
+    """Two million words in one text; it is used whole or not at all."""
+    rows = [(1, "word " * 2_000_000, "a"), (2, "w\n" * 1_500_000, "a"), *[(10 + i, "w " * 1000, "b") for i in range(50)]]
+    got = {r.doc_id: r for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert (got[1]["size"], got[2]["size"], got[1].source_size) == (2_000_000, 1_500_000, 3_500_000)
+    assert got[1].taken % 2_000_000 == 0 and got[2].taken % 1_500_000 == 0
+    # Source b is used up three times over; a takes the rest, as near as whole texts get.
+    assert sum(got[10 + i].taken for i in range(50)) == 150_000 and abs(got[1].taken + got[2].taken - got[1].target) <= 1_500_000
