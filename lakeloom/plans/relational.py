@@ -186,7 +186,10 @@ def percentiles(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("arg_extremes", "SELECT c_mktsegment, max_by(c_custkey, c_acctbal) AS richest, min_by(c_custkey, c_acctbal) AS poorest FROM customer GROUP BY c_mktsegment")
 def arg_extremes(spark: SparkSession, sf: str) -> DataFrame:
-    return read_table(spark, sf, "customer").groupBy("c_mktsegment").agg(F.max_by("c_custkey", "c_acctbal").alias("richest"), F.min_by("c_custkey", "c_acctbal").alias("poorest"))
+    """Customers of the greatest and the least balance; of those that tie the one of the smallest key. Null keys and balances are left out."""
+    rows = read_table(spark, sf, "customer").withColumn("known", F.expr("c_custkey IS NOT NULL AND c_acctbal IS NOT NULL"))
+    by = lambda tie: F.when(F.col("known"), F.struct("c_acctbal", tie))
+    return rows.groupBy("c_mktsegment").agg(F.max_by("c_custkey", by(-F.col("c_custkey"))).alias("richest"), F.min_by("c_custkey", by("c_custkey")).alias("poorest"))
 
 
 @register("ordered_lists", "SELECT user_id, string_agg(event_type, '>' ORDER BY ts) AS trail FROM events GROUP BY user_id")

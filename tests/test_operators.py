@@ -88,3 +88,12 @@ def test_excluded_peers(spark):
     df = spark.createDataFrame([("a", 1, 10.0), ("a", 1, 20.0), ("a", 2, None), ("b", 1, 1.0)], "k string, o long, v double")
     got = df.select("k", "o", "v", windows.sum_excluding_peers("v", ["k"], "o").alias("g"), windows.sum_excluding_peers("v", ["k"], "o", True).alias("t")).collect()
     assert sorted((r.k, r.o, r.v or 0, r.g, r.t) for r in got) == [("a", 1, 10.0, None, 10.0), ("a", 1, 20.0, None, 20.0), ("a", 2, 0, 30.0, 30.0), ("b", 1, 1.0, None, 1.0)]
+
+
+def test_ties_of_arg_extremes_go_to_the_smallest_key(spark, tmp_path):
+    from lakeloom.plans import registry
+
+    rows = [(7, 5.0, "a"), (3, 5.0, "a"), (9, 5.0, "a"), (8, -1.0, "a"), (2, -1.0, "a"), (4, -1.0, "a"), (1, None, "a"), (None, 9.0, "a"), (6, None, "b")]
+    spark.createDataFrame(rows, "c_custkey long, c_acctbal double, c_mktsegment string").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    got = registry.queries()["arg_extremes"](spark, str(tmp_path)).collect()
+    assert {r.c_mktsegment: (r.richest, r.poorest) for r in got} == {"a": (3, 2), "b": (None, None)}
