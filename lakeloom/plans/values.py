@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeloom.operators import joins, windows
+from lakeloom.operators import sketches as stored
 from lakeloom.sources.tables import read_table
 
 from .registry import register
@@ -190,11 +191,13 @@ def frequent_items(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("sketches", "SELECT event_type, count(DISTINCT user_id) AS users, count(DISTINCT user_id) AS shared, median(value) AS middle, TRUE AS middle_close FROM events GROUP BY event_type")
 def sketches(spark: SparkSession, sf: str) -> DataFrame:
-    """Users of a type, and those it shares with all, by theta sketches (exact below 2^14); whether a KLL sketch gives the median within 4 % of the ranks."""
+    """Users of a type, and those it shares with all, by theta sketches of parts of the users, so that none overflows; whether a KLL sketch gives the median within 4 % of the ranks."""
     e = read_table(spark, sf, "events")
     exact = windows.percentile(e, ["event_type"], "value", {"lo": 0.46, "middle": 0.5, "hi": 0.54})
-    kept = e.groupBy("event_type").agg(F.theta_sketch_agg("user_id", 14).alias("t"), F.expr("kll_sketch_agg_double(value)").alias("k"))
-    every = e.agg(F.theta_sketch_agg("user_id", 14).alias("every")).first()["every"]
-    estimate = lambda c: F.round(F.theta_sketch_estimate(c)).cast("long")
+    close = e.groupBy("event_type").agg(F.expr("kll_sketch_agg_double(value)").alias("k"))
+    kept = stored.distinct_states(e, ["event_type"], "user_id", 14)
+    every = kept.groupBy("part").agg(F.theta_union_agg("state", 14).alias("every"))
+    both = kept.join(every, "part").withColumn("both", F.theta_intersection("state", "every"))
+    users = both.groupBy("event_type").agg(stored.distinct_values(F.col("state")).alias("users"), stored.distinct_values(F.col("both")).alias("shared"))
     median = F.call_function("kll_sketch_get_quantile_double", F.col("k"), F.lit(0.5))
-    return kept.join(exact, "event_type").select("event_type", estimate("t").alias("users"), estimate(F.theta_intersection("t", F.lit(every))).alias("shared"), "middle", median.between(F.col("lo"), F.col("hi")).alias("middle_close"))
+    return users.join(close, "event_type").join(exact, "event_type").select("event_type", "users", "shared", "middle", median.between(F.col("lo"), F.col("hi")).alias("middle_close"))

@@ -158,3 +158,14 @@ def test_merged_sketches_are_exact_beyond_their_size(spark):
     assert got == {**dict.fromkeys(range(10), 300), 77: 0}
     assert sketches.merged_distinct(states, [], 6).first().estimate == 2910
     assert sketches.merged_distinct(sketches.distinct_states(df, ["day"], "v", 6, parts=1), [], 6).first().estimate != 2910
+
+
+def test_sketches_of_many_users(spark, tmp_path):
+    """More users than a sketch of the query holds."""
+    from lakeloom.plans import registry
+
+    rows = spark.range(120000).selectExpr("id AS event_id", "timestamp_ntz'2024-01-01' + make_dt_interval(cast(id % 3 as int)) AS ts", "id % 40000 AS user_id", "if(id % 4 = 0, 'a', 'b') AS event_type", "cast(id as double) AS value", "'' AS props")
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.event_type: (r.users, r.shared, r.middle_close) for r in registry.queries()["sketches"](spark, str(tmp_path)).collect()}
+    assert got == {"a": (10000, 10000, True), "b": (30000, 30000, True)}
+    assert sorted((r.estimate, r.exact) for r in registry.queries()["sketch_users"](spark, str(tmp_path)).collect()) == [(40000, 40000)] * 3
