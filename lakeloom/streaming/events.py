@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -70,92 +72,146 @@ def followed_by(first: DataFrame, then: DataFrame, within: str) -> DataFrame:
     return a.join(b, F.expr(f"user_id = user2 AND then_ts >= first_ts AND then_ts <= first_ts + interval {within}")).drop("user2")
 
 
+#: Groups of users that share a state, so that each call from Python to the store serves many users.
+BUCKETS = 512
+#: Rows of a stored chunk at most.
+CHUNK = 1 << 16
+_BYTES = T.StructType([T.StructField("rows", T.BinaryType())])
+
+
+def _bucketed(events: DataFrame, buckets: int, columns: list[Column]) -> GroupedData:
+    """Rows by bucket of their user; `user_id` is 0 where it is null, which `nobody` tells."""
+    user = [F.coalesce("user_id", F.lit(0)).alias("user_id"), F.col("user_id").isNull().alias("nobody")]
+    return events.select(F.pmod(F.hash("user_id"), F.lit(buckets)).alias("bucket"), *user, *columns).groupBy("bucket")
+
+
+def _pack(df: pd.DataFrame) -> tuple[bytes]:
+    sink = pa.BufferOutputStream()
+    table = pa.Table.from_pandas(df, preserve_index=False)
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return (sink.getvalue().to_pybytes(),)
+
+
+def _unpack(row: tuple) -> pd.DataFrame:
+    return pa.ipc.open_stream(bytes(row[0])).read_pandas()
+
+
+def _users(df: pd.DataFrame) -> pd.Series:
+    return df["user_id"].astype("Int64").mask(df["nobody"])
+
+
 class RunningTotal(StatefulProcessor):
     """Emits each user's count and sum so far, once for each batch that has events of the user."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("total", T.StructType([T.StructField("n", T.LongType()), T.StructField("total", T.DoubleType())]))
+        self.state = handle.getValueState("totals", _BYTES)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        n, total = self.state.get() if self.state.exists() else (0, 0.0)
-        for pdf in rows:
-            n, total = n + len(pdf), total + float(pdf["value"].sum())
-        self.state.update((n, total))
-        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [total]})
+        by, sums = ["nobody", "user_id"], {"n": "sum", "total": "sum"}
+        # One row for each user and chunk of the batch, so that no more is held than users.
+        parts = [pdf.assign(n=1, total=pdf["value"]).groupby(by, as_index=False).agg(sums) for pdf in rows]
+        fresh = pd.concat(parts).groupby(by, as_index=False).agg(sums)
+        if self.state.exists():
+            known = _unpack(self.state.get())
+            known = pd.concat([known, fresh]).groupby(by, as_index=False).agg(sums)
+        else:
+            known = fresh
+        self.state.update(_pack(known))
+        out = fresh[by].merge(known, on=by)
+        yield pd.DataFrame({"user_id": _users(out), "n": out["n"], "total": out["total"]})
 
     def close(self) -> None:
         pass
 
 
-def running_totals(events: DataFrame) -> DataFrame:
-    """Arbitrary keyed state; needs the RocksDB state store."""
-    return events.groupBy("user_id").transformWithStateInPandas(statefulProcessor=RunningTotal(), outputStructType="user_id long, n long, total double", outputMode="Update", timeMode="None")
+def running_totals(events: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """Arbitrary keyed state: user_id, n, total. Users are kept in `buckets` states, each written as a whole; needs the RocksDB state store."""
+    return _bucketed(events, buckets, [F.col("value")]).transformWithStateInPandas(statefulProcessor=RunningTotal(), outputStructType="user_id long, n long, total double", outputMode="Update", timeMode="None")
 
 
 class Lags(StatefulProcessor):
     """Each event with the type of the user's event before it, in the order of time, though rows arrive in any order.
 
-    Rows wait in a list until the watermark has passed them: no older row can
-    come after that. A timer stands at the oldest waiting row. The last event
-    is forgotten once the watermark is `within` seconds past it.
+    Rows of a bucket of users wait in a list of chunks until the watermark has
+    passed them: no older row can come after that. They are read only once it
+    has passed the oldest; a timer stands there. The last event of a user is
+    forgotten once the watermark is `within` seconds past it.
     """
 
     def __init__(self, within: float):
         self.within = int(within * 1e6)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        field = lambda n, t: T.StructField(n, t)
-        row = [field("at", T.LongType()), field("event_id", T.LongType()), field("event_type", T.StringType())]
         self.handle = handle
-        self.waiting = handle.getListState("waiting", T.StructType(row))
-        self.last = handle.getValueState("last", T.StructType([row[0], row[2]]))
+        self.waiting = handle.getListState("waiting", _BYTES)
+        self.last = handle.getValueState("last", _BYTES)
+        self.oldest = handle.getValueState("oldest", T.StructType([T.StructField("at", T.LongType())]))
 
-    def _passed(self, key, watermark: int) -> pd.DataFrame:
+    def _passed(self, watermark: int) -> Iterator[pd.DataFrame]:
         """Rows up to the watermark, in order; sets the next timer."""
-        rows = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
-        ready = [r for r in rows if -(-r[0] // 1000) <= watermark]
-        rest = rows[len(ready) :]
-        at, kind = self.last.get() if self.last.exists() else (None, None)
-        out = []
-        for t, event_id, event_type in ready:
-            out.append((key[0], event_id, event_type, kind if at is not None and t - at <= self.within else None))
-            at, kind = t, event_type
-        if ready:
-            self.last.update((at, kind))
-            if rest:
-                self.waiting.put(rest)
+        oldest = self.oldest.get()[0] if self.oldest.exists() else None
+        if oldest is not None and -(-oldest // 1000) > watermark:
+            self.handle.registerTimer(-(-oldest // 1000))
+            return
+        last = _unpack(self.last.get()) if self.last.exists() else None
+        if oldest is not None:
+            rows = pd.concat([_unpack(r) for r in self.waiting.get()], ignore_index=True)
+            ready = -(-rows["at"] // 1000) <= watermark
+            rest, rows = rows[~ready], rows[ready]
+            if len(rest):
+                self.waiting.put([_pack(rest.iloc[i : i + CHUNK]) for i in range(0, len(rest), CHUNK)])
+                oldest = int(rest["at"].min())
+                self.oldest.update((oldest,))
             else:
                 self.waiting.clear()
-        if rest:
-            self.handle.registerTimer(-(-rest[0][0] // 1000))
-        elif at is not None:
-            if at + self.within < watermark * 1000:
-                self.last.clear()
+                self.oldest.clear()
+                oldest = None
+            rows = rows.assign(new=True) if last is None else pd.concat([last.assign(new=False), rows.assign(new=True)], ignore_index=True)
+            rows = rows.sort_values(["nobody", "user_id", "new", "at", "event_id"], ignore_index=True)
+            user, nobody = rows["user_id"].to_numpy(), rows["nobody"].to_numpy()
+            same = np.r_[False, (user[1:] == user[:-1]) & (nobody[1:] == nobody[:-1])]
+            near = same & (rows["at"] - rows["at"].shift(fill_value=0) <= self.within)
+            out = pd.DataFrame({"user_id": _users(rows), "event_id": rows["event_id"], "event_type": rows["event_type"], "before": rows["event_type"].shift().where(near, None)})
+            last = rows.drop(columns="new")[~np.r_[same[1:], False]]
+            yield out[rows["new"]]
+        if last is not None:
+            last = last[last["at"] + self.within >= watermark * 1000]
+            if len(last):
+                self.last.update(_pack(last))
             else:
-                self.handle.registerTimer((at + self.within) // 1000 + 1)
-        return pd.DataFrame(out, columns=["user_id", "event_id", "event_type", "before"])
+                self.last.clear()
+        if oldest is not None:
+            self.handle.registerTimer(-(-oldest // 1000))
+        elif last is not None and len(last):
+            self.handle.registerTimer((int(last["at"].max()) + self.within) // 1000 + 1)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        oldest = self.oldest.get()[0] if self.oldest.exists() else None
         for pdf in rows:
-            self.waiting.appendList(list(zip(pdf["at"].tolist(), pdf["event_id"].tolist(), pdf["event_type"].tolist(), strict=True)))
-        yield self._passed(key, timer_values.getCurrentWatermarkInMs())
+            self.waiting.appendValue(_pack(pdf[["nobody", "user_id", "at", "event_id", "event_type"]]))
+            at = int(pdf["at"].min())
+            oldest = at if oldest is None else min(at, oldest)
+        self.oldest.update((oldest,))
+        yield from self._passed(timer_values.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N803
-        yield self._passed(key, timerValues.getCurrentWatermarkInMs())
+        yield from self._passed(timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
 
 
-def lags(events: DataFrame, within: float) -> DataFrame:
+def lags(events: DataFrame, within: float, buckets: int = BUCKETS) -> DataFrame:
     """user_id, event_id, event_type, before: the type of the user's event before, if it is at most `within` seconds older, else null.
 
     What `lag` over a window by user gives for a finished table; on a stream
     Spark has no such window. Needs the RocksDB state store. An event comes out
-    once the watermark has passed it.
+    once the watermark has passed it. Users are kept in `buckets` states: the
+    waiting rows of one are in memory at once when they come out.
     """
-    rows = events.select("user_id", "ts", F.unix_micros("ts").alias("at"), "event_id", "event_type")
-    return rows.groupBy("user_id").transformWithStateInPandas(statefulProcessor=Lags(within), outputStructType="user_id long, event_id long, event_type string, before string", outputMode="Append", timeMode="EventTime")
+    columns = [F.col("ts"), F.unix_micros("ts").alias("at"), F.col("event_id"), F.col("event_type")]
+    return _bucketed(events, buckets, columns).transformWithStateInPandas(statefulProcessor=Lags(within), outputStructType="user_id long, event_id long, event_type string, before string", outputMode="Append", timeMode="EventTime")
 
 
 def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:

@@ -123,3 +123,26 @@ def test_lags_over_files_in_any_order(spark, tmp_path):
             want[i] = (kind, before[2] if before and t - before[0] <= dt.timedelta(hours=3) else None)
     assert {r.event_id: (r.event_type, r.before) for r in got.collect()} == want
     assert {v[1] for v in want.values()} == {"a", "b", "c", None}
+
+
+def test_users_of_one_state(spark, tmp_path):
+    """All users, a null one too, in a single bucket: totals and lags are still those of each."""
+    rng = random.Random(9)
+    rows = [(i, T0 + dt.timedelta(minutes=rng.randrange(3000)), rng.choice([None, 0, 1, 2**60, 2**60 + 1]), rng.choice("abc"), float(i), "{}") for i in range(200)]
+    path = str(tmp_path / "in")
+    for k in range(2):
+        spark.createDataFrame(rows[k::2], ev.SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    delay = streams._delay(spark, path)
+    streams._close(spark, path)
+    with streams._rocksdb(spark):
+        got = collect(spark, ev.lags(ev.read_events(spark, path, delay=delay), 3600, buckets=1), tmp_path / "lags").where("event_id >= 0")
+        totals = []
+        keep = lambda df, _: totals.append([tuple(r) for r in df.where("user_id is null or user_id >= 0").collect()])
+        ev.running_totals(ev.read_events(spark, path), buckets=1).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    want = {}
+    for u in {r[2] for r in rows}:
+        mine = sorted((t, i, kind) for i, t, v, kind, *_ in rows if v == u)
+        for before, (t, i, _) in zip([None, *mine], mine, strict=False):
+            want[i] = (u, before[2] if before and t - before[0] <= dt.timedelta(hours=1) else None)
+    assert {r.event_id: (r.user_id, r.before) for r in got.collect()} == want
+    assert {u: (n, s) for batch in totals for u, n, s in batch} == {u: (sum(r[2] == u for r in rows), sum(r[4] for r in rows if r[2] == u)) for u in {r[2] for r in rows}}
