@@ -90,14 +90,30 @@ def stream_follow_up(spark: SparkSession, sf: str) -> DataFrame:
 CLOSING = "2100-01-01 00:00:00"
 
 
+#: Rows of a file of a week, about.
+FILE_ROWS = 1_000_000
+
+
 def _in_order(spark: SparkSession, sf: str) -> DataFrame:
-    """The events as files of a week each, oldest first, and a closing row in the last."""
-    table, path = read_table(spark, sf, "events"), new_path(spark)
+    """The events as a batch of files for each week, oldest first, and a closing row in the last.
+
+    The table is dealt out by weeks once, so that the work for a week is that
+    on its own rows, in as many tasks as it has files.
+    """
+    staged, path = new_path(spark), new_path(spark)
     week = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / (7 * 86400)).alias("week")
-    for r in table.select(week).distinct().orderBy("week").collect():
-        table.where(week == r["week"]).coalesce(1).write.mode("append").parquet(path)
+    table = read_table(spark, sf, "events").select("*", week).where("week IS NOT NULL")
+    sizes = {r["week"]: r["count"] for r in table.groupBy("week").count().collect()}
+    files = max(1, -(-max(sizes.values(), default=0) // FILE_ROWS))
+    dealt = table.repartition(files * max(1, len(sizes)), "week", F.pmod(F.xxhash64("event_id"), F.lit(files)))
+    dealt.write.partitionBy("week").parquet(staged)
+    for w in sorted(sizes):
+        rows = spark.read.schema(events.SCHEMA).parquet(f"{staged}/week={w}")
+        (rows.coalesce(1) if files == 1 else rows.repartition(files)).write.mode("append").parquet(path)
+    # Files of one week overlap; those of a week with fewer may share a batch with the next one's.
+    delay = "1 hour" if files == 1 else _delay(spark, path)
     _close(spark, path)
-    return events.read_events(spark, path)
+    return events.read_events(spark, path, files, delay)
 
 
 def _close(spark: SparkSession, path: str) -> None:

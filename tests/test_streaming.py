@@ -146,3 +146,21 @@ def test_users_of_one_state(spark, tmp_path):
             want[i] = (u, before[2] if before and t - before[0] <= dt.timedelta(hours=1) else None)
     assert {r.event_id: (r.user_id, r.before) for r in got.collect()} == want
     assert {u: (n, s) for batch in totals for u, n, s in batch} == {u: (sum(r[2] == u for r in rows), sum(r[4] for r in rows if r[2] == u)) for u in {r[2] for r in rows}}
+
+
+def test_batches_and_files_of_larger_tables(spark, tmp_path, monkeypatch):
+    """A week of many rows is several files of one batch, written by as many tasks; lags take three batches however many files there are."""
+    monkeypatch.setattr(streams, "FILE_ROWS", 60)
+    rows = [(i, T0 + dt.timedelta(minutes=100 * i), i % 7, "abc"[i % 3], 1.0, "{}") for i in range(300)]
+    spark.createDataFrame(rows, ev.SCHEMA).repartition(4).write.parquet(str(tmp_path / "events.parquet"))
+    asked = []
+    plain = ev.read_events
+    monkeypatch.setattr(ev, "read_events", lambda s, path, n=1, delay="1 hour": (asked.append((n, len(s.read.schema(ev.SCHEMA).parquet(path).inputFiles()))), plain(s, path, n, delay))[1])
+    counts = streams.stream_running_counts(spark, str(tmp_path)).collect()
+    days = streams.stream_tumbling_append(spark, str(tmp_path)).groupBy("event_type").agg(F.sum("n").alias("n")).collect()
+    assert {r.user_id: r.n for r in counts} == {u: sum(r[2] == u for r in rows) for u in range(7)} and {r.event_type: r.n for r in days} == dict.fromkeys("abc", 100)
+    assert asked[0][0] == 2 and asked[0][1] > 5
+    found = streams.stream_lags(spark, str(tmp_path)).collect()
+    assert len(found) == 300 and {r.event_id: r.before for r in found} == {i: "abc"[(i - 7) % 3] if i > 6 else None for i in range(300)}
+    n, files = asked[-1]
+    assert files > 4 and -(-files // n) <= 4
