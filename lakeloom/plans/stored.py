@@ -39,9 +39,9 @@ def format_text(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("format_binary", "SELECT sum(strlen(c_name) + 1)::BIGINT AS bytes FROM customer")
 def format_binary(spark: SparkSession, sf: str) -> DataFrame:
-    """Bytes of the text files, each line ending included."""
+    """Bytes of the text files, each line ending included; a file is one value, so its rows are bounded."""
     path = new_path(spark)
-    tables.write(read_table(spark, sf, "customer").select(F.col("c_name").alias("value")), path, "text")
+    tables.write(read_table(spark, sf, "customer").select(F.col("c_name").alias("value")), path, "text", maxRecordsPerFile=str(tables.WHOLE_ROWS))
     return tables.read(spark, path, "binaryFile", pathGlobFilter="*.txt").agg(F.sum(F.octet_length("content")).alias("bytes"))
 
 

@@ -104,3 +104,16 @@ def test_threads_share_the_setting(spark):
             assert [t.count() for t in pool.map(lambda n: scratch.materialize(spark.range(n)), range(8))] == list(range(8))
         assert spark.conf.get(scratch.CLEAN_UP, None) == before
     spark.conf.unset(scratch.CLEAN_UP)
+
+
+@pytest.mark.parametrize("query", ["format_xml", "format_binary"])
+def test_files_that_are_read_whole_are_bounded(spark, tmp_path, monkeypatch, query):
+    from lakeloom.plans import registry, stored
+
+    monkeypatch.setattr(tables, "WHOLE_ROWS", 40)
+    spark.range(100).selectExpr("id AS c_custkey", "concat('n', id) AS c_name", "1 AS c_nationkey", "0.5D AS c_acctbal", "'m' AS c_mktsegment").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    paths = []
+    monkeypatch.setattr(stored, "new_path", lambda s: paths.append(scratch.new_path(s)) or paths[-1])
+    out = registry.queries()[query](spark, str(tmp_path))
+    assert out.count() == 100 if query == "format_xml" else out.first().bytes == 390
+    assert len([f for f in os.listdir(paths[0]) if f.startswith("part-")]) == 3
