@@ -169,3 +169,18 @@ def test_sketches_of_many_users(spark, tmp_path):
     got = {r.event_type: (r.users, r.shared, r.middle_close) for r in registry.queries()["sketches"](spark, str(tmp_path)).collect()}
     assert got == {"a": (10000, 10000, True), "b": (30000, 30000, True)}
     assert sorted((r.estimate, r.exact) for r in registry.queries()["sketch_users"](spark, str(tmp_path)).collect()) == [(40000, 40000)] * 3
+
+
+def test_rows_beyond_the_other_side_are_not_dealt(spark, monkeypatch):
+    """Of 1,000 rows of each side those that match the other side's ends are put in blocks."""
+    packed = []
+    plain = inequality._blocks
+    monkeypatch.setattr(inequality, "_blocks", lambda rows: (packed.append(rows.count()), plain(rows))[1])
+    left = spark.range(1000).selectExpr("id AS a", "cast(id as double) AS x", "id AS y")
+    right = spark.range(1000).selectExpr("id AS b", "id - 990D AS u", "id AS w")
+    got = sorted((r.a, r.b) for r in inequality.inequality_join(left, right, ("x", "<", "u"), ("y", ">=", "w")).collect())
+    assert got == sorted((a, b) for a in range(1000) for b in range(990, 1000) if a < b - 990 and a >= b)
+    assert packed[0] == 9 and packed[1] <= 9
+    packed.clear()
+    got = sorted((r.a, r.b) for r in inequality.inequality_join(left, right, ("x", "<=", "u"), ("y", "<", "w")).collect())
+    assert got == sorted((a, b) for a in range(10) for b in range(990 + a, 1000)) and packed == [10, 10]
