@@ -6,8 +6,9 @@ own cell, which bounds the distance of its k-th neighbours. Triangle bounds
 between cells then leave out pairs of blocks that are farther apart. For each
 query block the others come in the order of their bounds; the bound of every
 query shrinks as neighbours are found, so that later blocks are dropped whole
-or for most queries. The blocks of one query block are shared out to several
-tasks, whose k best are merged.
+or for most queries. Query blocks form a few groups; the point blocks that a group
+needs are shared out to several tasks, whose k best are merged. So a vector
+travels a bounded number of times, up to 8 * 2^17 queries.
 
 On scattered vectors no bound helps, and every pair of blocks is compared.
 """
@@ -26,6 +27,8 @@ from lakeloom.sources.scratch import materialize, release
 
 #: Rows of a block; pivots at most, and rows for each of them; point blocks that one task meets for a query block.
 BLOCK, PIVOTS, CELL, CHUNK = 2048, 512, 1024, 32
+#: Groups of query blocks, and chunks of point blocks, that tasks are made of; rows of a group, beyond which there are more.
+GROUPS, GROUP_ROWS = 8, 1 << 17
 METRICS = ("euclidean", "cosine")
 
 
@@ -137,27 +140,38 @@ def _pairs(pivots: np.ndarray, meta: pd.DataFrame):
     return run
 
 
+def _groups(blocks: pd.DataFrame, pivots: np.ndarray) -> list[tuple[int, int]]:
+    """(query block, group): blocks of like distance from the first pivot share one of GROUPS groups, more only beyond GROUP_ROWS rows each."""
+    order = np.argsort(((pivots[blocks["cell"]] - pivots[0]) ** 2).sum(axis=1), kind="stable")
+    sizes = blocks["n"].to_numpy()[order]
+    n = max(1, min(GROUPS, len(order)), -(-int(sizes.sum()) // GROUP_ROWS))
+    group = (np.cumsum(sizes) - sizes) * n // max(1, sizes.sum())
+    return list(zip(blocks["block"].to_numpy()[order].tolist(), group.tolist(), strict=True))
+
+
 def _search(pivots: np.ndarray, k: int, others: bool):
-    """Rows of one (q, chunk) after the other, the query block first, then point blocks by their bounds."""
+    """Rows of one (group, chunk) after the other: its query blocks first, then point blocks by their bounds, each for the query blocks that need it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = key = None
+        best, key = {}, None
 
-        def result() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(best.row), key[0])), pa.array(best.row), pa.array(best.q.ids[best.row]), pa.array(best.id), pa.array(best.d)], ["q", "row", "query_id", "point_id", "distance"])
+        def results() -> Iterator[pa.RecordBatch]:
+            for q, b in best.items():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b.row), q)), pa.array(b.row), pa.array(b.q.ids[b.row]), pa.array(b.id), pa.array(b.d)], ["q", "row", "query_id", "point_id", "distance"])
 
         for batch in batches:
             for i in range(batch.num_rows):
                 r = {c: batch.column(c)[i] for c in batch.schema.names}
                 block = _Block(r["ids"].values.to_numpy(), r["vs"].values.to_numpy())
-                if (at := (r["q"].as_py(), r["chunk"].as_py())) != key:
-                    if best is not None:
-                        yield result()
-                    best, key = Nearest(block, k, others), at
-                else:
-                    best.meet(block, pivots[r["cell"].as_py()], r["radius"].as_py())
-        if best is not None:
-            yield result()
+                if (at := (r["g"].as_py(), r["chunk"].as_py())) != key:
+                    yield from results()
+                    best, key = {}, at
+                if (q := r["q"].as_py()) is not None:
+                    best[q] = Nearest(block, k, others)
+                    continue
+                for q in r["needed"].as_py():
+                    best[q].meet(block, pivots[r["cell"].as_py()], r["radius"].as_py())
+        yield from results()
 
     return run
 
@@ -201,10 +215,15 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, id_col: str = "vec_id
         asking = q.select("q", "cell", F.col("q_radius").alias("radius")).join(bounds, "q", "left").fillna(float("inf"), ["bound"])
         meta = blocks.select("block", "cell", "radius").toPandas()
         pairs = materialize(asking.mapInPandas(_pairs(pivots, meta), "q long, chunk int, block long, apart double"))
-        heads = pairs.select("q", "chunk").distinct().join(q, "q").select("q", "chunk", F.lit(float("-inf")).alias("apart"), "cell", F.col("q_radius").alias("radius"), F.col("qids").alias("ids"), F.col("qvs").alias("vs"))
-        rest = pairs.join(blocks, "block").select("q", "chunk", "apart", "cell", "radius", "ids", "vs")
-        tasks = max(1, pairs.count() // CHUNK)
-        dealt = heads.unionByName(rest).repartition(max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))), "q", "chunk").sortWithinPartitions("q", "chunk", "apart")
+        groups = spark.createDataFrame(_groups(q_blocks.select("block", "cell", "n").toPandas(), pivots), "q long, g long")
+        # A point block goes once to each group of query blocks that needs it, not to each of these.
+        chunk = F.pmod(F.hash("block"), F.lit(max(1, min(GROUPS, len(meta))))).alias("chunk")
+        needs = pairs.join(F.broadcast(groups), "q").groupBy("g", "block").agg(F.min("apart").alias("apart"), F.collect_list("q").alias("needed"))
+        needs = materialize(needs.select("g", chunk, "block", "apart", "needed"))
+        heads = needs.select("g", "chunk").distinct().join(groups, "g").join(q, "q").select("g", "chunk", F.lit(float("-inf")).alias("apart"), "q", F.lit(None).cast("array<long>").alias("needed"), "cell", F.col("q_radius").alias("radius"), F.col("qids").alias("ids"), F.col("qvs").alias("vs"))
+        rest = needs.join(blocks, "block").select("g", "chunk", "apart", F.lit(None).cast("long").alias("q"), "needed", "cell", "radius", "ids", "vs")
+        tasks = needs.select("g", "chunk").distinct().count()
+        dealt = heads.unionByName(rest).repartition(max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))), "g", "chunk").sortWithinPartitions("g", "chunk", F.col("q").asc_nulls_last(), "apart")
         found = dealt.mapInArrow(_search(pivots, k, others), "q long, row long, query_id long, point_id long, distance double")
         out = found if out is None else out.unionByName(found.withColumn("q", F.col("q") + F.lit(dim << 48)))
     if out is None:

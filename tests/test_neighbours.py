@@ -73,3 +73,17 @@ def test_far_blocks_are_not_dealt():
     asking = pd.DataFrame({"q": [7, 8], "cell": [0, 2], "radius": [1.0, 1.0], "bound": [3.0, float("inf")]})
     found = pd.concat(neighbours._pairs(pivots, meta)(iter([asking])))
     assert found[found.q == 7].block.tolist() == [1] and found[found.q == 8].block.tolist() == [3, 2, 4, 1]
+
+
+def test_query_blocks_form_few_groups(monkeypatch):
+    """A point block goes to at most as many tasks as there are groups, however many query blocks need it."""
+    import pandas as pd
+
+    blocks = pd.DataFrame({"block": range(100), "cell": [i % 4 for i in range(100)], "n": [2048] * 100})
+    pivots = np.array([[0.0], [10.0], [20.0], [30.0]])
+    found = neighbours._groups(blocks, pivots)
+    assert sorted(b for b, _ in found) == list(range(100)) and {g for _, g in found} == set(range(8))
+    assert all(len({b % 4 for b, g2 in found if g2 == g}) <= 2 for g in range(8))
+    monkeypatch.setattr(neighbours, "GROUP_ROWS", 20480)
+    assert {g for _, g in neighbours._groups(blocks, pivots)} == set(range(10))
+    assert neighbours._groups(blocks[:0], pivots) == []
