@@ -184,3 +184,54 @@ def test_rows_beyond_the_other_side_are_not_dealt(spark, monkeypatch):
     packed.clear()
     got = sorted((r.a, r.b) for r in inequality.inequality_join(left, right, ("x", "<=", "u"), ("y", "<", "w")).collect())
     assert got == sorted((a, b) for a in range(10) for b in range(990 + a, 1000)) and packed == [10, 10]
+
+
+def test_the_joins_result_takes_little_when_written(spark, tmp_path):
+    """Runs of the side with more columns and repeats of the other: 196,000 rows in under 200,000 bytes."""
+    left = spark.range(400).select(F.col("id").alias("a"), F.rand(1).alias("x"), F.rand(2).alias("y"))
+    right = spark.range(2000).select(F.col("id").alias("b"), (F.col("id") % 7).alias("c"), F.floor(F.rand(5) * 20000).alias("d"), F.rand(3).alias("u"), F.rand(4).alias("v"))
+    for name, df in (("l", left), ("r", right)):
+        df.write.parquet(str(tmp_path / name))
+    left, right = (spark.read.parquet(str(tmp_path / name)) for name in "lr")
+    inequality.inequality_join(left, right, ("x", "<", "u"), ("y", "<", "v")).select("a", "b", "c", "d").write.parquet(str(tmp_path / "out"))
+    out = spark.read.parquet(str(tmp_path / "out"))
+    want = left.join(right, (F.col("x") < F.col("u")) & (F.col("y") < F.col("v"))).select("a", "b", "c", "d")
+    assert out.exceptAll(want).count() == want.exceptAll(out).count() == 0 and out.count() > 150000
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < out.count()
+
+
+def test_products_of_two_blocks_are_bounded_and_whole(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    lx, ly, rx, ry = (rng.integers(0, 9, n).astype(float) for n in (60, 60, 200, 200))
+    lx[:3], ry[:5] = np.nan, np.nan
+    for tile, product in ((2048, 1 << 14), (7, 20)):
+        monkeypatch.setattr(inequality, "TILE", tile)
+        monkeypatch.setattr(inequality, "PRODUCT", product)
+        for ops in (("<", "<"), ("<=", ">"), (">", ">="), (">=", "<=")):
+            want = sorted((i, j) for i in range(60) for j in range(200) if holds(lx[i], ops[0], rx[j]) and holds(ly[i], ops[1], ry[j]))
+            for inner in (0, 1):
+                found = list(inequality.matches(lx, ly, rx, ry, ops, inner))
+                assert sorted((i, j) if inner else (j, i) for a, b in found for i in a for j in b) == want
+                assert all(len(a) * len(b) <= max(product, len(b)) and len(b) <= tile for a, b in found)
+
+
+def test_blocks_travel_once_to_a_task_of_several(spark, monkeypatch):
+    """40 by 40 blocks all meet: each goes to 5 tasks, not to 40 pairs."""
+    ids = spark.createDataFrame([(b, b"") for b in range(40)], "block long, rows binary")
+    pairs = spark.range(40).select(F.col("id").alias("o")).crossJoin(spark.range(40).select(F.col("id").alias("i")))
+    rows = inequality._dealt(pairs, ids, ids).withColumn("part", F.spark_partition_id()).collect()
+    assert len(rows) == 2 * 40 * 5 and len({r.part for r in rows}) == len({r.task for r in rows}) == 25
+    inner = {(r.task, r.block) for r in rows if r.needed is None}
+    met = [(b, r.block) for r in rows if r.needed is not None for b in r.needed if (r.task, b) in inner]
+    assert sorted(met) == sorted((i, o) for i in range(40) for o in range(40))
+
+
+def test_inequality_join_returns_the_named_columns(spark):
+    left, right = spark.range(4).selectExpr("id AS a", "id AS x", "'l' AS n"), spark.range(4).selectExpr("id AS b", "id AS u", "'r' AS m")
+    join = lambda names: inequality.inequality_join(left, right, ("a", "<", "b"), ("x", "<=", "u"), names)
+    assert join(["m", "a"]).columns == ["m", "a"] and sorted(r.a for r in join(["m", "a"]).collect()) == [0, 0, 0, 1, 1, 2]
+    assert [tuple(r) for r in join(["m"]).collect()] == [("r",)] * 6
+    with pytest.raises(ValueError, match="neither"):
+        join(["q"])
